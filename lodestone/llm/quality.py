@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import BLANKS, indices, words
+from lodestone.llm.text import BLANKS, indices, let, words
 
 # Common words by language.
 COMMON = {
@@ -45,7 +45,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: Guards of the two distances and their thresholds.
 GUARD_CHARS, GUARD_WORDS = 300, 80
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.55
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.28
 #: Documents that a language needs for a reference of its own.
 MIN_REFERENCE = 20
 
@@ -71,15 +71,15 @@ def _word_histogram(ws: Column, lang: Column) -> Column:
 
     def count(x: Column) -> Column:
         counts = F.transform(x["b"], lambda b: F.size(F.filter(x["h"], lambda w: w == b)).cast("double"))
-        padded = F.concat(counts, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(x["b"])))
-        return F.concat(padded, F.array(F.size(ws) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)))
+        others = lambda cs: F.array(F.size(ws) - F.aggregate(cs, F.lit(0.0), lambda a, c: a + c))
+        return let(counts, lambda cs: F.concat(cs, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(cs)), others(cs)))
 
-    return F.transform(F.array(F.struct(bins.alias("b"), hits.alias("h"))), count)[0]
+    return let(F.struct(bins.alias("b"), hits.alias("h")), count)
 
 
 def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(counts, lambda x: x / total))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    return let(counts, lambda xs: let(F.struct(xs.alias("x"), total(xs).alias("t")), lambda y: F.when(y["t"] > 0, F.transform(y["x"], lambda x: x / y["t"]))))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -106,8 +106,7 @@ def _repeated(ws: Column) -> Column:
         gaps = F.transform(indices(F.size(starts)), lambda k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - F.get(starts, k), F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
 
-    one = F.transform(F.array(F.sort_array(window)), places)
-    return F.when(F.size(ws) < 4, F.lit(0)).otherwise(F.transform(one, cover)[0])
+    return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(let(F.sort_array(window), places), cover))
 
 
 def _with_histograms(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -122,7 +121,7 @@ def _with_histograms(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Mean share histograms by language, and under null for all: lang, n, chars, common.
+    """Mean share histograms by language: lang, n, chars, common.
 
     Sums of whole numbers of shares in millionths, so that the order in which
     partitions are added changes nothing.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import licenses, quality, secrets, urls
+from lodestone.llm import fingerprint, licenses, lines, pieces, quality, secrets, shards, urls
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -29,6 +29,21 @@ def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op5_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents").select("doc_id", "text")
+    encoded = pieces.encode_texts(docs, pieces.read_model(pieces.public_model()))
+    return encoded.select("doc_id", "ids", "n_ids", "round_trip")
+
+
+def op6_shards(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    placed = shards.shard(docs, 8, payload=["doc_id"], extra={"text_crc32": crc})
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents").select("doc_id", "text")
     found = F.col("found")
@@ -44,5 +59,27 @@ def op8_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_quality_rules, op8_secret_scan)}
+def op9_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents").select("doc_id", "text")
+    return fingerprint.neighbour_fingerprints(docs)
+
+
+def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_url_filter,
+        op3_quality_rules,
+        op5_sentencepiece,
+        op6_shards,
+        op8_secret_scan,
+        op9_fingerprints,
+        op10_line_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import ascii_lower, indices, prefix_sums
+from lodestone.llm.text import ascii_lower, indices, let, prefix_sums
 
 ALL = ("all",)
 
@@ -173,27 +173,19 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     between = F.split(text, rule.pattern, -1)
 
+    def span(x: Column, i: Column) -> Column:
+        start = F.get(x["h"], i) + F.length(F.get(x["b"], i))
+        whole_span = F.struct(start.alias("s"), F.lit(order).alias("o"), (start + F.length(F.get(x["m"], i))).alias("e"), F.lit(rule.kind).alias("kind"))
+        return F.when(F.length(F.get(x["g"], i)) >= rule.least, whole_span)
+
     def build(m: Column) -> Column:
         lengths = F.transform(indices(F.size(m["m"])), lambda i: F.length(F.get(m["b"], i)) + F.length(F.get(m["m"], i)))
-        heads = prefix_sums(lengths)
-        return F.filter(
-            F.transform(
-                indices(F.size(m["m"])),
-                lambda i: F.when(
-                    F.length(F.get(m["g"], i)) >= rule.least,
-                    F.struct(
-                        (F.get(heads, i) + F.length(F.get(m["b"], i))).alias("s"),
-                        F.lit(order).alias("o"),
-                        (F.get(heads, i) + F.get(lengths, i)).alias("e"),
-                        F.lit(rule.kind).alias("kind"),
-                    ),
-                ),
-            ),
-            lambda x: x.isNotNull(),
+        return let(
+            F.struct(m["m"].alias("m"), m["g"].alias("g"), m["b"].alias("b"), prefix_sums(lengths).alias("h")),
+            lambda x: F.array_compact(F.transform(indices(F.size(x["m"])), lambda i: span(x, i))),
         )
 
-    # one element, so that each part is computed once and named
-    return F.flatten(F.transform(F.array(F.struct(whole.alias("m"), part.alias("g"), between.alias("b"))), build))
+    return let(F.struct(whole.alias("m"), part.alias("g"), between.alias("b")), build)
 
 
 def postings(docs: DataFrame, key_col: str, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE_RULES, *MORE_RULES)) -> DataFrame:

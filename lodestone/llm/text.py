@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,20 +38,27 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def prefix_sums(lengths: Column, block: int = 256) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A plain expression would be put in for each of its uses, and inside a
+    lambda be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(lengths: Column, block: int = 32) -> Column:
     """For every place of an array of integers the sum of what stands before it.
 
     Two levels: sums of blocks, then sums inside a block, so that long arrays
     do not cost the square of their length.
     """
-    zero = F.lit(0)
-    add = lambda a, x: a + x
-    n_blocks = F.ceil(F.size(lengths) / F.lit(block)).cast("int")
-    blocks = F.transform(indices(n_blocks), lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), zero, add))
-    heads = F.transform(indices(n_blocks), lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), zero, add))
-
-    def at(i: Column) -> Column:
-        b = F.floor(i / F.lit(block)).cast("int")
-        return F.get(heads, b) + F.aggregate(F.slice(lengths, b * block + 1, i - b * block), zero, add)
-
-    return F.transform(indices(F.size(lengths)), at)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    div = lambda i: F.floor(i / F.lit(block)).cast("int")
+    sums = lambda xs: F.transform(indices(div(F.size(xs) + (block - 1))), lambda b: total(F.slice(xs, b * block + 1, F.lit(block))))
+    heads = lambda bs: F.transform(indices(F.size(bs)), lambda b: total(F.slice(bs, F.lit(1), b)))
+    at = lambda x, i: F.get(x["h"], div(i)) + total(F.slice(x["l"], div(i) * block + 1, i - div(i) * block))
+    return let(
+        lengths,
+        lambda xs: let(sums(xs), lambda bs: let(F.struct(xs.alias("l"), heads(bs).alias("h")), lambda x: F.transform(indices(F.size(x["l"])), lambda i: at(x, i)))),
+    )
