@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.store import materialize
 from lodestone.llm.text import BLANKS, indices, let, words
 
 # Common words by language.
@@ -29,14 +30,13 @@ COMMON = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"),
     "es": ("de", "la", "que", "el", "en", "los", "se", "del", "las", "un", "por", "con"),
 }
-# Character classes by what is not in them (Java spelling); lower-case letters are the rest.
+# What makes up most of a text and is counted by lengths, and the classes of the rest (Java spelling).
+COMMON_CHARS = r"[a-z\x20\x80-\x{10FFFF}]+"
 CLASSES = {
     "upper": r"[^A-Z]+",
     "digit": r"[^0-9]+",
-    "blank": r"[^\x20\x09-\x0D]+",
     "stop": r"[^.,;:'\"?()-]+",
     "mark": r"[^#*$%&|<>!=+@\[\]{}\\^_`~/]+",
-    "wide": r"[\x00-\x7F]+",
 }
 MARKS = r"[^#*$%&|<>]+"
 
@@ -50,13 +50,13 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.28
 MIN_REFERENCE = 20
 
 
-def _char_histogram(text: Column) -> Column:
-    """Counts by class, lower-case letters and the rest last."""
-    counts = [F.length(F.regexp_replace(text, outside, "")).cast("double") for outside in CLASSES.values()]
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
-    return F.array(*counts, F.length(text).cast("double") - total)
+def _char_histogram(text: Column, word_chars: Column, residue: Column) -> Column:
+    """Counts by class: those of CLASSES, code points beyond ASCII, white space, and all others (lower-case letters, in the main)."""
+    n = F.length(text)
+    wide = F.when(n == F.octet_length(text), F.lit(0)).otherwise(F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")))
+    counts = F.array(*(F.length(F.regexp_replace(residue, outside, "")) for outside in CLASSES.values()), wide, n - word_chars)
+    rest = lambda cs: n - F.aggregate(cs, F.lit(0), lambda a, c: a + c)
+    return let(counts, lambda cs: F.transform(F.concat(cs, F.array(rest(cs))), lambda c: c.cast("double")))
 
 
 def _word_histogram(ws: Column, lang: Column) -> Column:
@@ -67,7 +67,8 @@ def _word_histogram(ws: Column, lang: Column) -> Column:
         bins = F.when(lang == name, F.array(*map(F.lit, common))).otherwise(bins)
     width = max(map(len, COMMON.values()))
     bins = F.coalesce(bins, F.array(*map(F.lit, COMMON["en"])))
-    hits = F.filter(F.transform(ws, lambda w: F.lower(w)), lambda w: w.isin(every))
+    spelled = every + [w.capitalize() for w in every] + [w.upper() for w in every]
+    hits = F.transform(F.filter(ws, lambda w: w.isin(spelled)), lambda w: F.lower(w))
 
     def count(x: Column) -> Column:
         counts = F.transform(x["b"], lambda b: F.size(F.filter(x["h"], lambda w: w == b)).cast("double"))
@@ -92,10 +93,13 @@ def distance(p: Column, q: Column) -> Column:
 def _repeated(ws: Column) -> Column:
     """Words inside 3-word windows that occur twice or more.
 
-    Windows are sorted by hash and place; equal neighbours repeat. Of each
-    repeated window its words count once, also where windows overlap.
+    Most texts hold no window twice, which a set of the windows' hashes tells.
+    For the others windows are sorted by hash and place; equal neighbours
+    repeat. Of each repeated window its words count once, also where windows
+    overlap.
     """
-    window = F.transform(indices(F.size(ws) - 2), lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")))
+    n = F.size(ws)
+    windows = F.transform(F.arrays_zip(ws.alias("a"), F.slice(ws, F.lit(2), n - 1).alias("b"), F.slice(ws, F.lit(3), n - 2).alias("c")), lambda x: F.xxhash64(x))
 
     def places(x: Column) -> Column:
         same = lambda i, j: F.get(x, i)["h"] == F.get(x, j)["h"]
@@ -106,44 +110,67 @@ def _repeated(ws: Column) -> Column:
         gaps = F.transform(indices(F.size(starts)), lambda k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - F.get(starts, k), F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
 
-    return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(let(F.sort_array(window), places), cover))
+    def count(hs: Column) -> Column:
+        numbered = F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(let(let(F.sort_array(numbered), places), cover))
 
+    return F.when(n < 4, F.lit(0)).otherwise(let(F.slice(windows, F.lit(1), n - 2), count))
 
-def _with_histograms(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+
+def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The counts that the rules need, from one pass over the texts.
+
+    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the
+    histograms ``__chars`` and ``__common`` (as shares) with ``__lang`` and
+    ``__guarded``.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
-    return (
-        docs.withColumn("__words", words(text, BLANKS))
-        .withColumn("__lang", lang)
-        .withColumn("__chars", _char_histogram(text))
-        .withColumn("__common", _word_histogram(F.col("__words"), F.col("__lang")))
+    ws = F.col("__words")
+    lines = F.filter(F.split(text, "\n", -1), lambda s: F.rlike(s, F.lit(r"[^\x20\x09-\x0D]")))
+    dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    out = docs.withColumn("__words", words(text, BLANKS)).withColumn("__lang", lang).withColumn("__residue", F.regexp_replace(text, COMMON_CHARS, ""))
+    out = out.withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
+    out = out.withColumns(
+        {
+            "n_words": F.size(ws).cast("long"),
+            "n_symbols": F.length(F.regexp_replace("__residue", MARKS, "")).cast("long"),
+            "n_dup_lines": F.when(F.contains(text, F.lit("\n")), dup).otherwise(0).cast("long"),
+            "n_repeat_words": _repeated(ws).cast("long"),
+            "__chars": _shares(_char_histogram(text, F.col("word_chars").cast("int"), F.col("__residue"))),
+            "__common": _shares(_word_histogram(ws, F.col("__lang"))),
+            "__guarded": (F.size(ws) < GUARD_WORDS) | (F.length(text) < GUARD_CHARS),
+        }
     )
+    return out.drop("__words", "__residue")
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Mean share histograms by language: lang, n, chars, common.
+def references(found: DataFrame) -> DataFrame:
+    """Mean share histograms by language: lang, n, chars, common; from ``features``.
 
-    Sums of whole numbers of shares in millionths, so that the order in which
-    partitions are added changes nothing.
+    Sums of whole millionths, so that the order in which partitions are added
+    changes nothing.
     """
-    use = _with_histograms(docs, text_col, lang_col).filter((F.size("__words") >= GUARD_WORDS) & (F.length(text_col) >= GUARD_CHARS))
-    n_chars, n_common = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
-    shares = use.select("__lang", _shares(F.col("__chars")).alias("c"), _shares(F.col("__common")).alias("w"))
+    n_chars, n_common = len(CLASSES) + 3, max(map(len, COMMON.values())) + 1
     total = lambda c, k: F.sum(F.round(F.get(F.col(c), F.lit(k)) * 1_000_000).cast("long"))
-    sums = shares.groupBy("__lang").agg(F.count("*").alias("n"), *(total("c", k).alias(f"c{k}") for k in range(n_chars)), *(total("w", k).alias(f"w{k}") for k in range(n_common)))
-    names = [c for c in sums.columns if c != "__lang"]
-    return sums.select("__lang", *names).select(
-        F.col("__lang").alias("lang"), "n", _shares(F.array(*(F.col(f"c{k}").cast("double") for k in range(n_chars)))).alias("chars"), _shares(F.array(*(F.col(f"w{k}").cast("double") for k in range(n_common)))).alias("common")
-    )
+    part = lambda c, n: [total(c, k).alias(f"{c}{k}") for k in range(n)]
+    sums = found.filter(~F.col("__guarded")).groupBy("__lang").agg(F.count("*").alias("n"), *part("__chars", n_chars), *part("__common", n_common))
+    back = lambda c, n: _shares(F.array(*(F.col(f"{c}{k}").cast("double") for k in range(n))))
+    return sums.select(F.col("__lang").alias("lang"), "n", back("__chars", n_chars).alias("chars"), back("__common", n_common).alias("common"))
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
+def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns (all by default), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
-    The references are a row per language; at most ``MAX_LANGS`` of the most
-    frequent reach the driver, all others share the common one.
+    Texts are read once: what the rules need of them is written to the shared
+    folder, and both the references and the verdicts come from there. The
+    references are a row per language; the ``MAX_LANGS`` most frequent reach
+    the driver, all others share the common one.
     """
-    rows = references(docs, text_col, lang_col).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
+    found = features(docs, text_col, lang_col)
+    found = materialize(found.select(*carry, *(c for c in found.columns if c.startswith("__") or c in OUTPUTS)), "features")
+    rows = references(found).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     total = sum(r["n"] for r in rows)
 
     def mean(field: str) -> list[float]:
@@ -160,24 +187,11 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 out = F.when(F.col("__lang") == r["lang"], literal(r[field])).otherwise(out)
         return out
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda s: F.rlike(s, F.lit(r"[^\x20\x09-\x0D]")))
-    out = _with_histograms(docs, text_col, lang_col)
-    out = out.withColumn("__lines", lines).withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": (F.length(text) - F.get(F.col("__chars"), F.lit(list(CLASSES).index("blank"))).cast("int")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(text, MARKS, "")).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("__words")).cast("long"),
-            "char_distance": distance(_shares(F.col("__chars")), pick("chars")),
-            "word_distance": distance(_shares(F.col("__common")), pick("common")),
-        }
-    )
+    out = found.withColumn("char_distance", distance(F.col("__chars"), pick("chars"))).withColumn("word_distance", distance(F.col("__common"), pick("common")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED))
-    guarded = (F.col("n_words") < GUARD_WORDS) | (F.length(text) < GUARD_CHARS)
     far = F.coalesce((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & (guarded | ~far)).drop("__words", "__lang", "__chars", "__common", "__lines")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("__guarded") | ~far)).select(*carry, *OUTPUTS)
 
 
 MAX_LANGS = 200
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")

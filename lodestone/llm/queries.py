@@ -24,9 +24,7 @@ def op2_url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents").select("doc_id", "text", "lang")
-    return quality.apply_rules(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
-    )
+    return quality.apply_rules(docs, carry=["doc_id"])
 
 
 def op5_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +64,7 @@ def op9_fingerprints(spark: SparkSession, root: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_removed")
 
 
 QUERIES = {
