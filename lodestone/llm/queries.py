@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, licenses, lines, pieces, quality, secrets, shards, urls
+from lodestone.llm import fingerprint, jaccard, licenses, lines, mixing, pieces, quality, secrets, shards, urls
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality.apply_rules(docs, carry=["doc_id"])
 
 
+def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, _table(spark, root, "labels"), carry=["doc_id"])
+    shares = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op5_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents").select("doc_id", "text")
     encoded = pieces.encode_texts(docs, pieces.read_model(pieces.public_model()))
@@ -42,6 +49,10 @@ def op6_shards(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, root, "documents").select("doc_id", "text"))
+
+
 def op8_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents").select("doc_id", "text")
     found = F.col("found")
@@ -73,8 +84,10 @@ QUERIES = {
         op1_license_scan,
         op2_url_filter,
         op3_quality_rules,
+        op4_mixing,
         op5_sentencepiece,
         op6_shards,
+        op7_jaccard_join,
         op8_secret_scan,
         op9_fingerprints,
         op10_line_dedup,
