@@ -22,8 +22,8 @@ What happens in tiles:
 3. Only tiles with members of several components stay. Their members are packed
    into an R-tree (sorted, leaves of LEAF points); pairs of leaves, then of
    points, whose bound is too small are pruned. Tiles beyond BLOCK members are
-   dealt to pairs of blocks. Of each two components the pair with the highest
-   bound is verified first, then whatever still parts two components.
+   dealt to pairs of blocks. In two rounds each component's pair with the
+   highest bound is verified; then whatever pair still parts two components.
 
 Verification counts common shingles of the texts themselves.
 
@@ -46,7 +46,8 @@ from lodestone.llm.graph import components
 from lodestone.llm.shingles import U, mix, shingle_sets
 from lodestone.llm.store import materialize
 
-DIMS, LEAF, BLOCK = 32, 64, 2048
+#: Coordinates of a point, those of the folded point that boxes are made of, points of a leaf, members of a tile's block.
+DIMS, FOLDED, LEAF, BLOCK = 256, 32, 64, 2048
 ROWS, BYTES = 512, 4 << 20
 _SET, _GROUP, _PART, _POINT = U(0x1B873593CC9E2D51), U(0x52DCE729DA3B1F2D), U(0x38495AB5C2B2AE35), U(0xA1B5F3C7E9D80B61)
 
@@ -155,7 +156,7 @@ def _describe(docs: DataFrame, k: int, over: int) -> DataFrame:
                     pa.array(n, pa.int64()),
                     pa.array(node, pa.int64(), mask=n == 0),
                     pa.array([s.view(np.int64) if f else None for s, f in zip(sigs, first, strict=True)], pa.list_(pa.int64())),
-                    pa.array([p.tobytes() if f else None for p, f in zip(points, first, strict=True)], pa.binary()),
+                    pa.array([_written(p) if f else None for p, f in zip(points, first, strict=True)], pa.binary()),
                 ],
                 names=["id", "n", "node", "sigs", "point"],
             )
@@ -163,8 +164,16 @@ def _describe(docs: DataFrame, k: int, over: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, node long, sigs array<long>, point binary")
 
 
+def _written(point: np.ndarray) -> bytes:
+    """A byte a coordinate where that is enough."""
+    return (point.astype(np.uint8) if point.max() < 256 else point.astype(np.uint32)).tobytes()
+
+
 def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, DIMS).astype(np.int64)
+    rows = column.to_pylist()
+    if all(len(r) == DIMS for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, DIMS).astype(np.int32)
+    return np.array([np.frombuffer(r, np.uint8 if len(r) == DIMS else np.uint32) for r in rows], np.int32)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, over: int) -> DataFrame:
@@ -206,12 +215,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, over: int) -> DataFram
 
 
 def rtree_pairs(n: np.ndarray, points: np.ndarray, comp: np.ndarray, block: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different components whose bound admits a link: (i, j, bound). Of two blocks only pairs across them."""
+    """Pairs of different components whose bound admits a link: (i, j, bound). Of two blocks only pairs across them.
+
+    Boxes and a first look at pairs use folded points, whose coordinates are
+    sums of some of the point's; what is left is held against the whole points.
+    """
     across = block.min() != block.max()
-    order = np.lexsort((points[:, 0], n))  # by size, then first coordinate: leaves of like documents
-    n, points, comp, block = n[order], points[order], comp[order], block[order]
+    folded = points.reshape(len(points), FOLDED, -1).sum(axis=2)
+    order = np.lexsort((folded[:, 0], n))  # by size, then first coordinate: leaves of like documents
+    n, points, folded, comp, block = n[order], points[order], folded[order], comp[order], block[order]
     leaves = [slice(s, min(s + LEAF, len(n))) for s in range(0, len(n), LEAF)]
-    upper = np.array([points[s].max(axis=0) for s in leaves])
+    upper = np.array([folded[s].max(axis=0) for s in leaves])
     small, large = np.array([n[s][0] for s in leaves]), np.array([n[s][-1] for s in leaves])
     out_i, out_j, out_bound = [], [], []
     for x, s in enumerate(leaves):
@@ -219,21 +233,37 @@ def rtree_pairs(n: np.ndarray, points: np.ndarray, comp: np.ndarray, block: np.n
         near = box & (100 * large[x] >= over * small[x:])
         for y in np.flatnonzero(near) + x:
             t = leaves[y]
-            bound = np.minimum(points[s][:, None, :], points[t][None, :, :]).sum(axis=2)
-            ok = (bound >= needed(n[s][:, None], n[t][None, :], over)) & (comp[s][:, None] != comp[t][None, :])
+            ok = comp[s][:, None] != comp[t][None, :]
             if across:
                 ok &= block[s][:, None] != block[t][None, :]
+            if not ok.any():
+                continue
+            least = needed(n[s][:, None], n[t][None, :], over)
+            ok &= np.minimum(folded[s][:, None, :], folded[t][None, :, :]).sum(axis=2) >= least
             i, j = np.nonzero(ok)
             if x == y:
                 i, j = i[i < j], j[i < j]
-            out_i.append(order[i + s.start])
-            out_j.append(order[j + t.start])
-            out_bound.append(bound[i, j])
-    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_bound)
+            bound = np.minimum(points[i + s.start], points[j + t.start]).sum(axis=1)
+            good = bound >= least[i, j]
+            out_i.append(order[i[good] + s.start])
+            out_j.append(order[j[good] + t.start])
+            out_bound.append(bound[good])
+    none = np.zeros(0, int)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j]), np.concatenate([none, *out_bound])
+
+
+def best_of_each(ca: np.ndarray, cb: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Of every component the pair with the highest bound, by number."""
+    order = np.argsort(-bound, kind="stable")
+    return np.unique(np.concatenate([order[np.unique(c[order], return_index=True)[1]] for c in (ca, cb)]))
+
 
+def _tile_pairs(members: DataFrame, over: int, every: bool) -> DataFrame:
+    """members: sig, many (of the tile), node, comp, n, point -> sig, a < b, more.
 
-def _tile_pairs(members: DataFrame, over: int) -> DataFrame:
-    """members: sig, many (of the tile), node, comp, n, point -> distinct pairs a < b with bound and components."""
+    Unless ``every``, a block gives each component's best pair only, and
+    ``more`` says whether it has others.
+    """
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -249,9 +279,13 @@ def _tile_pairs(members: DataFrame, over: int) -> DataFrame:
         if comp.min() == comp.max():
             return
         i, j, bound = rtree_pairs(col("n"), _points(t.column("point")), comp, col("mine"), over)
+        more = False
+        if not every and len(i) > 1:
+            best = best_of_each(comp[i], comp[j], bound)
+            more, i, j = len(best) < len(i), i[best], j[best]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        ca, cb = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, bound, ca, cb)], names=["a", "b", "bound", "ca", "cb"])
+        sig = np.full(len(a), col("sig")[0])
+        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), more))], names=["sig", "a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -272,8 +306,7 @@ def _tile_pairs(members: DataFrame, over: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    found = dealt.mapInArrow(run, "a long, b long, bound long, ca long, cb long")
-    return found.groupBy("a", "b").agg(F.max("bound").alias("bound"), F.max("ca").alias("ca"), F.max("cb").alias("cb"))
+    return dealt.mapInArrow(run, "sig long, a long, b long, more boolean")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, over: int = 85) -> DataFrame:
@@ -288,7 +321,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # every node's edge to the pivot of most of its tiles
     star = members.filter("node <> pivot").groupBy("node", "pivot").count()
-    star = star.groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
+    star = star.groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b"))
     points = nodes.select("node", "n", "point")
     star = materialize(_bounded(star, points, over), "star")
     alive = members.select("node").distinct().join(nodes.select("node", "id"), "node")
@@ -298,26 +331,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = materialize(_verified(star, body, k, over), "links")
     roots = components(links)
 
-    # tiles that still hold several components
-    placed = members.select("sig", "node").distinct().join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
-    placed = materialize(placed, "placed")
-    still = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("sig", "many")
-    inside = placed.join(materialize(still, "open"), "sig").join(points, "node")
-    pairs = _tile_pairs(inside, over)
-    pairs = materialize(pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    best = pairs.groupBy("ca", "cb").agg(F.max(F.struct("bound", "a", "b")).alias("best")).select("best.a", "best.b")
-    best = materialize(best, "best")
-    more = materialize(_verified(best, body, k, over), "links")
-    if more.limit(1).count():
-        links = links.union(more)
-        roots = components(links)
-    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = materialize(_verified(rest, body, k, over), "links")
-    if more.limit(1).count():
-        links = links.union(more)
-        roots = components(links)
+    # tiles that still hold several components: best pairs first, and at last all that are left
+    tested = star
+    base = members.select("sig", "node").distinct()
+    for every in (False, False, True):
+        placed = base.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
+        placed = materialize(placed, "placed")
+        still = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("sig", "many")
+        inside = placed.join(materialize(still, "open"), "sig").join(points, "node")
+        found = materialize(_tile_pairs(inside, over, every), "found")
+        pairs = materialize(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verified(pairs, body, k, over), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            roots = components(links)
+        open_sigs = materialize(found.filter("more").select("sig").distinct(), "more")
+        if not open_sigs.limit(1).count():
+            break
+        tested = tested.union(pairs)
+        base = placed.select("sig", "node").join(open_sigs, "sig", "left_semi")
 
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = materialize(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
