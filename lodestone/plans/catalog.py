@@ -423,7 +423,7 @@ def judge_agreement(spark, d):
     return metrics.confusion(table(spark, d, "labels"), "quality", "toxic")
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '""').replace('&#39;', '''').replace('&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages".replace('""', '"'))
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', chr(34)).replace('&#39;', '''').replace('&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages")
 def boilerplate_clean(spark, d):
     return table(spark, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("body"))
 
