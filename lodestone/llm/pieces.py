@@ -60,7 +60,11 @@ class Model:
         self.reach: dict[str, int] = {}  # by a piece's last code point the longest piece
         for p in self.ids:
             self.reach[p[-1]] = max(self.reach.get(p[-1], 1), len(p))
+        # pieces that merging makes: all that a path may hold besides single code points
+        self.whole = {p for p in self.ids if self.bpe and self._halves(p)}
+        # parts encoded before: what was met lately, and what was met before that
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     # -- merge order
 
@@ -156,15 +160,28 @@ class Model:
         """A part between two boundaries that every path runs through; short ones fit the window and commit at their end."""
         if len(part) > 4 * self.longest or not self.bpe:
             return self.search([part])
-        back = [0]
+        back, reach, known, fits = [0], self.reach, self.whole, self._fits
         for n in range(1, len(part) + 1):
-            back.append(self._step_bpe(part, back, n, ""))
+            step = 1
+            for length in range(min(reach.get(part[n - 1], 1), n), 1, -1):
+                piece = part[n - length : n]
+                if piece in known:
+                    start = n - length
+                    if start == 0:
+                        step = length
+                        break
+                    before = part[start - back[start] : start]
+                    ok = fits.get((before, piece))
+                    if self._follows(before, piece) if ok is None else ok:
+                        step = length
+                        break
+            back.append(step)
         return self._path(part, back, len(part))
 
     def _step_bpe(self, window: str, back: list[int], n: int, last: str) -> int:
         for length in range(min(self.reach.get(window[n - 1], 1), n), 1, -1):
             piece = window[n - length : n]
-            if piece in self.ids and self._halves(piece):
+            if piece in self.whole:
                 start = n - length
                 before = window[start - back[start] : start] if start else last
                 if not before or self._follows(before, piece):
@@ -212,10 +229,13 @@ class Model:
         for part in self.cuts.findall(normal):
             ids = known.get(part)
             if ids is None:
-                ids = tuple(i for p in self._search_part(part) for i in self._ids(p))
+                ids = self._older.get(part)
+                if ids is None:
+                    ids = tuple([i for p in self._search_part(part) for i in self._ids(p)])
                 if len(part) <= 64:
                     if len(known) > CACHE:
-                        known.clear()
+                        self._older, known = known, {}
+                        self._known = known
                     known[part] = ids
             out += ids
         return out
