@@ -37,6 +37,10 @@ from lodestone.llm.text import let
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.94, 0.04, 0.02)
 MAX_TRAIN, VOCABULARY = 20_000, 400
+#: Documents' worth of the overall share in each domain's estimate.
+SHRINK = 10.0
+#: Half the G statistic that a word needs (chance of 0.001 at two degrees of freedom): without it chance and length of documents choose the words where labels are few.
+MIN_GAIN = 6.9
 #: Separators of words of ASCII letters, digits and all beyond ASCII; both cases are words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RARE_CHARS = r"[a-z\x20\x80-\x{10FFFF}]+"
@@ -85,8 +89,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_tr
     every = sum(sizes)
     seen = sum((F.col(f"n{k}") for k in range(1, len(DOMAINS))), F.col("n0"))
     gain = sum((F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * F.log((F.col(f"n{k}") / seen) / F.lit((sizes[k] + 1) / (every + len(sizes))))).otherwise(0.0) for k in range(len(DOMAINS))), F.lit(0.0))
-    top = per.filter("w <> ''").withColumn("gain", gain).orderBy(F.desc("gain"), "w").limit(vocabulary).collect()
-    likely = {r["w"]: [math.log((r[f"n{k}"] + 0.5) / (sizes[k] + 1.0)) for k in range(len(DOMAINS))] for r in top}
+    top = per.filter("w <> ''").withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "w").limit(vocabulary).collect()
+    # shrunk towards the word's share in all domains, so that a small domain gains nothing from what it lacks
+    overall = {r["w"]: sum(r[f"n{k}"] for k in range(len(DOMAINS))) / every for r in top}
+    likely = {r["w"]: [math.log((r[f"n{k}"] + SHRINK * overall[r["w"]]) / (sizes[k] + SHRINK)) for k in range(len(DOMAINS))] for r in top}
     # from the mean of the domains, so that words count for what they tell
     likely = {w: [x - sum(v) / len(v) for x in v] for w, v in likely.items()}
     return likely, [math.log((s + 1) / (every + len(sizes))) for s in sizes]
