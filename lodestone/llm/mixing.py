@@ -1,10 +1,11 @@
 """Mixing to target weights with soft membership.
 
-A naive Bayes classifier, trained on the labelled table, gives every document a
-posterior over domains. Each document then gets a rate, zero or more, so that
-the expected tokens of the domains (rate x tokens x posterior, summed) meet the
-target shares in the least-squares sense. The rates start at 1 and follow the
-projected gradient. With rates scaled by the root of a document's share of
+A logistic regression on the words that tell domains apart, trained on the
+labelled table, gives every document a posterior over domains. Each document
+then gets a rate, zero or more, so that the expected tokens of the domains (rate
+x tokens x posterior, summed) meet the target shares in the least-squares sense.
+Where no document's posterior comes as close to one domain as the targets, they
+are missed. The rates start at 1 and follow the projected gradient. With rates scaled by the root of a document's share of
 tokens, the gradient of document i is its posterior times the residual of the
 domains, so a pass over the documents sums one residual per domain and the
 Gram matrix of those whose rate is not zero. The driver takes the gradient
@@ -12,7 +13,8 @@ steps of a pass in the space of domains, with that matrix; the rows apply and
 project them. Rates are never stored: a row replays the few steps so far.
 
 What is collected: the classifier's vocabulary, at most ``vocabulary`` words,
-and some numbers per domain. The classifier may be trained on a sample: about
+which of them each labelled document of the sample holds (a byte each), and
+some numbers per domain. The classifier may be trained on a sample: about
 ``max_train`` labelled documents, chosen by a hash of the id. All else covers all
 rows.
 
@@ -37,8 +39,8 @@ from lodestone.llm.text import let
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.94, 0.04, 0.02)
 MAX_TRAIN, VOCABULARY = 20_000, 400
-#: Documents' worth of the overall share in each domain's estimate.
-SHRINK = 10.0
+#: Weight of the squared weights in the classifier's loss.
+RIDGE = 1.0
 #: Half the G statistic that a word needs (chance of 0.001 at two degrees of freedom): without it chance and length of documents choose the words where labels are few.
 MIN_GAIN = 6.9
 #: Separators of words of ASCII letters, digits and all beyond ASCII; both cases are words.
@@ -66,8 +68,24 @@ def _measured(docs: DataFrame, text_col: str) -> DataFrame:
     return out.withColumn("__marks", marks).drop("__rest")
 
 
+def _regress(x: np.ndarray, y: np.ndarray, domains: int, ridge: float, rounds: int = 80) -> np.ndarray:
+    """Weights (features and a constant, by domain) of a multinomial logistic regression.
+
+    Each round takes the Newton step of a bound on the curvature that holds for
+    all weights, so the loss falls in every round and one inverse serves all.
+    """
+    x = np.hstack([x, np.ones((len(x), 1))])
+    want, w = np.eye(domains)[y], np.zeros((x.shape[1], domains))
+    step = np.linalg.inv(x.T @ x / 2 + ridge * np.eye(x.shape[1]))
+    for _ in range(rounds):
+        z = x @ w
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        w -= step @ (x.T @ (p / p.sum(axis=1, keepdims=True) - want) + ridge * w)
+    return w
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int = MAX_TRAIN, vocabulary: int = VOCABULARY) -> tuple[dict[str, list[float]], list[float]] | None:
-    """(log likelihoods by word, log priors); None without labels. Pass another ``labels`` to hold documents out."""
+    """(weights by word, constants); None without labels. Pass another ``labels`` to hold documents out."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = known.count()
@@ -78,24 +96,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_tr
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
     known = known.filter(drawn(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), domain.alias("k"))
     rows = docs.select(F.col(id_col).alias("__id"), text_col).filter(drawn(F.col("__id"))).join(known, "__id")
-    rows = _measured(rows, text_col)
-    tokens = rows.select("k", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "__marks", "__words"))).alias("w"))
-    per = tokens.groupBy("w").agg(*(F.sum((F.col("k") == k).cast("long")).alias(f"n{k}") for k in range(len(DOMAINS))))
-    per = materialize(per.filter(F.greatest(*(F.col(f"n{k}") for k in range(len(DOMAINS)))) >= 3), "counts")
-    total = per.filter("w = ''").first()
-    if total is None:
+    rows = materialize(_measured(rows, text_col).select("k", F.array_distinct(F.concat("__marks", "__words")).alias("held")), "labelled")
+    sizes = dict(rows.groupBy("k").count().collect())
+    every = sum(sizes.values())
+    if not every:
         return None
-    sizes = [total[f"n{k}"] for k in range(len(DOMAINS))]
-    every = sum(sizes)
+    tokens = rows.select("k", F.explode("held").alias("w"))
+    per = tokens.groupBy("w").agg(*(F.sum((F.col("k") == k).cast("long")).alias(f"n{k}") for k in range(len(DOMAINS))))
+    per = per.filter(F.greatest(*(F.col(f"n{k}") for k in range(len(DOMAINS)))) >= 3)
     seen = sum((F.col(f"n{k}") for k in range(1, len(DOMAINS))), F.col("n0"))
-    gain = sum((F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * F.log((F.col(f"n{k}") / seen) / F.lit((sizes[k] + 1) / (every + len(sizes))))).otherwise(0.0) for k in range(len(DOMAINS))), F.lit(0.0))
-    top = per.filter("w <> ''").withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "w").limit(vocabulary).collect()
-    # shrunk towards the word's share in all domains, so that a small domain gains nothing from what it lacks
-    overall = {r["w"]: sum(r[f"n{k}"] for k in range(len(DOMAINS))) / every for r in top}
-    likely = {r["w"]: [math.log((r[f"n{k}"] + SHRINK * overall[r["w"]]) / (sizes[k] + SHRINK)) for k in range(len(DOMAINS))] for r in top}
-    # from the mean of the domains, so that words count for what they tell
-    likely = {w: [x - sum(v) / len(v) for x in v] for w, v in likely.items()}
-    return likely, [math.log((s + 1) / (every + len(sizes))) for s in sizes]
+    gain = sum((F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * F.log((F.col(f"n{k}") / seen) / F.lit((sizes.get(k, 0) + 1) / (every + len(DOMAINS))))).otherwise(0.0) for k in range(len(DOMAINS))), F.lit(0.0))
+    top = sorted(r["w"] for r in per.withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "w").limit(vocabulary).collect())
+    # a byte a word and labelled row: MAX_TRAIN x VOCABULARY bytes at most come to the driver
+    bits = F.array_join(F.transform(F.array(*map(F.lit, top)), lambda w: F.array_contains("held", w).cast("int").cast("string")), "") if top else F.lit("")
+    got = rows.groupBy("k", bits.alias("bits")).count().collect()
+    times = [r["count"] for r in got]
+    x = np.frombuffer("".join(r["bits"] for r in got).encode(), np.uint8).reshape(len(got), len(top)).astype(float) - ord("0")
+    w = _regress(np.repeat(x, times, axis=0), np.repeat([r["k"] for r in got], times), len(DOMAINS), RIDGE)
+    return {t: [float(v) for v in w[i]] for i, t in enumerate(top)}, [float(v) for v in w[-1]]
 
 
 def posteriors(docs: DataFrame, model: tuple[dict[str, list[float]], list[float]] | None, targets: tuple[float, ...] = TARGETS, text_col: str = "text") -> DataFrame:
@@ -104,11 +122,11 @@ def posteriors(docs: DataFrame, model: tuple[dict[str, list[float]], list[float]
     literal = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     if model is None:
         return out.withColumn("posterior", literal(targets)).drop("__words", "__marks")
-    likely, prior = model
-    words = sorted(likely)
-    table = F.create_map(*(x for w in words for x in (F.lit(w), literal(likely[w])))) if words else None
+    weights, constants = model
+    words = sorted(weights)
+    table = F.create_map(*(x for w in words for x in (F.lit(w), literal(weights[w])))) if words else None
     hits = F.concat(F.array_distinct(F.filter("__words", lambda w: w.isin(words))), F.filter("__marks", lambda w: w.isin(words)))
-    score = F.aggregate(hits, literal(prior), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y)) if words else literal(prior)
+    score = F.aggregate(hits, literal(constants), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y)) if words else literal(constants)
     powers = lambda s: let(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp(x - m)))
     share = lambda ps: let(F.aggregate(ps, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(ps, lambda x: x / t))
     return out.withColumn("posterior", let(let(score, powers), share)).drop("__words", "__marks")
