@@ -62,6 +62,10 @@ class Model:
             self.reach[p[-1]] = max(self.reach.get(p[-1], 1), len(p))
         # pieces that merging makes: all that a path may hold besides single code points
         self.whole = {p for p in self.ids if self.bpe and self._halves(p)}
+        ends: dict[str, set[int]] = {}
+        for p in self.whole:
+            ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {e: tuple(sorted(x, reverse=True)) for e, x in ends.items()}  # by a piece's last two code points the lengths, longest first
         # parts encoded before: what was met lately, and what was met before that
         self._known: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
@@ -160,13 +164,15 @@ class Model:
         """A part between two boundaries that every path runs through; short ones fit the window and commit at their end."""
         if len(part) > 4 * self.longest or not self.bpe:
             return self.search([part])
-        back, reach, known, fits = [0], self.reach, self.whole, self._fits
-        for n in range(1, len(part) + 1):
+        back, ends, known, fits = [0, 1], self.ends, self.whole, self._fits
+        for n in range(2, len(part) + 1):
             step = 1
-            for length in range(min(reach.get(part[n - 1], 1), n), 1, -1):
-                piece = part[n - length : n]
+            for length in ends.get(part[n - 2 : n], ()):
+                start = n - length
+                if start < 0:
+                    continue
+                piece = part[start:n]
                 if piece in known:
-                    start = n - length
                     if start == 0:
                         step = length
                         break
