@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
@@ -137,7 +137,7 @@ def _classes(over: int) -> Classes:
 
 
 def _describe(docs: DataFrame, k: int, over: int) -> DataFrame:
-    """id, n, node and, where the partition meets the node for the first time, sigs and point."""
+    """id, n, node, h and, where the partition meets the node for the first time, sigs and point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -157,11 +157,12 @@ def _describe(docs: DataFrame, k: int, over: int) -> DataFrame:
                     pa.array(node, pa.int64(), mask=n == 0),
                     pa.array([s.view(np.int64) if f else None for s, f in zip(sigs, first, strict=True)], pa.list_(pa.int64())),
                     pa.array([_written(p) if f else None for p, f in zip(points, first, strict=True)], pa.binary()),
+                    piece.column(2),
                 ],
-                names=["id", "n", "node", "sigs", "point"],
+                names=["id", "n", "node", "sigs", "point", "h"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, node long, sigs array<long>, point binary")
+    return docs.mapInArrow(run, "id long, n long, node long, sigs array<long>, point binary, h long")
 
 
 def _written(point: np.ndarray) -> bytes:
@@ -311,9 +312,37 @@ def _tile_pairs(members: DataFrame, over: int, every: bool) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, over: int = 85) -> DataFrame:
     """A row per row of ``docs``: id, n_shingles, component_id. Documents link at a Jaccard similarity of ``over`` / 100."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("h"))
+    return _joined(texts, k, over).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, over: int = 85) -> DataFrame:
+    """The rows of ``docs``, of each component one only.
+
+    It is the document with the smallest id (null ids last), of several texts
+    with that id the one with the smallest hash, and of rows equal in both the
+    least by their other columns. Documents that are linked with nothing stay,
+    also where another one has the same id; so do null and empty texts, once
+    for each id.
+    """
+    h = F.xxhash64(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), h.alias("h"))
+    kept = _joined(texts, k, over).filter(F.col("first").isNull() | (_place() == F.col("first")))
+    kept = materialize(kept.select(F.col("id").alias("__id"), F.col("h").alias("__kept")).distinct(), "kept")
+    rows = docs.select(F.col(id_col).cast("long").alias("__own"), h.alias("__h"), F.struct(*(F.col(c) for c in docs.columns)).alias("__row"))
+    rows = rows.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
+    return rows.groupBy("__own", "__h").agg(F.min("__row").alias("__row")).select("__row.*")
+
+
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
+
+
+def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
+    """texts: id, text, h -> id, h, n, component_id and first, the component's least place; null for a text without shingles."""
     sets = materialize(_describe(texts, k, over), "sets")
-    nodes = sets.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("point").alias("point"))
+    least = F.min(_place()).alias("first")
+    nodes = sets.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), least, F.max("n").alias("n"), F.max("point").alias("point"))
     nodes = materialize(nodes, "nodes")
     sigs = sets.filter("sigs is not null").select("node", F.explode("sigs").alias("sig"))
     tiles = sigs.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("sig", "pivot")
@@ -351,11 +380,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tested = tested.union(pairs)
         base = placed.select("sig", "node").join(open_sigs, "sig", "left_semi")
 
-    named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = materialize(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    named = materialize(named.join(least, "root").select("node", "component_id"), "named")
-    out = sets.select("id", "n", "node").join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = named.join(materialize(named.groupBy("root").agg(F.min("first").alias("least")), "least"), "root")
+    named = materialize(named.select("node", F.col("least").alias("first")), "named")
+    out = sets.select("id", "h", "n", "node").join(named, "node", "left")
+    return out.select("id", "h", "n", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"), "first")
 
 
 def _own(body: DataFrame, k: int, over: int) -> DataFrame:

@@ -89,6 +89,21 @@ def test_jaccard_join_blocks(docs, texts, monkeypatch):
     assert jaccard.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_one_of_each(spark):
+    far = [words(60, s) for s in (41, 42, 43)]
+    rows = [
+        (1, far[0], "b"), (1, far[0], "a"),  # rows equal in id and text: the least of them
+        (2, far[0], "a"), (None, far[0] + " end", "a"),  # copies with larger ids, or none
+        (1, far[1], "c"),  # another text of the same id
+        (None, far[2], "a"), (None, words(60, 44), "a"),  # different texts without an id
+        (7, None, "a"), (8, "", "a"), (8, "", "a"),
+    ]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, n_shingles int")
+    got = Counter((r.doc_id, r.text, r.lang) for r in jaccard.one_of_each(df).collect())
+    assert got == Counter([rows[1], rows[4], rows[5], rows[6], rows[7], rows[8]])
+    assert jaccard.one_of_each(df.limit(0)).count() == 0 and jaccard.one_of_each(df).columns == df.columns
+
+
 def test_bound_is_a_bound():
     rng = np.random.default_rng(5)
     n = rng.integers(1, 40, 200)
