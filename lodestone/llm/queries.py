@@ -93,4 +93,18 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _url_sql() -> str:
+    """DuckDB SQL of ``op2_url_filter``: every rule against every url, the most host labels and then the longest path first."""
+    rules = ", ".join("('{}', '{}', '/{}')".format(verdict, *rule.split("/", 1)) for verdict, rule in urls.RULES)
+    unwanted = ", ".join(f"'{w}'" for w in urls.UNWANTED)
+    return f"""WITH u AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES {rules}) t(verdict, h, start)),
+b AS (SELECT k, h || start AS rule, verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(string_split(h, '.')) DESC, len(start) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), [{unwanted}]) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN b USING (k)"""
+
+
+#: The other queries rest on hashes, trained weights, searches and divergences; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op2_url_filter": _url_sql()}
