@@ -4,7 +4,8 @@ Each document's histogram over character classes, and over the common words of
 its language, is compared with the language's reference by Jensen-Shannon
 distance (base 2, so 0 to 1). A reference is the mean histogram of the
 language's long-enough documents over the whole corpus; a language with too few
-of them, or none given, falls back to the reference of all. Documents shorter
+of them, or none given, falls back to the reference of all (every language, in
+proportion to its documents). Documents shorter
 than the guards are judged by the counting rules alone, as a short text's
 histogram says little.
 
@@ -145,18 +146,24 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return out.drop("__words", "__residue")
 
 
-def references(found: DataFrame) -> DataFrame:
-    """Mean share histograms by language: lang, n, chars, common; from ``features``.
+WIDTHS = {"__chars": len(CLASSES) + 3, "__common": max(map(len, COMMON.values())) + 1}
+
+
+def _sums(found: DataFrame) -> DataFrame:
+    """By language: documents that pass the guards and sums of their shares, from ``features``.
 
     Sums of whole millionths, so that the order in which partitions are added
     changes nothing.
     """
-    n_chars, n_common = len(CLASSES) + 3, max(map(len, COMMON.values())) + 1
     total = lambda c, k: F.sum(F.round(F.get(F.col(c), F.lit(k)) * 1_000_000).cast("long"))
-    part = lambda c, n: [total(c, k).alias(f"{c}{k}") for k in range(n)]
-    sums = found.filter(~F.col("__guarded")).groupBy("__lang").agg(F.count("*").alias("n"), *part("__chars", n_chars), *part("__common", n_common))
-    back = lambda c, n: _shares(F.array(*(F.col(f"{c}{k}").cast("double") for k in range(n))))
-    return sums.select(F.col("__lang").alias("lang"), "n", back("__chars", n_chars).alias("chars"), back("__common", n_common).alias("common"))
+    parts = [total(c, k).alias(f"{c}{k}") for c, n in WIDTHS.items() for k in range(n)]
+    return found.filter(~F.col("__guarded")).groupBy(F.col("__lang").alias("lang")).agg(F.count("*").alias("n"), *parts)
+
+
+def references(sums: DataFrame) -> DataFrame:
+    """Mean share histograms by language: lang, n, chars, common; from ``_sums``."""
+    back = lambda c: _shares(F.array(*(F.col(f"{c}{k}").cast("double") for k in range(WIDTHS[c]))))
+    return sums.select("lang", "n", back("__chars").alias("chars"), back("__common").alias("common"))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
@@ -165,23 +172,21 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     Texts are read once: what the rules need of them is written to the shared
     folder, and both the references and the verdicts come from there. The
     references are a row per language; the ``MAX_LANGS`` most frequent reach
-    the driver, all others share the common one.
+    the driver, all others are held against the reference of all documents.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
     found = features(docs, text_col, lang_col)
     found = materialize(found.select(*carry, *(c for c in found.columns if c.startswith("__") or c in OUTPUTS)), "features")
-    rows = references(found).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    total = sum(r["n"] for r in rows)
-
-    def mean(field: str) -> list[float]:
-        return [sum(r["n"] * r[field][k] for r in rows) / total for k in range(len(rows[0][field]))]
+    sums = materialize(_sums(found), "sums")
+    rows = references(sums).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    every = references(sums.agg(F.lit(None).alias("lang"), *(F.sum(c).alias(c) for c in sums.columns if c != "lang"))).first()
 
     literal = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
 
     def pick(field: str) -> Column:
         if not rows:
             return F.lit(None).cast("array<double>")
-        out = literal(mean(field))
+        out = literal(every[field])
         for r in rows:
             if r["n"] >= MIN_REFERENCE:
                 out = F.when(F.col("__lang") == r["lang"], literal(r[field])).otherwise(out)

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,28 @@ def test_urls(spark, sf, limit):
         assert r.verdict == (verdict or ("block" if "ads-" in host or "spam" in host or any(x in host for x in ("adult", "bets", "casino", "pills")) else "allow"))
 
 
+def test_url_oracle(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(-1, u) for u in [*URLS, URLS[5]]], "page_id long, url string"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op2_url_filter"])
+    columns = [d[0] for d in want.description]
+    got = queries.op2_url_filter(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
+
+
+def test_quality_reference_of_all(spark, sf, monkeypatch):
+    """Documents of languages that have no reference of their own are held against all documents, however few languages reach the driver."""
+    found = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    found = found.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    few = lambda: {r.doc_id: (r.char_distance, r.kept) for r in quality.apply_rules(found).collect() if r.lang and r.lang.startswith("x")}
+    whole = few()
+    monkeypatch.setattr(quality, "MAX_LANGS", 1)
+    assert whole == few()
+
+
 def test_quality(spark, sf, odd):
     out = quality.apply_rules(docs(spark, sf, odd)).collect()
     assert len(out) == docs(spark, sf, odd).count()
