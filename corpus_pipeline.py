@@ -28,12 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of rows with that id the one with the smallest text hash."""
-    joined = jaccard.jaccard_join(docs)
-    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = materialize(kept, "kept")
-    same = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return same.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each component the document with the smallest id stays."""
+    return jaccard.one_of_each(docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
