@@ -3,9 +3,8 @@
 A text's k-mers are its runs of ``K`` UTF-8 bytes, numbered by occurrence. Each
 of ``SKETCHES`` permutations selects the ``PICKED`` smallest, which keep their
 order in the text and are hashed as a tuple: the likeness of two fingerprints,
-the share of equal tuples, falls with edits and with changes of order. Long
-texts are first reduced to their ``BOTTOM`` smallest k-mer hashes, by a hash of
-content alone, so that near texts keep near sets.
+the share of equal tuples, falls with edits and with changes of order. Every
+k-mer of a text takes part, long texts in blocks of ``BLOCK``.
 
 A text shorter than ``K`` bytes is one k-mer; an empty or null text has a
 fingerprint of its own, equal only to itself.
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, SKETCHES, PICKED, BOTTOM = 8, 32, 2, 192
+K, SKETCHES, PICKED, BLOCK = 8, 32, 2, 1024
 BUCKET_CHARS, MAX_BUCKETS = 8 << 20, 16384
 
 _rng = np.random.default_rng(20240501)
@@ -37,6 +36,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """The hash of each k-mer together with the number of equal ones before it in the text."""
+    n = len(h)
+    bits = np.uint64(n.bit_length())
+    if n < 1 << 16:  # place in the low bits: one plain sort instead of a stable argsort, and 48 bits or more to compare
+        low = (np.uint64(1) << bits) - np.uint64(1)
+        s = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))
+        at, s = (s & low).astype(np.int64), s >> bits
+    else:
+        at = np.argsort(h, kind="stable")
+        s = h[at]
+    again = np.flatnonzero(s[1:] == s[:-1]) + 1
+    if not len(again):
+        return _mix(h)
+    first = np.ones(n, bool)
+    first[again] = False
+    start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    number = np.zeros(n, np.uint64)
+    number[at[again]] = (again - start[again]).astype(np.uint64)
+    return _mix(h + number * _GOLD)
+
+
+def _smallest(h: np.ndarray) -> np.ndarray:
+    """For each permutation the places of its PICKED smallest, (SKETCHES, PICKED) or fewer columns, in text order."""
+    rows = np.arange(SKETCHES)[:, None]
+    best = np.zeros((SKETCHES, 0), np.int64)
+    least = np.zeros((SKETCHES, 0), np.uint64)
+    for begin in range(0, len(h), BLOCK):
+        order = h[begin : begin + BLOCK] * _FACTORS[:, None] + _TERMS[:, None]
+        for _ in range(min(PICKED, order.shape[1])):
+            at = order.argmin(axis=1)[:, None]
+            best, least = np.c_[best, at + begin], np.c_[least, order[rows, at]]
+            order[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        keep = least.argsort(axis=1, kind="stable")[:, :PICKED]
+        best, least = best[rows, keep], least[rows, keep]
+    return np.sort(best, axis=1)
+
+
 def sketch(text: str | None) -> np.ndarray:
     """SKETCHES tuples, hashed to 16 bits."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -50,28 +87,10 @@ def sketch(text: str | None) -> np.ndarray:
         part = raw[off::K]
         part[:] = np.frombuffer(data, "<u8", len(part), off)
     with np.errstate(over="ignore"):
-        h = _mix(raw + _GOLD)
-        if n > BOTTOM:
-            at = np.flatnonzero(h <= np.partition(h, BOTTOM - 1)[BOTTOM - 1])
-            at = at[np.argsort(h[at], kind="stable")[:BOTTOM]]
-        else:
-            at = np.argsort(h, kind="stable")
-        h = h[at]
-        first = np.r_[True, h[1:] != h[:-1]]
-        run = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        h = _mix(h + (np.arange(len(h)) - run).astype(np.uint64) * _GOLD)
-        order = h[:, None] * _FACTORS + _TERMS
-        cols = np.arange(SKETCHES)
-        picks = []
-        for _ in range(min(PICKED, len(h))):
-            best = order.argmin(axis=0)
-            picks.append(best)
-            order[best, cols] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        picked = np.array(picks)
-        picked = np.take_along_axis(picked, at[picked].argsort(axis=0, kind="stable"), axis=0)  # text order
+        h = _numbered(_mix(raw + _GOLD))
         out = np.zeros(SKETCHES, np.uint64)
-        for row in picked:
-            out = _mix(out * _M1 + h[row])
+        for at in _smallest(h).T:
+            out = _mix(out * _M1 + h[at])
     return (out >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 

@@ -179,6 +179,42 @@ def test_fingerprints_tell_edits_and_order():
     assert f(text) == 1 and f(few) > 0.8 and f(moved) < f(few) - 0.2 and f(words(400, 5)) < 0.1
 
 
+def plain_sketch(text):
+    """Order MinHash over all k-mers, numbered by occurrence in the whole text."""
+    data, m = text.encode(), 1 << 64
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % m
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % m
+        return x ^ (x >> 31)
+
+    gold, seen, h = 0x9E3779B97F4A7C15, Counter(), []
+    for i in range(len(data) - fingerprint.K + 1):
+        gram = data[i : i + fingerprint.K]
+        h.append(mix((mix((int.from_bytes(gram, "little") + gold) % m) + seen[gram] * gold) % m))
+        seen[gram] += 1
+    out = []
+    for f, t in zip(fingerprint._FACTORS.tolist(), fingerprint._TERMS.tolist(), strict=True):
+        x = 0
+        for i in sorted(sorted(range(len(h)), key=lambda i: (h[i] * f + t) % m)[: fingerprint.PICKED]):
+            x = mix((x * 0xBF58476D1CE4E5B9 + h[i]) % m)
+        out.append(x >> 48 | 1)
+    return out
+
+
+def test_fingerprints_of_repetitive_long_texts(monkeypatch):
+    same = "=" * 3000
+    text, other = same + words(300, 61), same + words(300, 62)
+    monkeypatch.setattr(fingerprint, "BLOCK", 700)
+    for t in (text, words(300, 63) + same, "ab" * 2000 + words(20, 64), words(2, 65), words(400, 66)):
+        assert fingerprint.sketch(t).tolist() == plain_sketch(t)
+    long = words(14_000, 67) + " " + same  # beyond 2**16 k-mers
+    assert fingerprint.sketch(long).tolist() == plain_sketch(long)
+    f = lambda a, b: fingerprint.likeness(fingerprint.sketch(a), fingerprint.sketch(b))
+    table = (words(20, 40) + " ") * 60  # four fifths of the text; few k-mers
+    assert f(text, text) == 1 and f(text, other) < 0.5 and f(table + words(300, 61), table + words(300, 62)) < 0.6
+
+
 def test_sentencepiece_matches_the_library(spark, sf):
     proto = pieces.read_model(pieces.public_model())
     model = pieces.Model(proto)
