@@ -1,17 +1,19 @@
 """Line dedup by winnowing over line hashes.
 
 A document is the sequence of its lines that hold a word. A k-gram is the least
-run of lines, from a given one on, with ``gram_words`` words; of all k-grams
-inside the least run with ``run_words`` words the one with the smallest hash is
-a fingerprint. Equal runs of that size therefore always share a fingerprint.
-
-Fingerprints are joined with the first place, in (doc_id, text hash, line)
-order, where they occur: one partner each, never pairs within a group. A
-fingerprint carries the line hashes on either side up to the next window, so a
-match is extended both ways without another look at the texts. An extended run
-of ``run_words`` words or more whose first place is elsewhere is deleted.
-
-A run is measured against the first place of its fingerprint. Lines without a
+run of lines, from a given one on, with ``gram_words`` words. A window is the
+least run with ``run_words`` words from a given line on, or up to a given line;
+of all k-grams inside, the one with the smallest hash is its fingerprint. Equal
+windows therefore always share a fingerprint.
+
+Only windows whose fingerprint stands in several places are compared further.
+They are joined, by (fingerprint, hash of the window), with the first place, in
+(doc_id, text hash, line) order, of the window itself: one partner each, never
+pairs within a group. A window whose first place is elsewhere is deleted. Every
+line of a repeated run is in the window from the run's first line or in one up
+to itself, so whole runs go, wherever their parts occurred first.
+
+Lines without a
 word are never deleted. Rows equal in doc_id and text are one document: all of
 them keep what it keeps. Null doc_ids come first in order; null texts stay null.
 Documents with fewer than ``run_words`` words are left alone. Extra columns pass
@@ -46,7 +48,7 @@ def _measured(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """A row per fingerprint: id, __t (text hash), key, a, b (first and last line), left, right (line hashes, outward)."""
+    """A row per window: id, __t (text hash), key and at (its fingerprint and that one's first line), h (hash of the window), a, b (first and last line)."""
     def end(x: Column, i: Column, least: int) -> Column:
         """The last line of the least run from line i with so many words; null if the document ends before."""
 
@@ -66,56 +68,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         every = F.transform(indices(F.size(x["h"])), lambda i: let(F.get(x["k"], i), lambda b: F.when(b.isNotNull(), gram(i, b))))
         return F.struct(x["h"].alias("h"), x["w"].alias("w"), every.alias("g"))
 
-    def least(x: Column) -> Column:
-        """The fingerprints: of each window the gram with the smallest hash that ends inside."""
-        inside = lambda i, w: F.filter(F.slice(x["g"], i + 1, w - i + 1), lambda g: g["b"] <= w)
-        chosen = F.transform(indices(F.size(x["h"])), lambda i: let(F.get(x["w"], i), lambda w: F.when(w.isNotNull(), F.array_min(inside(i, w))["a"])))
-        return let(F.array_distinct(F.array_compact(chosen)), lambda starts: F.transform(starts, lambda a: whole(x, F.get(x["g"], a))))
-
-    def whole(x: Column, g: Column) -> Column:
-        """A fingerprint with as many line hashes on either side as a window from there can reach."""
-        a, b = g["a"], g["b"]
-        far = F.coalesce(F.get(x["w"], b + 1), F.size(x["h"]) - 1)
-        floor = F.greatest(F.lit(0), a - run_words)
-        near = floor + F.size(F.filter(F.slice(x["w"], floor + 1, a - floor), lambda w: F.coalesce(w < a - 1, F.lit(False))))
-        return F.struct(
-            g["key"].alias("key"),
-            a.alias("a"),
-            b.alias("b"),
-            let(near, lambda s: F.reverse(F.slice(x["h"], s + 1, a - s))).alias("left"),
-            F.slice(x["h"], b + 2, F.greatest(far - b, F.lit(0))).alias("right"),
-        )
+    def windows(x: Column) -> Column:
+        """The least runs from every line on and up to every line, each with the gram with the smallest hash inside."""
+        inside = lambda i, j: F.array_min(F.filter(F.slice(x["g"], i + 1, j - i + 1), lambda g: g["b"] <= j))
+
+        def window(i: Column, j: Column) -> Column:
+            h = F.xxhash64(F.slice(x["h"], i + 1, j - i + 1))
+            return let(inside(i, j), lambda g: F.struct(g["key"].alias("key"), g["a"].alias("at"), h.alias("h"), i.alias("a"), j.alias("b")))
+
+        def of(i: Column) -> Column:
+            # up to a line that no window from a line ends at, the least run is from the last line whose window ends before
+            last = lambda w: F.greatest(w, F.coalesce(F.get(x["w"], i + 1), F.size(x["h"])) - 1)
+            return let(F.get(x["w"], i), lambda w: F.when(w.isNotNull(), F.transform(F.sequence(w, last(w)), lambda j: window(i, j))))
+
+        return F.flatten(F.array_compact(F.transform(indices(F.size(x["h"])), of)))
 
     def start(m: Column) -> Column:
         total = F.get(m["before"], F.size(m["n"]) - 1) + F.get(m["n"], F.size(m["n"]) - 1)
         seed = F.struct(F.transform(m["l"], lambda s: F.xxhash64(s)).alias("h"), m["before"].alias("before"), total.alias("total"))
-        return F.when(total >= run_words, let(seed, lambda x: let(ends(x), lambda y: let(grams(y), least))))
+        return F.when(total >= run_words, let(seed, lambda x: let(ends(x), lambda y: let(grams(y), windows))))
 
     found = let(_measured(F.coalesce(F.col(text_col), F.lit(""))), start)
     out = docs.select(id_col, F.xxhash64(text_col).alias("__t"), F.explode(found).alias("f"))
     return out.select(id_col, "__t", "f.*")
 
 
-def _agree(x: Column, y: Column) -> Column:
-    """How many leading elements agree."""
-    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
-    return let(same, lambda s: let(F.array_position(s, False), lambda k: F.when(k > 0, k - 1).otherwise(F.size(s)).cast("int")))
-
-
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """id, __t, a, b: runs of lines, extended, that have a place before this one."""
+    """id, __t, a, b: windows that have a place before this one."""
     prints = materialize(fingerprints(docs, id_col, text_col, run_words, gram_words), "prints")
-    place = lambda: F.struct(F.col(id_col), F.col("__t"), F.col("a"))
-    once = prints.groupBy("key", id_col, "__t").agg(F.min("a").alias("a"), F.max("a").alias("z"))
-    first = once.groupBy("key").agg(F.min(place()).alias("first"), F.max(F.struct(F.col(id_col), F.col("__t"), F.col("z").alias("a"))).alias("last"))
-    first = materialize(first.filter("first <> last").select("key", "first"), "first")
+    place = lambda line: F.struct(F.col(id_col), F.col("__t"), F.col(line).alias("line"))
     # rows equal in id and text give equal fingerprints; a place counts once
-    found = prints.join(first, "key")
-    at = materialize(found.withColumn("is_first", place().eqNullSafe(F.col("first"))).drop("first"), "found")
-    source = at.filter("is_first").groupBy("key").agg(F.min("left").alias("left0"), F.min("right").alias("right0"))
-    source = materialize(source, "source")
-    later = at.filter("not is_first").join(source, "key")
-    return later.select(id_col, "__t", (F.col("a") - _agree(F.col("left"), F.col("left0"))).alias("a"), (F.col("b") + _agree(F.col("right"), F.col("right0"))).alias("b"))
+    shared = prints.groupBy("key").agg(F.min(place("at")).alias("first"), F.max(place("at")).alias("last"))
+    shared = materialize(shared.filter("first <> last").select("key"), "shared")
+    found = materialize(prints.join(shared, "key").select("key", "h", id_col, "__t", "a", "b"), "found")
+    first = found.groupBy("key", "h").agg(F.min(place("a")).alias("first"), F.max(place("a")).alias("last"))
+    first = materialize(first.filter("first <> last").select("key", "h", "first"), "first")
+    later = found.join(first, ["key", "h"]).filter(~place("a").eqNullSafe(F.col("first")))
+    return later.select(id_col, "__t", "a", "b")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:

@@ -279,6 +279,41 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def plain_dedup(rows, run_words=50):
+    """(id, text) in order -> the text without the lines that lie in a run of so many words with an earlier place."""
+    seen, out = set(), []
+    for _, text in rows:
+        ls = text.split("\n")
+        at = [k for k, x in enumerate(ls) if x.strip()]
+        n = [len(ls[k].split()) for k in at]
+        gone = set()
+        for i in range(len(at)):
+            for j in range(i, len(at)):
+                if sum(n[i : j + 1]) >= run_words:
+                    run = tuple(ls[k] for k in at[i : j + 1])
+                    if run in seen:
+                        gone.update(at[i : j + 1])
+                    seen.add(run)
+        out.append("\n".join(x for k, x in enumerate(ls) if k not in gone))
+    return out
+
+
+def test_line_dedup_where_parts_occur_first_elsewhere(spark):
+    frequent, second, third = words(30, 500), words(30, 501), words(8, 502)
+    rows = [(i, "\n".join([words(30, 600 + i), frequent, words(30, 700 + i)])) for i in range(20)]
+    rows += [(20, "\n".join([words(30, 620), second, words(30, 720)]))]
+    rows += [(21, "\n".join([words(30, 621), frequent, second, words(9, 721)])), (22, "\n".join([words(30, 622), frequent, second, third, words(9, 722)]))]
+    rows += [(23, "\n".join([words(9, 623), second, frequent, second, third, words(9, 723)])), (24, "\n".join([third, second, third, frequent, second, third]))]
+    rng = np.random.default_rng(4)
+    pool = [words(int(rng.integers(3, 32)), 800 + k) for k in range(12)]
+    rows += [(100 + i, "\n".join(pool[k] for k in rng.integers(0, 12, 9))) for i in range(120)]
+    rows += [(300, "\n".join([pool[0]] * 40)), (301, "\n".join(["a b"] * 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert frequent not in out[22] and second not in out[22] and third in out[22]
+    assert [out[i] for i, _ in rows] == plain_dedup(rows)
+
+
 def test_mixing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, None), (-1, ""), (-1, "")], "doc_id long, text string"))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
