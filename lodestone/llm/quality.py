@@ -171,32 +171,39 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     Texts are read once: what the rules need of them is written to the shared
     folder, and both the references and the verdicts come from there. The
-    references are a row per language; the ``MAX_LANGS`` most frequent reach
-    the driver, all others are held against the reference of all documents.
+    references are a row per language; the driver takes them if they are
+    ``MAX_LANGS`` at most, otherwise they are joined by language, each language
+    dealt to ``SALTS`` keys.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
     found = features(docs, text_col, lang_col)
     found = materialize(found.select(*carry, *(c for c in found.columns if c.startswith("__") or c in OUTPUTS)), "features")
     sums = materialize(_sums(found), "sums")
-    rows = references(sums).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    own = references(sums).filter(F.col("n") >= MIN_REFERENCE)
+    rows = own.limit(MAX_LANGS + 1).collect()
     every = references(sums.agg(F.lit(None).alias("lang"), *(F.sum(c).alias(c) for c in sums.columns if c != "lang"))).first()
 
     literal = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
 
     def pick(field: str) -> Column:
-        if not rows:
+        if every["n"] is None:
             return F.lit(None).cast("array<double>")
         out = literal(every[field])
+        if len(rows) > MAX_LANGS:
+            return F.coalesce(F.col(f"__own.{field}"), out)
         for r in rows:
-            if r["n"] >= MIN_REFERENCE:
-                out = F.when(F.col("__lang") == r["lang"], literal(r[field])).otherwise(out)
+            out = F.when(F.col("__lang") == r["lang"], literal(r[field])).otherwise(out)
         return out
 
+    if len(rows) > MAX_LANGS:
+        found = found.withColumn("__salt", F.monotonically_increasing_id() % SALTS)
+        salted = own.select(F.col("lang").alias("__lang"), F.struct("chars", "common").alias("__own"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("__salt"))
+        found = found.join(salted, ["__lang", "__salt"], "left")
     out = found.withColumn("char_distance", distance(F.col("__chars"), pick("chars"))).withColumn("word_distance", distance(F.col("__common"), pick("common")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED))
     far = F.coalesce((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("__guarded") | ~far)).select(*carry, *OUTPUTS)
 
 
-MAX_LANGS = 200
+MAX_LANGS, SALTS = 200, 32
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")

@@ -78,6 +78,15 @@ def test_quality_reference_of_all(spark, sf, monkeypatch):
     assert whole == few()
 
 
+def test_quality_references_of_many_languages(spark, monkeypatch):
+    """A language's own reference holds however many languages there are."""
+    found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    out = lambda: sorted((r.doc_id, r.char_distance, r.word_distance, r.kept) for r in quality.apply_rules(found).collect())
+    whole = out()
+    monkeypatch.setattr(quality, "MAX_LANGS", 1)
+    assert whole == out()
+
+
 def test_quality(spark, sf, odd):
     out = quality.apply_rules(docs(spark, sf, odd)).collect()
     assert len(out) == docs(spark, sf, odd).count()
