@@ -50,7 +50,7 @@ MORE_RULES = (
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{2,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{2,20}://[^\s/:@]*+:[^\s/:@]{3,}+@"),
 )
 
 

@@ -112,6 +112,13 @@ def test_secrets(spark, sf, odd):
     assert secrets.scan_secrets(odd.limit(0)).count() == 0
 
 
+def test_url_passwords_of_any_length(spark):
+    urls_ = ["https://me:" + "p" * 300 + "@host/x", "redis://:secret9@host", "ftp://" + "u" * 90 + ":abc@host", "http://a:bc@host", "http://host:80/x@y", "http://" + "u" * 9000]
+    out = secrets.scan_secrets(spark.createDataFrame([(f"see {u} now",) for u in urls_], "text string")).collect()
+    got = [[r.text[x.s : x.e] for x in r.found if x.kind == "url_password"] for r in out]
+    assert got == [[u[: u.index("@") + 1]] for u in urls_[:3]] + [[], [], []]
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("[0-9a-f]{32,}") == secrets.ALL
