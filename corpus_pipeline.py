@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, lines, mixing, pieces, quality
 from lodestone.llm.store import materialize
+from lodestone.llm.text import BLANK_SET
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    out = lines.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.trim("text", F.lit(BLANK_SET)) != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

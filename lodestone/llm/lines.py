@@ -17,8 +17,8 @@ Lines without a
 word are never deleted. Rows equal in doc_id and text are one document: all of
 them keep what it keeps. Null doc_ids come first in order; null texts stay null.
 Documents with fewer than ``run_words`` words are left alone. Extra columns pass
-through; an existing ``n_removed`` is replaced. A line's words are counted by
-the spaces inside it.
+through; an existing ``n_removed`` is replaced. A line's words are the runs
+between blanks.
 """
 
 from __future__ import annotations
@@ -27,17 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.store import materialize
-from lodestone.llm.text import indices, let, prefix_sums
+from lodestone.llm.text import BLANK_SET, BLANKS, indices, let, prefix_sums
 
 RUN_WORDS, GRAM_WORDS = 50, 25
 
 
 def _kept(x: Column) -> Column:
-    return F.trim(x) != ""
+    return F.trim(x, F.lit(BLANK_SET)) != ""
 
 
 def _line_words(line: Column) -> Column:
-    return let(F.trim(line), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
+    """Runs between blanks; where single spaces are the only blanks, as mostly, lengths tell."""
+    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    plain = lambda s: ~F.rlike(s, F.lit(r"[\x09-\x0D]|\x20\x20"))
+    return let(F.trim(line, F.lit(BLANK_SET)), lambda s: F.when(plain(s), spaces(s) + 1).otherwise(F.size(F.split(s, BLANKS, -1))))
 
 
 def _measured(text: Column) -> Column:

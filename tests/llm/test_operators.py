@@ -314,6 +314,15 @@ def test_line_dedup_where_parts_occur_first_elsewhere(spark):
     assert [out[i] for i, _ in rows] == plain_dedup(rows)
 
 
+def test_line_dedup_counts_words_between_all_blanks(spark):
+    tabbed, other = words(60, 900).replace(" ", "\t"), words(55, 901).replace(" ", "\x0b \r")
+    spaced = words(20, 902).replace(" ", "   ")  # 20 words, 57 spaces
+    rows = [(1, tabbed), (2, "\n".join([words(9, 903), tabbed, "\t \r"])), (3, other + "\r\n" + words(9, 904)), (4, words(9, 905) + "\n" + other + "\r")]
+    rows += [(5, "\n".join([spaced, words(40, 906)])), (6, "\n".join([spaced, words(40, 907)]))]
+    out = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (tabbed, 0), 2: (words(9, 903) + "\n\t \r", 1), 3: (rows[2][1], 0), 4: (words(9, 905), 1), 5: (rows[4][1], 0), 6: (rows[5][1], 0)}
+
+
 def test_mixing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, None), (-1, ""), (-1, "")], "doc_id long, text string"))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
