@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search walks the normalised text one code point at a time. Only the last
-``longest`` positions (the longest piece) can start a piece that is still open,
-so older positions are kept no longer than their paths differ: as soon as all
-surviving back pointers run through one boundary, the ids up to it are
-committed and the window shrinks to what follows.
+The search takes the normalised text in chunks and walks it one code point at a
+time. Only the last ``longest`` positions (the longest piece) can start a piece
+that is still open, so older positions are kept no longer than their paths
+differ: as soon as all surviving back pointers run through one boundary, the
+pieces up to it are committed and the window shrinks to what follows.
 
 Unigram models: the best path by sum of scores; an unknown code point costs the
 lowest score less 10. BPE models: a path's pieces are those of the merge order
@@ -12,7 +12,9 @@ exactly if each two neighbours are what merging makes of the two together. Each
 prefix has one such path, so a position keeps one back pointer here too.
 
 Code points without a piece become byte pieces if the model has them, else the
-unknown id. Null gives null; empty text gives no ids.
+unknown id. Null gives null; empty text gives no ids. Repeated rows are encoded
+each for itself; a text of any length needs a window of some pieces beside
+itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.store import bound_batches
+
 SPACE = "▁"
 MODEL_LIMIT = 64 << 20
-CACHE = 400_000
-LEAST = -math.inf
+#: Words of a generation of the memory of encoded words, and pairs of pieces that are remembered: a worker holds about 50 MB of them.
+CACHE, FITS, HEAD = 100_000, 200_000, 6
+LONG_TEXT = 1 << 16
+LEAST, TWO = -math.inf, (2,)
 
 
 class Model:
@@ -57,18 +63,17 @@ class Model:
         self.cuts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if all(SPACE not in p.lstrip(SPACE) for p in self.ids) else None
         self._fits: dict[tuple[str, str], bool] = {}
         self._split: dict[str, tuple[str, str] | None] = {}
-        self.reach: dict[str, int] = {}  # by a piece's last code point the longest piece
-        for p in self.ids:
-            self.reach[p[-1]] = max(self.reach.get(p[-1], 1), len(p))
         # pieces that merging makes: all that a path may hold besides single code points
         self.whole = {p for p in self.ids if self.bpe and self._halves(p)}
         ends: dict[str, set[int]] = {}
         for p in self.whole:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {e: tuple(sorted(x, reverse=True)) for e, x in ends.items()}  # by a piece's last two code points the lengths, longest first
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {2} if p[-2:] in self.whole else set()).add(len(p))
+        self.ends = {e: tuple(sorted(x, reverse=True)) for e, x in ends.items()}  # by a piece's last three code points the lengths, longest first
         # parts encoded before: what was met lately, and what was met before that
         self._known: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
+        self._heads: dict[str, list[int]] = {}  # back pointers of the beginnings of runs
 
     # -- merge order
 
@@ -110,7 +115,7 @@ class Model:
         key = (left, right)
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > CACHE:
+            if len(self._fits) > FITS:
                 self._fits.clear()
             plain = len(left) + len(right) > 2 and left[-1] == right[0] == SPACE  # runs of spaces have equal scores
             found = self._fits[key] = self._merged(left + right) == [left, right] if plain else self._apart(left, right)
@@ -134,65 +139,57 @@ class Model:
     # -- search
 
     def search(self, chunks: Iterable[str], trace: list[int] | None = None) -> Iterator[str]:
-        """Pieces of a text that comes in chunks, each as soon as it is certain. trace: gets the window's size at each step."""
+        """Pieces of a text that comes in chunks, each as soon as it is certain. trace: gets the window's size after each chunk."""
         window = ""  # text from the last committed boundary
         back: list[int] = [0]  # for each position of the window the length of the piece that ends there
         best: list[float] = [0.0]
         last = ""  # the piece before the window
         for chunk in chunks:
             window += chunk
-            n = len(back) - 1
-            while n < len(window):
-                n += 1
-                if self.bpe:
-                    step = self._step_bpe(window, back, n, last)
-                    back.append(step)
-                else:
-                    step, score = self._step_unigram(window, best, n)
-                    back.append(step)
-                    best.append(score)
-                if trace is not None:
-                    trace.append(n)
-                if n >= 4 * self.longest and n % self.longest == 0 and (at := self._meeting(back, n)):
-                    done = self._path(window, back, at)
-                    yield from done
-                    last, window, back, n = done[-1], window[at:], [0, *back[at + 1 :]], n - at
-                    best = [s - best[at] for s in best[at:]] if not self.bpe else best
-        yield from self._path(window, back, len(back) - 1)
-
-    def _search_part(self, part: str) -> Iterable[str]:
-        """A part between two boundaries that every path runs through; short ones fit the window and commit at their end."""
-        if len(part) > 4 * self.longest or not self.bpe:
-            return self.search([part])
-        back, ends, known, fits = [0, 1], self.ends, self.whole, self._fits
-        for n in range(2, len(part) + 1):
+            if self.bpe:
+                self._extend_bpe(window, back, last)
+            else:
+                self._extend_unigram(window, back, best)
+            n = len(window)
+            if n > 2 * self.longest and (at := self._meeting(back, n)):
+                done = self._path(window, back, at)
+                yield from done
+                last, window, back = done[-1], window[at:], [0, *back[at + 1 :]]
+                best = [s - best[at] for s in best[at:]] if not self.bpe else best
+            if trace is not None:
+                trace.append(len(window))
+        yield from self._path(window, back, len(window))
+
+    def _extend_bpe(self, window: str, back: list[int], last: str) -> None:
+        """Back pointers of the positions that the window has gained: of the pieces that end there the longest that follows the path before it."""
+        ends, known, fits, follows = self.ends, self.whole, self._fits, self._follows
+        for n in range(len(back), len(window) + 1):
             step = 1
-            for length in ends.get(part[n - 2 : n], ()):
+            lengths = ends.get(window[n - 3 : n]) if n > 2 else None
+            if lengths is None:
+                lengths = TWO if n > 1 and window[n - 2 : n] in known else ()
+            for length in lengths:
                 start = n - length
-                if start < 0:
-                    continue
-                piece = part[start:n]
-                if piece in known:
-                    if start == 0:
-                        step = length
-                        break
-                    before = part[start - back[start] : start]
-                    ok = fits.get((before, piece))
-                    if self._follows(before, piece) if ok is None else ok:
+                if start > 0:
+                    piece = window[start:n]
+                    if piece in known:
+                        before = window[start - back[start] : start]
+                        ok = fits.get((before, piece))
+                        if follows(before, piece) if ok is None else ok:
+                            step = length
+                            break
+                elif start == 0:
+                    piece = window[:n]
+                    if piece in known and (not last or follows(last, piece)):
                         step = length
                         break
             back.append(step)
-        return self._path(part, back, len(part))
 
-    def _step_bpe(self, window: str, back: list[int], n: int, last: str) -> int:
-        for length in range(min(self.reach.get(window[n - 1], 1), n), 1, -1):
-            piece = window[n - length : n]
-            if piece in self.whole:
-                start = n - length
-                before = window[start - back[start] : start] if start else last
-                if not before or self._follows(before, piece):
-                    return length
-        return 1
+    def _extend_unigram(self, window: str, back: list[int], best: list[float]) -> None:
+        for n in range(len(back), len(window) + 1):
+            step, score = self._step_unigram(window, best, n)
+            back.append(step)
+            best.append(score)
 
     def _step_unigram(self, window: str, best: list[float], n: int) -> tuple[int, float]:
         step, score = 1, best[n - 1] + self.scores.get(window[n - 1], self.floor)
@@ -227,17 +224,56 @@ class Model:
             return (found,)
         return tuple(self.bytes[b] for b in piece.encode()) if self.bytes else (self.unknown,)
 
-    def encode(self, text: str) -> list[int]:
+    def _slices(self, part: str) -> Iterable[str]:
+        n = self.longest
+        return (part[k : k + n] for k in range(0, len(part), n))
+
+    def _searched(self, part: str, trace: list[int] | None) -> list[int]:
+        """Ids of a run that paths enter and leave at its ends. Within one chunk's reach it is a window of its own, committed at its end."""
+        if len(part) > 2 * self.longest or not self.bpe:
+            pieces = self.search(self._slices(part), trace)
+        else:
+            head = part[:HEAD]
+            back = self._heads.get(head)
+            if back is None:  # words that begin alike share the search of their beginning
+                self._extend_bpe(head, back := [0], "")
+                if len(self._heads) > CACHE:
+                    self._heads.clear()
+                self._heads[head] = back
+            back = back.copy()
+            self._extend_bpe(part, back, "")
+            pieces = self._path(part, back, len(part))
+            if trace is not None:
+                trace.append(len(part))
+        out: list[int] = []
+        for p in pieces:
+            i = self.ids.get(p)
+            if i is None:
+                out += self._ids(p)
+            else:
+                out.append(i)
+        return out
+
+    def encode(self, text: str, trace: list[int] | None = None) -> list[int]:
+        """Ids of a text; trace: gets the window's size after each chunk that the search takes.
+
+        Where no piece holds a SPACE after another code point, every path runs
+        through the boundary before such a SPACE: the search commits there
+        without a look at back pointers, and starts anew behind it. What it
+        committed for a short run between two such boundaries is kept, so that
+        a word that comes again is not searched again.
+        """
         normal = self.library.normalize(text)
         if self.cuts is None:
-            return [i for p in self.search([normal]) for i in self._ids(p)]
+            return self._searched(normal, trace)
         known, out = self._known, []
-        for part in self.cuts.findall(normal):
+        parts = self.cuts.findall(normal) if len(normal) < LONG_TEXT else (m.group() for m in self.cuts.finditer(normal))
+        for part in parts:
             ids = known.get(part)
             if ids is None:
                 ids = self._older.get(part)
                 if ids is None:
-                    ids = tuple([i for p in self._search_part(part) for i in self._ids(p)])
+                    ids = tuple(self._searched(part, trace))
                 if len(part) <= 64:
                     if len(known) > CACHE:
                         self._older, known = known, {}
@@ -266,6 +302,7 @@ def _model(proto: bytes) -> Model:
 def _with_model(docs: DataFrame, proto: bytes, schema: T.StructType, names: list[str], work) -> DataFrame:
     if len(proto) > MODEL_LIMIT:
         raise ValueError(f"a model of {len(proto)} bytes; at most {MODEL_LIMIT} are broadcast")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(proto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Tables written between the passes of an operator.
 
 They go to the shared folder that the session names in ``spark.checkpoint.dir``,
-so that every executor can read them and the loss of one loses nothing. Only
-where the setting is missing (tests, notebooks) a local folder is used.
+so that every executor can read them and the loss of one loses nothing. Only a
+local session may do without the setting (tests, notebooks): it gets a temporary
+folder. Anywhere else its absence raises, as a folder of the driver's machine
+would not be seen by executors.
 """
 
 from __future__ import annotations
@@ -12,18 +14,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at once; Spark's own bound of 64 MB weighs several times that, in the JVM and in the worker, for each running task.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Caps the session's Arrow batches at BATCH_BYTES; a lower setting stays."""
+    if int(spark.conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write once as Parquet and read back: cuts lineage and fixes row contents."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_lodestone_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
