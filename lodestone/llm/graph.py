@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import materialize
+from lodestone.llm.store import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,10 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(both.distinct(), "edges")
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("label")), "labels")
     while True:
-        step = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("label"), F.min(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("was"))
-        step = materialize(step, "labels")
+        step = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("label"), F.min(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("was"))
+        step = materialize(step, "steps")
         far = step.select(F.col("u").alias("label"), F.col("label").alias("next"))
-        labels = materialize(step.join(far, "label").select("u", F.least("label", "next").alias("label"), "was"), "labels")
-        if not labels.filter("label <> was").limit(1).count():
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("root"))
-        labels = labels.select("u", "label")
+        reached = materialize(step.join(far, "label").select("u", F.least("label", "next").alias("label"), "was"), "labels")
+        release(labels, step)
+        if not reached.filter("label <> was").limit(1).count():
+            release(both)
+            return reached.select(F.col("u").alias("node"), F.col("label").alias("root"))
+        labels = reached

@@ -20,8 +20,8 @@ What happens in tiles:
 2. Every node takes one edge, to the least node of the tiles it shares most
    often, which is verified on the texts. Components of the links follow.
 3. Only tiles with members of several components stay. Their members are packed
-   into an R-tree (sorted, leaves of LEAF points); pairs of leaves, then of
-   points, whose bound is too small are pruned. Tiles beyond BLOCK members are
+   into an R-tree, which is joined with itself from the root down; pairs of
+   boxes, then of points, whose bound is too small are pruned. Tiles beyond BLOCK members are
    dealt to pairs of blocks. In two rounds each component's pair with the
    highest bound is verified; then whatever pair still parts two components.
 
@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
 from lodestone.llm.shingles import U, mix, shingle_sets
-from lodestone.llm.store import materialize
+from lodestone.llm.store import bound_batches, materialize, release
 
-#: Coordinates of a point, those of the folded point that boxes are made of, points of a leaf, members of a tile's block.
-DIMS, FOLDED, LEAF, BLOCK = 256, 32, 64, 2048
-ROWS, BYTES = 512, 4 << 20
+#: Coordinates of a point, those of the folded point that boxes are made of, points of a leaf, children of an inner node, members of a tile's block.
+DIMS, FOLDED, LEAF, FAN, BLOCK = 256, 32, 32, 4, 2048
+ROWS, BYTES = 256, 1 << 20
 _SET, _GROUP, _PART, _POINT = U(0x1B873593CC9E2D51), U(0x52DCE729DA3B1F2D), U(0x38495AB5C2B2AE35), U(0xA1B5F3C7E9D80B61)
 
 
@@ -75,10 +75,10 @@ def needed(n: np.ndarray, m: np.ndarray, over: int) -> np.ndarray:
     return -(-(n + m) * over // (100 + over))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ROWS rows and, but for single rows, BYTES bytes."""
+def _pieces(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ROWS rows and, but for single rows, BYTES bytes of text."""
     for batch in batches:
-        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0), np.int64)
+        sizes = sum(np.array(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(t))), 0), np.int64) for t in texts)
         at = 0
         while at < batch.num_rows:
             n = max(1, min(ROWS, int(np.searchsorted(np.cumsum(sizes[at : at + ROWS]), BYTES, side="right"))))
@@ -148,7 +148,7 @@ def _describe(docs: DataFrame, k: int, over: int) -> DataFrame:
             for x, size in zip(node.tolist(), n.tolist(), strict=True):
                 first.append(size > 0 and x not in seen)
                 seen.add(x)
-            if len(seen) > 1_000_000:
+            if len(seen) > 100_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, over: int) -> DataFram
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches, "text_a"):
+        for piece in _pieces(batches, "text_a", "text_b"):
             a, b = piece.column(piece.schema.get_field_index("a")), piece.column(piece.schema.get_field_index("b"))
             row_a, sh_a = shingle_sets(piece.column(piece.schema.get_field_index("text_a")), k)
             row_b, sh_b = shingle_sets(piece.column(piece.schema.get_field_index("text_b")), k)
@@ -215,6 +215,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, over: int) -> DataFram
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+class RTree:
+    """A packed R-tree of count vectors: nodes of FAN children over leaves of LEAF points, in order of size and first coordinate.
+
+    A node keeps the upper corner of its box and the least and largest size
+    below it: all that the bound of a pair of nodes needs.
+    """
+
+    def __init__(self, n: np.ndarray, points: np.ndarray) -> None:
+        starts = np.arange(0, len(n), LEAF)
+        upper, small, large = np.maximum.reduceat(points, starts), np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
+        self.levels = [(upper, small, large)]  # leaves first, root last
+        while len(upper) > 1:
+            starts = np.arange(0, len(upper), FAN)
+            upper, small, large = np.maximum.reduceat(upper, starts), np.minimum.reduceat(small, starts), np.maximum.reduceat(large, starts)
+            self.levels.append((upper, small, large))
+
+    def leaf_pairs(self, over: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs x <= y of leaves that the descent from (root, root) reaches: no pair of boxes on the way is bounded below what a link needs."""
+        x = y = np.zeros(1, int)
+        for level in range(len(self.levels) - 1, -1, -1):
+            upper, small, large = self.levels[level]
+            keep = []
+            for at in range(0, len(x), 1 << 14):  # in blocks: a pair of boxes takes FOLDED numbers
+                p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                least = needed(small[p], small[q], over)
+                ok = np.minimum(upper[p], upper[q]).sum(axis=1) >= least
+                ok &= (100 * large[p] >= over * small[q]) & (100 * large[q] >= over * small[p])
+                keep.append(ok)
+            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+            x, y = x[keep], y[keep]
+            if level:
+                below = len(self.levels[level - 1][0])
+                grid = np.arange(FAN)
+                x, y = ((FAN * x)[:, None, None] + grid[:, None] + 0 * grid).ravel(), ((FAN * y)[:, None, None] + 0 * grid[:, None] + grid).ravel()
+                inside = (x <= y) & (y < below)
+                x, y = x[inside], y[inside]
+        return x, y
+
+
 def rtree_pairs(n: np.ndarray, points: np.ndarray, comp: np.ndarray, block: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of different components whose bound admits a link: (i, j, bound). Of two blocks only pairs across them.
 
@@ -223,32 +262,26 @@ def rtree_pairs(n: np.ndarray, points: np.ndarray, comp: np.ndarray, block: np.n
     """
     across = block.min() != block.max()
     folded = points.reshape(len(points), FOLDED, -1).sum(axis=2)
-    order = np.lexsort((folded[:, 0], n))  # by size, then first coordinate: leaves of like documents
+    order = np.lexsort((folded[:, 0], n))
     n, points, folded, comp, block = n[order], points[order], folded[order], comp[order], block[order]
-    leaves = [slice(s, min(s + LEAF, len(n))) for s in range(0, len(n), LEAF)]
-    upper = np.array([folded[s].max(axis=0) for s in leaves])
-    small, large = np.array([n[s][0] for s in leaves]), np.array([n[s][-1] for s in leaves])
     out_i, out_j, out_bound = [], [], []
-    for x, s in enumerate(leaves):
-        box = np.minimum(upper[x], upper[x:]).sum(axis=1) >= needed(small[x], small[x:], over)
-        near = box & (100 * large[x] >= over * small[x:])
-        for y in np.flatnonzero(near) + x:
-            t = leaves[y]
-            ok = comp[s][:, None] != comp[t][None, :]
-            if across:
-                ok &= block[s][:, None] != block[t][None, :]
-            if not ok.any():
-                continue
-            least = needed(n[s][:, None], n[t][None, :], over)
-            ok &= np.minimum(folded[s][:, None, :], folded[t][None, :, :]).sum(axis=2) >= least
-            i, j = np.nonzero(ok)
-            if x == y:
-                i, j = i[i < j], j[i < j]
-            bound = np.minimum(points[i + s.start], points[j + t.start]).sum(axis=1)
-            good = bound >= least[i, j]
-            out_i.append(order[i[good] + s.start])
-            out_j.append(order[j[good] + t.start])
-            out_bound.append(bound[good])
+    for x, y in zip(*RTree(n, folded).leaf_pairs(over), strict=True):
+        s, t = slice(x * LEAF, (x + 1) * LEAF), slice(y * LEAF, (y + 1) * LEAF)
+        ok = comp[s][:, None] != comp[t][None, :]
+        if across:
+            ok &= block[s][:, None] != block[t][None, :]
+        if not ok.any():
+            continue
+        least = needed(n[s][:, None], n[t][None, :], over)
+        ok &= np.minimum(folded[s][:, None, :], folded[t][None, :, :]).sum(axis=2) >= least
+        i, j = np.nonzero(ok)
+        if x == y:
+            i, j = i[i < j], j[i < j]
+        bound = np.minimum(points[i + s.start], points[j + t.start]).sum(axis=1)
+        good = bound >= least[i, j]
+        out_i.append(order[i[good] + s.start])
+        out_j.append(order[j[good] + t.start])
+        out_bound.append(bound[good])
     none = np.zeros(0, int)
     return np.concatenate([none, *out_i]), np.concatenate([none, *out_j]), np.concatenate([none, *out_bound])
 
@@ -312,7 +345,7 @@ def _tile_pairs(members: DataFrame, over: int, every: bool) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, over: int = 85) -> DataFrame:
     """A row per row of ``docs``: id, n_shingles, component_id. Documents link at a Jaccard similarity of ``over`` / 100."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("h"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     return _joined(texts, k, over).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -340,23 +373,26 @@ def _place() -> Column:
 
 def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
     """texts: id, text, h -> id, h, n, component_id and first, the component's least place; null for a text without shingles."""
+    bound_batches(texts.sparkSession)
     sets = materialize(_describe(texts, k, over), "sets")
     least = F.min(_place()).alias("first")
-    nodes = sets.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), least, F.max("n").alias("n"), F.max("point").alias("point"))
+    nodes = sets.filter("node is not null").groupBy("node").agg(least, F.max("n").alias("n"), F.max("point").alias("point"))
     nodes = materialize(nodes, "nodes")
     sigs = sets.filter("sigs is not null").select("node", F.explode("sigs").alias("sig"))
     tiles = sigs.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("sig", "pivot")
-    members = materialize(sigs.join(materialize(tiles, "tiles"), "sig"), "members")
+    tiles = materialize(tiles, "tiles")
+    members = materialize(sigs.join(tiles, "sig"), "members")
+    release(tiles)
 
     # every node's edge to the pivot of most of its tiles
     star = members.filter("node <> pivot").groupBy("node", "pivot").count()
     star = star.groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b"))
     points = nodes.select("node", "n", "point")
     star = materialize(_bounded(star, points, over), "star")
-    alive = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    whose = alive.select(F.col("id").alias("rep"), F.col("node"))
-    body = texts.join(whose, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
-    body = materialize(_own(body, k, over), "bodies")
+    alive = members.select("node").distinct().join(nodes.select("node", "first"), "node")
+    whose = alive.select(F.col("first.id").alias("rep"), F.col("first.h").alias("rep_h"), "node")
+    body = texts.join(whose, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("node", "text")
+    body = materialize(body.dropDuplicates(["node"]), "bodies")
     links = materialize(_verified(star, body, k, over), "links")
     roots = components(links)
 
@@ -386,13 +422,3 @@ def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
     out = sets.select("id", "h", "n", "node").join(named, "node", "left")
     return out.select("id", "h", "n", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"), "first")
 
-
-def _own(body: DataFrame, k: int, over: int) -> DataFrame:
-    """Rows whose text has the node's set, one for each node: an id may stand for several texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches, "text"):
-            node = describe(piece.column(1), k, over)[1].view(np.int64)
-            yield piece.filter(pa.array(node == piece.column(0).to_numpy()))
-
-    return body.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
