@@ -3,26 +3,31 @@
 A logistic regression on the words that tell domains apart, trained on the
 labelled table, gives every document a posterior over domains. Each document
 then gets a rate, zero or more, so that the expected tokens of the domains (rate
-x tokens x posterior, summed) meet the target shares in the least-squares sense.
-Where no document's posterior comes as close to one domain as the targets, they
-are missed. The rates start at 1 and follow the projected gradient. With rates scaled by the root of a document's share of
-tokens, the gradient of document i is its posterior times the residual of the
-domains, so a pass over the documents sums one residual per domain and the
-Gram matrix of those whose rate is not zero. The driver takes the gradient
-steps of a pass in the space of domains, with that matrix; the rows apply and
-project them. Rates are never stored: a row replays the few steps so far.
+x tokens x posterior, summed) meet the target shares in the least-squares sense,
+in the metric of the documents' Gram matrix over domains, so that a rare domain
+counts as much as a frequent one. Where no documents' posteriors come as close to
+one domain as the targets, they are missed.
+
+The rates start at 1 and follow the projected gradient: with rates scaled by the
+root of a document's share of tokens, the gradient of document i is its posterior
+times a vector over domains, so a pass over the documents sums one residual per
+domain. In that metric a full step never raises the loss. A longer step is tried
+first, with the Gram matrix of the documents whose rate is above zero, and
+shortened or dropped if the loss does not fall. Each step is projected, row by
+row. Rates are never stored: a row replays the few steps so far.
 
 What is collected: the classifier's vocabulary, at most ``vocabulary`` words,
 which of them each labelled document of the sample holds (a byte each), and
-some numbers per domain. The classifier may be trained on a sample: about
+some numbers per domain. The classifier is fitted on a bounded sample: about
 ``max_train`` labelled documents, chosen by a hash of the id. All else covers all
-rows.
+rows, and whole texts.
 
 Domains: toxic, else good or poor by quality. Labels that are null or missing do
 not train; several labels of a document count by their maximum. Without any
-label, posteriors equal the targets and all rates are 1. A document without
-words has no tokens and the posterior of its other features. Repeated rows get
-equal rates. Columns that clash with outputs are replaced.
+label, posteriors equal the targets and all rates are 1. A null or empty text, or
+one without words, has no tokens and the posterior of its other features.
+Repeated rows get equal rates. A text of any length is one row of arrays. Columns
+that clash with outputs are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,10 +44,10 @@ from lodestone.llm.text import let
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.94, 0.04, 0.02)
 MAX_TRAIN, VOCABULARY = 20_000, 400
-#: Weight of the squared weights in the classifier's loss.
-RIDGE = 1.0
-#: Half the G statistic that a word needs (chance of 0.001 at two degrees of freedom): without it chance and length of documents choose the words where labels are few.
-MIN_GAIN = 6.9
+#: Weight of the squared weights in the classifier's loss: grows with the labels up to RIDGE, which RIDGE_LABELS of them reach, so that few labels are not drowned by it.
+RIDGE, RIDGE_LABELS = 1.0, 2000
+#: Half the G statistic that a word needs (chance of 0.004 at two degrees of freedom): without it chance and length of documents choose the words where labels are few.
+MIN_GAIN = 5.5
 #: Separators of words of ASCII letters, digits and all beyond ASCII; both cases are words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RARE_CHARS = r"[a-z\x20\x80-\x{10FFFF}]+"
@@ -112,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_tr
     got = rows.groupBy("k", bits.alias("bits")).count().collect()
     times = [r["count"] for r in got]
     x = np.frombuffer("".join(r["bits"] for r in got).encode(), np.uint8).reshape(len(got), len(top)).astype(float) - ord("0")
-    w = _regress(np.repeat(x, times, axis=0), np.repeat([r["k"] for r in got], times), len(DOMAINS), RIDGE)
+    w = _regress(np.repeat(x, times, axis=0), np.repeat([r["k"] for r in got], times), len(DOMAINS), min(RIDGE, sum(times) * RIDGE / RIDGE_LABELS))
     return {t: [float(v) for v in w[i]] for i, t in enumerate(top)}, [float(v) for v in w[-1]]
 
 
@@ -141,41 +146,59 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit(found: DataFrame, targets: tuple[float, ...], tolerance: float = 1e-4, passes: int = 20, inner: int = 200) -> list[np.ndarray]:
-    """The steps that bring the expected domain totals to the targets; ``found`` has n_tokens and posterior."""
+def fit(found: DataFrame, targets: tuple[float, ...], tolerance: float = 1e-4, slack: float = 1e-4, passes: int = 200) -> list[np.ndarray]:
+    """The steps, each projected, that bring the expected domain totals to the targets; ``found`` has n_tokens and posterior.
+
+    Ends when no total is off by more than ``tolerance`` of all tokens; or, where
+    the targets cannot be met, at a least-squares point: a further projected
+    gradient step would move the rates by less than ``slack`` (root mean square,
+    weighted by tokens). ``passes`` bounds the passes over ``found``.
+    """
     k = len(targets)
     size = found.agg(F.sum("n_tokens")).first()[0] or 0
-    steps: list[np.ndarray] = []
     if not size:
-        return steps
-    goal, best, damping = np.array(targets) / sum(targets), math.inf, 1.0
-    for _ in range(passes):
-        rated = found.withColumn("rate", _rate(steps))
-        part = F.col("n_tokens") / F.lit(float(size))
-        p = [F.get("posterior", F.lit(i)) for i in range(k)]
+        return []
+    goal = np.array(targets) / sum(targets)
+    part = F.col("n_tokens") / F.lit(float(size))
+    p = [F.get("posterior", F.lit(i)) for i in range(k)]
+    used = 0
+
+    def sums(steps: list[np.ndarray], *columns: Column) -> np.ndarray:
+        nonlocal used
+        used += 1
+        return np.array(found.withColumn("rate", _rate(steps)).agg(*(F.sum(c).alias(f"s{n}") for n, c in enumerate(columns))).first(), float)
+
+    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The residual of the domains, and the Gram matrix of the rows whose rate is above zero."""
         on = F.when(F.col("rate") > 0, part).otherwise(0.0)
-        sums = [F.sum(part * F.col("rate") * p[i]) for i in range(k)] + [F.sum(on * p[i] * p[j]) for i in range(k) for j in range(k)]
-        got = list(rated.agg(*(s.alias(f"s{n}") for n, s in enumerate(sums))).first())
-        residual, gram = np.array(got[:k]) - goal, np.array(got[k:]).reshape(k, k)
-        loss = float(np.abs(residual).max())
-        if loss <= tolerance:
-            break
-        if loss >= best:  # the set of zero rates changed too much: take the step back in part
-            damping /= 2
-            if damping < 1 / 64:
-                steps.pop()
+        got = sums(steps, *(part * F.col("rate") * x for x in p), *(on * x * y for x in p for y in p))
+        return got[:k] - goal, got[k:].reshape(k, k)
+
+    def inverse(gram: np.ndarray) -> np.ndarray:
+        return np.linalg.inv(gram + 1e-9 * max(np.trace(gram), 1e-12) * np.eye(k))
+
+    steps: list[np.ndarray] = []
+    residual, gram = measure(steps)
+    metric = inverse(gram)  # all rates are 1: the Gram matrix of all rows
+    loss = lambda r: float(r @ metric @ r)
+    while np.abs(residual).max() > tolerance and used < passes:
+        gradient = metric @ residual
+        move, share = inverse(gram) @ residual, 1.0
+        while share >= 0.25:  # the step that would end at the targets if the same rates stayed above zero
+            after, next_gram = measure([*steps, share * move])
+            if loss(after) < (1 - 0.001 * share) * loss(residual):
+                break
+            share /= 2
+        else:  # the plain step, which cannot raise the loss
+            move, share = gradient, 1.0
+            after, next_gram = measure([*steps, move])
+        gained = loss(residual) - loss(after)
+        if gained < 0.01 * loss(residual):
+            pull = sum((x * float(g) for x, g in zip(p, gradient, strict=True)), F.lit(0.0))
+            shift = F.col("rate") - F.greatest(F.lit(0.0), F.col("rate") - pull)
+            if math.sqrt(sums(steps, part * shift * shift)[0]) <= slack:
                 break
-            steps[-1] = steps[-1] / 2
-            continue
-        best = loss
-        top = float(np.linalg.eigvalsh(gram)[-1])
-        if top <= 0:
-            break
-        rest, move = residual.copy(), np.zeros(k)
-        for _ in range(inner):  # gradient steps while the same rates are above zero
-            move += rest / top
-            rest -= gram @ rest / top
-        steps.append(move * damping)
+        steps, residual, gram = [*steps, share * move], after, next_gram
     return steps
 
 
