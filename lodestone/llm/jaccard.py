@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
 from lodestone.llm.shingles import U, mix, shingle_sets
-from lodestone.llm.store import bound_batches, materialize, release
+from lodestone.llm.store import bound_batches, materialize, release, tidy
 
 #: Coordinates of a point, those of the folded point that boxes are made of, points of a leaf, children of an inner node, members of a tile's block.
 DIMS, FOLDED, LEAF, FAN, BLOCK = 256, 32, 32, 4, 2048
@@ -381,8 +381,10 @@ def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
     sigs = sets.filter("sigs is not null").select("node", F.explode("sigs").alias("sig"))
     tiles = sigs.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("sig", "pivot")
     tiles = materialize(tiles, "tiles")
+    tidy(texts.sparkSession)  # every signature was exchanged, and is once more
     members = materialize(sigs.join(tiles, "sig"), "members")
     release(tiles)
+    tidy(texts.sparkSession)
 
     # every node's edge to the pivot of most of its tiles
     star = members.filter("node <> pivot").groupBy("node", "pivot").count()
@@ -395,6 +397,7 @@ def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
     body = materialize(body.dropDuplicates(["node"]), "bodies")
     links = materialize(_verified(star, body, k, over), "links")
     roots = components(links)
+    tidy(texts.sparkSession)
 
     # tiles that still hold several components: best pairs first, and at last all that are left
     tested = star

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import materialize
+from lodestone.llm.store import materialize, release, tidy
 from lodestone.llm.text import BLANK_SET, BLANKS, indices, let, prefix_sums
 
 RUN_WORDS, GRAM_WORDS = 50, 25
@@ -106,6 +106,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialize(prints.join(shared, "key").select("key", "h", id_col, "__t", "a", "b"), "found")
     first = found.groupBy("key", "h").agg(F.min(place("a")).alias("first"), F.max(place("a")).alias("last"))
     first = materialize(first.filter("first <> last").select("key", "h", "first"), "first")
+    release(prints, shared)
+    tidy(docs.sparkSession)
     later = found.join(first, ["key", "h"]).filter(~place("a").eqNullSafe(F.col("first")))
     return later.select(id_col, "__t", "a", "b")
 

@@ -1,15 +1,19 @@
 """Secret scan by a trigram inverted index.
 
 From each rule's regex a Boolean query over trigrams is derived: what every
-match must hold. The index keeps, per document, which of the queries' trigrams
-it holds, as bits beside the row (postings parted by document, so that an
-intersection is an AND of bits and needs no exchange). Only documents that pass
-a rule's query are verified with its regex; a rule without mandatory trigrams
-scans every document in full. ``postings`` gives the same index turned round,
-a row per trigram and document, for searches that bring rules later.
+match must hold. The index lists, for each of the queries' trigrams, the texts
+that hold it: posting lists of text hashes, parted into buckets of about
+``BUCKET`` texts so that no list grows with the corpus. In each bucket a rule's
+query is answered from the lists alone, an AND by intersecting and an OR by
+uniting them. The answers, a set of rules for each candidate text, are joined
+with the documents, and only those rules' regexes are run there. A rule without
+mandatory trigrams scans every document in full.
 
 Spans are counted in code points, end exclusive. Null and empty texts have no
-spans. Repeated rows are scanned each for itself.
+spans. Repeated rows are scanned each for itself and share one posting. A long
+text is one posting and one row as any other. Extra columns pass through; one
+named ``found`` is replaced. An empty table gives an empty result. Ties, spans of
+several rules that start together, stand in the order of the rules.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.store import materialize
 from lodestone.llm.text import ascii_lower, indices, let, prefix_sums
 
 ALL = ("all",)
@@ -139,34 +144,45 @@ def trigrams(query: tuple) -> set[str]:
     return set() if query == ALL else {query[1]} if query[0] == "tri" else set().union(*map(trigrams, query[1]))
 
 
-# ---- columns
+# ---- index
 
+#: Texts of a bucket, the most that a posting list holds on average.
+BUCKET = 4096
 
-def _bits(lowered: Column, grams: list[str]) -> list[Column]:
-    """The postings of a row: bit k of word k // 63 says whether trigram k stands in the text."""
-    out = []
-    for at in range(0, len(grams), 63):
-        bits = [F.when(F.contains(lowered, F.lit(g)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, g in enumerate(grams[at : at + 63])]
-        word = bits[0]
-        for b in bits[1:]:
-            word = word.bitwiseOR(b)
-        out.append(word)
-    return out
+
+def build_index(docs: DataFrame, grams: list[str], text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """The inverted index: bucket, gram (its number) and postings, the hashes of the texts that hold it, each once."""
+    n_buckets = max(1, -(-docs.count() // bucket))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("k"), ascii_lower(text).alias("low"))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
+    rows = rows.select("k", F.pmod("k", F.lit(n_buckets)).alias("bucket"), F.explode(held).alias("gram"))
+    return rows.groupBy("bucket", "gram").agg(F.collect_set("k").alias("postings"))
 
 
-def _holds(query: tuple, grams: list[str], row: list[Column]) -> Column:
-    if query == ALL:
-        return F.lit(True)
+def _answer(query: tuple, grams: list[str], lists: Column) -> Column:
+    """The texts of a bucket that fulfil a query; ``lists``: map of a trigram's number to its postings."""
     if query[0] == "tri":
-        k = grams.index(query[1])
-        return row[k // 63].bitwiseAND(F.lit(1 << (k % 63)).cast("long")) != 0
-    parts = [_holds(q, grams, row) for q in query[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
+        return F.coalesce(F.try_element_at(lists, F.lit(grams.index(query[1]))), F.array().cast("array<long>"))
+    out, *rest = (_answer(q, grams, lists) for q in query[1])
+    for x in rest:
+        out = F.array_intersect(out, x) if query[0] == "and" else F.array_union(out, x)
     return out
 
 
+def candidates(index: DataFrame, queries: list[tuple], grams: list[str]) -> DataFrame:
+    """k, rules: for each text that some query finds the numbers of the queries, as bits."""
+    buckets = index.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("gram", "postings"))).alias("lists"))
+    asked = [(i, q) for i, q in enumerate(queries) if q != ALL]
+    # inside a lambda, so that Spark does not generate code for it: the queries' many intersections would make too large a method
+    found = let(F.col("lists"), lambda m: F.array(*(F.struct(F.lit(1 << i).cast("long").alias("rule"), _answer(q, grams, m).alias("ks")) for i, q in asked)))
+    rows = buckets.select(F.explode(found).alias("f")).select("f.rule", F.explode("f.ks").alias("k"))
+    return rows.groupBy("k").agg(F.bit_or("rule").alias("rules"))
+
+
+# ---- columns
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<s, o, e, kind>> of a rule's matches; positions come from the lengths of matches and of what lies between."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -188,29 +204,27 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return let(F.struct(whole.alias("m"), part.alias("g"), between.alias("b")), build)
 
 
-def postings(docs: DataFrame, key_col: str, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE_RULES, *MORE_RULES)) -> DataFrame:
-    """The index turned round: a row per trigram of the rules and document that holds it."""
-    grams = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
-    low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("__low"), g))
-    return docs.select(key_col, low.alias("__low")).select(F.explode(held).alias("trigram"), key_col)
-
-
-def scan_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE_RULES, *MORE_RULES)) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE_RULES, *MORE_RULES), bucket: int = BUCKET) -> DataFrame:
     """Adds ``found``: array<struct<s, o, e, kind>> by start, then rule order; replaces a column of that name."""
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted(set().union(*map(trigrams, queries)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__low", ascii_lower(text))
-    bits = _bits(F.col("__low"), grams)
-    out = out.withColumns({f"__t{k}": b for k, b in enumerate(bits)}) if bits else out
-    row = [F.col(f"__t{k}") for k in range(len(bits))]
+    out = docs.select(*(c for c in docs.columns if c != "found"))
+    always = F.lit(sum(1 << i for i, q in enumerate(queries) if q == ALL)).cast("long")
+    if grams:
+        index = materialize(build_index(docs, grams, text_col, bucket), "postings")
+        asked = materialize(candidates(index, queries, grams), "candidates")
+        asked = asked.select(F.col("k").alias("__k"), F.col("rules").alias("__found"))
+        out = out.withColumn("__k", F.xxhash64(text)).join(asked, "__k", "left").drop("__k")
+        out = out.withColumn("__rules", F.coalesce("__found", F.lit(0)).bitwiseOR(always)).drop("__found")
+    else:
+        out = out.withColumn("__rules", always)
     none = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
     spans = []
-    for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-        ok = _holds(query, grams, row) & text.rlike(rule.pattern)
+    for k, rule in enumerate(rules):
+        ok = (F.col("__rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0) & text.rlike(rule.pattern)
         spans.append(F.when(ok, _spans(text, rule, k)).otherwise(none))
-    return out.withColumn("found", F.array_sort(F.concat(*spans))).drop("__low", *(f"__t{k}" for k in range(len(bits))))
+    return out.withColumn("found", F.when(F.col("__rules") != 0, F.array_sort(F.concat(*spans))).otherwise(none)).drop("__rules")
 
 
 def written(found: Column) -> Column:

@@ -36,6 +36,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished passes now, not when the driver's heap next fills up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write once as Parquet and read back: cuts lineage and fixes row contents."""
     spark = df.sparkSession
