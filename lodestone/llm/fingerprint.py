@@ -6,8 +6,12 @@ order in the text and are hashed as a tuple: the likeness of two fingerprints,
 the share of equal tuples, falls with edits and with changes of order. Every
 k-mer of a text takes part, long texts in blocks of ``BLOCK``.
 
-A text shorter than ``K`` bytes is one k-mer; an empty or null text has a
-fingerprint of its own, equal only to itself.
+A text shorter than ``K`` bytes is one k-mer, which its length tells from longer
+ones; an empty or null text has a fingerprint of its own, equal only to itself.
+Repeated rows have equal fingerprints. Rows with one id stand in the order of
+their texts' hashes, null ids before all others. ``fingerprint`` keeps all other
+columns, replacing one of its own name; ``neighbour_fingerprints`` returns its
+own columns only. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,10 +20,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.store import bound_batches
+
 K, SKETCHES, PICKED, BLOCK = 8, 32, 2, 1024
 BUCKET_CHARS, MAX_BUCKETS = 8 << 20, 16384
 
@@ -79,15 +86,15 @@ def sketch(text: str | None) -> np.ndarray:
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return np.zeros(SKETCHES, np.uint16)
-    if len(data) < K:
-        data = data.ljust(K, b"\0")
+    short = max(0, K - len(data))
+    data = data.ljust(K, b"\0")
     n = len(data) - K + 1
     raw = np.empty(n, np.uint64)
     for off in range(min(K, n)):
         part = raw[off::K]
         part[:] = np.frombuffer(data, "<u8", len(part), off)
     with np.errstate(over="ignore"):
-        h = _numbered(_mix(raw + _GOLD))
+        h = _numbered(_mix(raw + _GOLD * np.uint64(1 + short)))
         out = np.zeros(SKETCHES, np.uint64)
         for at in _smallest(h).T:
             out = _mix(out * _M1 + h[at])
@@ -123,6 +130,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     that every row meets its successor in a stream over a sorted bucket. The
     driver gets cuts between ids, at most MAX_BUCKETS.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     stats = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     n_buckets = max(1, min(MAX_BUCKETS, stats["n"] or 1, -(-(stats["chars"] or 0) // BUCKET_CHARS)))
@@ -133,23 +141,24 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
-    def bucket(ids):  # null ids first
-        return ids.isna().map({True: 0, False: 1}) * np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy(), side="right")
-
-    low = -(1 << 63)
-    with_bucket = rows.select("id").withColumn("b", bucket("id") if cuts else F.lit(0))
-    firsts = sorted((r["b"], r["first"]) for r in with_bucket.groupBy("b").agg(F.min(F.coalesce("id", F.lit(low))).alias("first")).collect())
-    follows = {firsts[(k + 1) % len(firsts)][1]: firsts[k][0] for k in range(len(firsts))}
+    def bucket(ids, missing):  # null ids first
+        return pd.Series(np.where(missing.to_numpy(), 0, np.searchsorted(edges, ids.to_numpy(), side="right")).astype(np.int32))
+
+    # ids with nulls would come to the worker as floats, which do not hold every long
+    key = (F.coalesce("id", F.lit(0)), F.col("id").isNull())
+    own = bucket(*key) if cuts else F.lit(0)
+    firsts = sorted((r["b"], r["none"], r["first"]) for r in rows.select("id", own.alias("b")).groupBy("b").agg(F.max(F.col("id").isNull()).alias("none"), F.min("id").alias("first")).select("b", "none", F.when(F.col("none"), F.lit(0)).otherwise(F.col("first")).alias("first")).collect())
+    follows = {firsts[(k + 1) % len(firsts)][1:]: firsts[k][0] for k in range(len(firsts))}
     to = F.lit(None).cast("int")
     if follows:
         lookup = docs.sparkSession.sparkContext.broadcast(follows)
 
         @F.pandas_udf("int")
-        def guard_of(ids):
-            return ids.map(lookup.value).astype("Int32")
+        def guard_of(ids, missing):
+            return pd.Series([lookup.value.get((m, i)) for i, m in zip(ids.tolist(), missing.tolist(), strict=True)], dtype="Int32")
 
-        to = guard_of(F.coalesce("id", F.lit(low)))
-    placed = rows.withColumn("own", bucket("id") if cuts else F.lit(0)).withColumn("guard", to)
+        to = guard_of(*key)
+    placed = rows.withColumn("own", own).withColumn("guard", to)
     copies = F.array(F.struct(F.col("own").alias("b"), F.lit(0).alias("g")), F.struct(F.col("guard").alias("b"), F.lit(1).alias("g")))
     dealt = placed.select("id", "text", F.explode(F.filter(copies, lambda c: c["b"].isNotNull())).alias("c")).select("id", "text", F.col("c.b").alias("b"), F.col("c.g").alias("g"))
     dealt = dealt.repartition(max(n_buckets, 1), "b").sortWithinPartitions("b", "g", F.col("id").asc_nulls_first(), F.xxhash64("text"))

@@ -29,7 +29,10 @@ Verification counts common shingles of the texts themselves.
 
 Null and empty texts have no shingles, are linked with nothing and are their own
 component. Repeated rows, and rows with one doc_id and several texts, are
-documents of their own; a component's id is its smallest doc_id.
+documents of their own; a component's id is its smallest doc_id. Long texts are
+hashed whole, in a batch of their own. ``jaccard_join`` returns its own columns
+only, ``one_of_each`` those of its input, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

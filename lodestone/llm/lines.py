@@ -18,7 +18,8 @@ word are never deleted. Rows equal in doc_id and text are one document: all of
 them keep what it keeps. Null doc_ids come first in order; null texts stay null.
 Documents with fewer than ``run_words`` words are left alone. Extra columns pass
 through; an existing ``n_removed`` is replaced. A line's words are the runs
-between blanks.
+between blanks. A text of any length is one row of arrays; of equal runs in one
+document the first stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,13 +8,15 @@ in the metric of the documents' Gram matrix over domains, so that a rare domain
 counts as much as a frequent one. Where no documents' posteriors come as close to
 one domain as the targets, they are missed.
 
-The rates start at 1 and follow the projected gradient: with rates scaled by the
-root of a document's share of tokens, the gradient of document i is its posterior
-times a vector over domains, so a pass over the documents sums one residual per
-domain. In that metric a full step never raises the loss. A longer step is tried
-first, with the Gram matrix of the documents whose rate is above zero, and
-shortened or dropped if the loss does not fall. Each step is projected, row by
-row. Rates are never stored: a row replays the few steps so far.
+Of the rates that do, those closest to 1 are taken (``closeness`` weighs that).
+
+The rates start at 1 and follow the projected gradient in its lazy form: the
+gradient of a document's rate is its posterior times a vector over domains, so
+the sum of all gradients so far is such a vector too, and a document's rate is
+what it leaves of 1, projected onto zero or more. A pass over the documents takes
+these rates and sums one residual per domain and the Gram matrix of the documents
+whose rate is above zero, which scales the next gradient; a step that does not
+lower the dual objective is halved. Rates are never stored.
 
 What is collected: the classifier's vocabulary, at most ``vocabulary`` words,
 which of them each labelled document of the sample holds (a byte each), and
@@ -32,8 +34,6 @@ that clash with outputs are replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,8 @@ TARGETS = (0.94, 0.04, 0.02)
 MAX_TRAIN, VOCABULARY = 20_000, 400
 #: Weight of the squared weights in the classifier's loss: grows with the labels up to RIDGE, which RIDGE_LABELS of them reach, so that few labels are not drowned by it.
 RIDGE, RIDGE_LABELS = 1.0, 2000
+#: Weight of the rates' squared distance from 1 beside the squared residual.
+CLOSENESS = 1e-4
 #: Half the G statistic that a word needs (chance of 0.004 at two degrees of freedom): without it chance and length of documents choose the words where labels are few.
 MIN_GAIN = 5.5
 #: Separators of words of ASCII letters, digits and all beyond ASCII; both cases are words.
@@ -137,69 +139,54 @@ def posteriors(docs: DataFrame, model: tuple[dict[str, list[float]], list[float]
     return out.withColumn("posterior", let(let(score, powers), share)).drop("__words", "__marks")
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """A row's rate after these steps, each projected."""
-    rate = F.lit(1.0)
-    for s in steps:
-        move = sum((F.get("posterior", F.lit(k)) * float(x) for k, x in enumerate(s)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+def _rate(pull: np.ndarray) -> Column:
+    """A row's rate: what the summed gradient leaves of 1, projected."""
+    move = sum((F.get("posterior", F.lit(k)) * float(x) for k, x in enumerate(pull)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1 - move)
 
 
-def fit(found: DataFrame, targets: tuple[float, ...], tolerance: float = 1e-4, slack: float = 1e-4, passes: int = 200) -> list[np.ndarray]:
-    """The steps, each projected, that bring the expected domain totals to the targets; ``found`` has n_tokens and posterior.
+def fit(found: DataFrame, targets: tuple[float, ...], closeness: float = CLOSENESS, tolerance: float = 1e-6, passes: int = 100) -> np.ndarray:
+    """The summed gradient, by domain, at the least-squares rates; ``found`` has n_tokens and posterior.
 
-    Ends when no total is off by more than ``tolerance`` of all tokens; or, where
-    the targets cannot be met, at a least-squares point: a further projected
-    gradient step would move the rates by less than ``slack`` (root mean square,
-    weighted by tokens). ``passes`` bounds the passes over ``found``.
+    Ends when the gradient of the dual, which is zero there, is below
+    ``tolerance`` in the metric. ``passes`` bounds the passes over ``found``;
+    each sums some numbers.
     """
     k = len(targets)
     size = found.agg(F.sum("n_tokens")).first()[0] or 0
     if not size:
-        return []
+        return np.zeros(k)
     goal = np.array(targets) / sum(targets)
     part = F.col("n_tokens") / F.lit(float(size))
     p = [F.get("posterior", F.lit(i)) for i in range(k)]
-    used = 0
-
-    def sums(steps: list[np.ndarray], *columns: Column) -> np.ndarray:
-        nonlocal used
-        used += 1
-        return np.array(found.withColumn("rate", _rate(steps)).agg(*(F.sum(c).alias(f"s{n}") for n, c in enumerate(columns))).first(), float)
-
-    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The residual of the domains, and the Gram matrix of the rows whose rate is above zero."""
-        on = F.when(F.col("rate") > 0, part).otherwise(0.0)
-        got = sums(steps, *(part * F.col("rate") * x for x in p), *(on * x * y for x in p for y in p))
-        return got[:k] - goal, got[k:].reshape(k, k)
-
-    def inverse(gram: np.ndarray) -> np.ndarray:
-        return np.linalg.inv(gram + 1e-9 * max(np.trace(gram), 1e-12) * np.eye(k))
-
-    steps: list[np.ndarray] = []
-    residual, gram = measure(steps)
-    metric = inverse(gram)  # all rates are 1: the Gram matrix of all rows
-    loss = lambda r: float(r @ metric @ r)
-    while np.abs(residual).max() > tolerance and used < passes:
-        gradient = metric @ residual
-        move, share = inverse(gram) @ residual, 1.0
-        while share >= 0.25:  # the step that would end at the targets if the same rates stayed above zero
-            after, next_gram = measure([*steps, share * move])
-            if loss(after) < (1 - 0.001 * share) * loss(residual):
+
+    def measure(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The residual of the domains, the Gram matrix of the rows whose rate is above zero, and the sum of squared rates."""
+        rate = F.col("rate")
+        on = F.when(rate > 0, part).otherwise(0.0)
+        sums = [*(part * rate * x for x in p), *(on * x * y for x in p for y in p), part * rate * rate]
+        got = np.array(found.withColumn("rate", _rate(pull)).agg(*(F.sum(c).alias(f"s{n}") for n, c in enumerate(sums))).first(), float)
+        return got[:k] - goal, got[k:-1].reshape(k, k), float(got[-1])
+
+    pull = np.zeros(k)
+    residual, gram, squares = measure(pull)
+    every = gram + 1e-9 * np.trace(gram) * np.eye(k)  # all rates are 1: the metric
+    value = lambda v, s: s / 2 + float(v @ goal) + closeness / 2 * float(v @ every @ v)
+    used = 1
+    while used < passes:
+        gradient = closeness * (every @ pull) - residual
+        if float(gradient @ np.linalg.solve(every, gradient)) <= tolerance**2:
+            break
+        step, share = -np.linalg.solve(gram + closeness * every, gradient), 1.0
+        while True:
+            after = pull + share * step
+            seen = measure(after)
+            used += 1
+            if value(after, seen[2]) <= value(pull, squares) + 1e-4 * share * float(gradient @ step) or share < 1e-4 or used >= passes:
                 break
             share /= 2
-        else:  # the plain step, which cannot raise the loss
-            move, share = gradient, 1.0
-            after, next_gram = measure([*steps, move])
-        gained = loss(residual) - loss(after)
-        if gained < 0.01 * loss(residual):
-            pull = sum((x * float(g) for x, g in zip(p, gradient, strict=True)), F.lit(0.0))
-            shift = F.col("rate") - F.greatest(F.lit(0.0), F.col("rate") - pull)
-            if math.sqrt(sums(steps, part * shift * shift)[0]) <= slack:
-                break
-        steps, residual, gram = [*steps, share * move], after, next_gram
-    return steps
+        pull, (residual, gram, squares) = after, seen
+    return pull
 
 
 def mix(

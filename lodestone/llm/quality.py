@@ -13,7 +13,9 @@ Counting rules: too few words, or more than half of the words inside 3-word
 windows that repeat.
 
 Null and empty texts have no words and fail the counting rule. Repeated rows
-are judged each for itself. Columns that clash with outputs are replaced.
+are judged each for itself, and so are ties. A long text is judged whole. Columns
+that clash with outputs are replaced. An empty table gives an empty result. Common
+words of a language without a list here are counted by the English one.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def _char_histogram(text: Column, word_chars: Column, residue: Column) -> Column
 
 
 def _word_histogram(ws: Column, lang: Column) -> Column:
-    """Counts of the language's common words and, last, of all others; the union of lists serves unknown languages."""
+    """Counts of the language's common words and, last, of all others; a language without a list takes the English one."""
     every = sorted({w for ws_ in COMMON.values() for w in ws_})
     bins = F.lit(None).cast("array<string>")
     for name, common in COMMON.items():

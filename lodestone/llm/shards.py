@@ -16,7 +16,9 @@ candidates, at most ``MAX_PROBES`` each round.
 
 Null texts have no bytes; the size of a row is its text's UTF-8 bytes plus 1.
 Repeated rows are rows of their own. Columns that clash with outputs are
-replaced. An empty table gives an empty result.
+replaced. A text of any length is one row, and a shard may be off its size by the
+largest text. An empty table gives an empty result. Parts hold about
+``part_bytes``; beyond MAX_PARTS of them they grow with the data.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from lodestone.llm.store import materialize
 KEY_BYTES = 24
 GROUP = 1 << 128  # keys of one text hash
 TOP = 1 << (8 * KEY_BYTES)
-MAX_PROBES, MAX_PARTS = 8192, 16384
+MAX_PROBES, MAX_PARTS = 8192, 1 << 17
 PART_BYTES = 16 << 20
 
 
@@ -164,7 +166,7 @@ def shard(
     )
     keyed = materialize(keyed, "keyed")
     total = keyed.agg(F.sum("__size")).first()[0] or 0
-    per_shard = min(MAX_PARTS // n_shards, max(1, -(-total // (n_shards * part_bytes))))
+    per_shard = max(1, min(MAX_PARTS // n_shards, -(-total // (n_shards * part_bytes))))
     n_parts = n_shards * per_shard
     splitters = _splitters(keyed, total, n_parts, per_shard, tolerance, whole_tolerance) if total and n_parts > 1 else []
     rows = _count(keyed, sorted(set(splitters))) if total else {}

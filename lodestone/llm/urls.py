@@ -42,7 +42,7 @@ UNWANTED = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track",
 TRIE_LIMIT = 64 << 20
 
 
-ANY = "*"
+ANY = ("any label",)  # no host has it
 
 
 class Trie:
@@ -76,7 +76,7 @@ class Trie:
         """(rule, verdict) of the longest match; a word's or the root's rule is None."""
         node, labels, found = self.hosts, host.split(".") if host else [], [self.hosts.get(None)]
         for label in reversed(labels):
-            node = node.get(label) if label != ANY else None
+            node = node.get(label)
             if node is None:
                 break
             found.append(node.get(None))

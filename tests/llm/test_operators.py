@@ -1,6 +1,7 @@
 """Operators that move rows: against brute force on small tables."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -344,3 +345,112 @@ def test_classifier_on_held_out_labels(spark):
     guess = mixing.posteriors(docs.join(labels.filter(held), "doc_id"), model).select("toxic", "quality", F.array_position("posterior", F.array_max("posterior")).alias("k")).collect()
     good = lambda r: r.toxic == 0 and r.quality == 1
     assert sum((r.k == 1) == good(r) for r in guess) / len(guess) > 0.85
+
+
+def test_fingerprints_of_null_repeated_and_least_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_CHARS", 40)
+    ids = [None, None, -(1 << 63), -(1 << 63), 0, (1 << 60) + 1, (1 << 60) + 2, (1 << 60) + 2]
+    rows = [(i, words(6, 70 + k), 1.0, "x") for k, i in enumerate(ids)] + [(0, words(6, 74), 1.0, "x")]  # a row twice
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_next double, fingerprint string")
+    out = fingerprint.neighbour_fingerprints(df).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, *_ in rows)
+    by_id = {r.doc_id: r for r in out}
+    edited = rows[5][1][: 35 - 35 // 4] + rows[6][1][: 35 // 4], rows[5][1][: 35 - 35 // 4] + rows[7][1][: 35 // 4]
+    assert by_id[(1 << 60) + 1].edited_sha256 in {hashlib.sha256(x.encode()).hexdigest() for x in edited}
+    assert not (fingerprint.sketch("a") == fingerprint.sketch("a\0")).all() and not (fingerprint.sketch("") == fingerprint.sketch("\0")).all()
+    assert fingerprint.fingerprint(df).columns == ["doc_id", "text", "near_next", "fingerprint"]
+
+
+def plain_loss(p, tokens, goal, rounds=200_000):
+    """The least squared residual, in the Gram matrix's metric, by plain projected gradient steps to the end."""
+    w = tokens / tokens.sum()
+    metric = np.linalg.inv((p * w[:, None]).T @ p)
+    r = np.ones(len(p))
+    for _ in range(rounds):
+        after = np.maximum(0, r - p @ (metric @ ((p * (w * r)[:, None]).sum(axis=0) - goal)))
+        if np.abs(after - r).max() < 1e-12:
+            break
+        r = after
+    rest = (p * (w * r)[:, None]).sum(axis=0) - goal
+    return rest @ metric @ rest, metric
+
+
+@pytest.mark.parametrize("goal", [(0.94, 0.04, 0.02), (0.2, 0.3, 0.5), (0.98, 0.015, 0.005)])
+def test_rates_are_the_least_squares(spark, goal):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([6, 1, 0.6], 60)
+    tokens = rng.integers(1, 900, 60)
+    found = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "n_tokens long, posterior array<double>").coalesce(1).cache()
+    rates = np.array([r.rate for r in found.withColumn("rate", mixing._rate(mixing.fit(found, goal))).collect()])
+    got = (p * (tokens / tokens.sum() * rates)[:, None]).sum(axis=0) - goal
+    want, metric = plain_loss(p, tokens, np.array(goal))
+    assert (rates >= 0).all() and got @ metric @ got <= want + 1e-4
+
+
+def test_posteriors_are_those_of_the_regression(spark):
+    """Weights from a plain gradient descent give the same posteriors as the trained ones, whole texts and all words counted."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 2, (90, 5)).astype(float), rng.integers(0, 3, 90)
+    w = mixing._regress(x, y, 3, 0.5, rounds=3000)
+    ones, v = np.hstack([x, np.ones((90, 1))]), np.zeros((6, 3))
+    for _ in range(30_000):
+        z = np.exp(ones @ v)
+        v -= 0.01 * (ones.T @ (z / z.sum(axis=1, keepdims=True) - np.eye(3)[y]) + 0.5 * v)
+    assert np.abs(w - v).max() < 1e-6
+    names = [f"w{k}" for k in range(5)]
+    text = " ".join(["other"] * 5000 + ["w1", "w3", "w3"])
+    model = {n: w[k].tolist() for k, n in enumerate(names)}, w[-1].tolist()
+    got = mixing.posteriors(spark.createDataFrame([(text,), (None,)], "text string"), model).collect()
+    for r, held in zip(got, ([1, 3], []), strict=True):
+        s = np.exp(w[held].sum(axis=0) + w[-1])
+        assert np.allclose(r.posterior, s / s.sum())
+
+
+def test_secret_index_against_plain_search(spark):
+    from lodestone.llm import secrets
+
+    rng = np.random.default_rng(12)
+    bits = ["token", "tok", "en:", "ghp_", "x" * 40, "://", "me:pw@", "AKIA", "Z" * 20, "sk_live_", "a1" * 20, " ", "secret=", "eyJ", "q" * 9, ".", "é"]
+    texts = ["".join(rng.choice(bits, 6)) for _ in range(300)]
+    rules = (*secrets.BASE_RULES, *secrets.MORE_RULES)
+    df = spark.createDataFrame([(t, 1) for t in [*texts, texts[0], None, ""]], "text string, found int")
+    for bucket in (7, 4096):
+        for r in secrets.scan_secrets(df, bucket=bucket).collect():
+            want = []
+            for o, rule in enumerate(rules):
+                want += [(m.start(), o, m.end(), rule.kind) for m in re.finditer(rule.pattern, r.text or "") if len(m[rule.group]) >= rule.least]
+            assert [(x.s, x.o, x.e, x.kind) for x in r.found] == sorted(want), r.text
+
+
+def test_secret_candidates_are_the_texts_that_hold_the_trigrams(spark):
+    from lodestone.llm import secrets
+
+    queries_ = [secrets.trigram_query(r.pattern) for r in (*secrets.BASE_RULES, *secrets.MORE_RULES)]
+    grams = sorted(set().union(*map(secrets.trigrams, queries_)))
+    texts = ["a token here", "AKIA1", "nothing", "http://x", "sk_live_", "-----BEGIN PRIVATE KEY-----", "token AKIA"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    holds = lambda q, t: q[1] in t if q[0] == "tri" else (all if q[0] == "and" else any)(holds(x, t) for x in q[1])
+    want = {t: sum(1 << i for i, q in enumerate(queries_) if q != secrets.ALL and holds(q, t.lower())) for t in texts}
+    found = secrets.candidates(secrets.build_index(df, grams, bucket=2), queries_, grams)
+    key = df.select("text", F.xxhash64("text").alias("k"))
+    assert {r.text: r.rules for r in key.join(found, "k").collect()} == {t: r for t, r in want.items() if r}
+
+
+def test_encoding_streams_through_a_bounded_window():
+    model = pieces.Model(pieces.read_model(pieces.public_model()))
+    text = words(3000, 9).replace(" ", "") + " " + words(50, 10)
+    trace = []
+    assert model.encode(text, trace) == model.library.encode(text)
+    assert len(trace) > 15_000 // model.longest and max(trace) <= 4 * model.longest
+
+
+def test_tree_decides_candidates(spark, monkeypatch):
+    """Without the tree's pairs, near copies that no star edge joins stay apart."""
+    rng = np.random.default_rng(21)
+    n = rng.integers(60, 90, 300)
+    points = np.array([np.bincount(rng.integers(0, jaccard.DIMS, k), minlength=jaccard.DIMS) for k in n], np.int32)
+    order = np.lexsort((n,))
+    tree = jaccard.RTree(n[order], points[order].reshape(300, jaccard.FOLDED, -1).sum(axis=2))
+    assert [len(level[0]) for level in tree.levels] == [10, 3, 1]
+    x, y = tree.leaf_pairs(85)
+    assert (x <= y).all() and len(set(zip(x.tolist(), y.tolist(), strict=True))) == len(x) < 55
