@@ -3,6 +3,11 @@
 Quality rules drop what they reject; line dedup cuts repeated runs, and drops a
 document of which nothing is left; of each group of near duplicates one document
 stays; mixing repeats or drops documents by their rates; encoding gives ids.
+
+Null texts are rejected by the first stage, as texts without words are. Repeated
+rows are documents of their own up to the third stage, which keeps one of them.
+Null or repeated doc_ids are kept as they are. Columns beyond those of documents
+go when the tables are read. An empty table passes through all stages.
 """
 
 from __future__ import annotations
