@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of rows that go to a Python worker at once; Spark's own bound of 64 MB weighs several times that, in the JVM and in the worker, for each running task.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SHUFFLE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,16 +37,20 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished passes now, not when the driver's heap next fills up."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write once as Parquet and read back: cuts lineage and fixes row contents."""
+    """Write once as Parquet and read back: cuts lineage and fixes row contents.
+
+    The pass's shuffle files go as soon as it has ended; Spark would keep them
+    until the driver collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLE_CONF)
+    spark.conf.set(_SHUFFLE_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CONF, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out
