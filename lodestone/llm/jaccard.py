@@ -385,7 +385,8 @@ def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
     tiles = sigs.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("sig", "pivot")
     tiles = materialize(tiles, "tiles")
     members = materialize(sigs.join(tiles, "sig"), "members")
-    release(tiles)
+    whole, sets = sets, materialize(sets.select("id", "h", "n", "node"), "documents")
+    release(tiles, whole)
 
     # every node's edge to the pivot of most of its tiles
     star = members.filter("node <> pivot").groupBy("node", "pivot").count()
@@ -401,10 +402,11 @@ def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
 
     # tiles that still hold several components: best pairs first, and at last all that are left
     tested = star
-    base = members.select("sig", "node").distinct()
+    base, read = members.select("sig", "node").distinct(), [members]
     for every in (False, False, True):
         placed = base.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
         placed = materialize(placed, "placed")
+        release(*read)
         still = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("sig", "many")
         inside = placed.join(materialize(still, "open"), "sig").join(points, "node")
         found = materialize(_tile_pairs(inside, over, every), "found")
@@ -417,7 +419,7 @@ def _joined(texts: DataFrame, k: int, over: int) -> DataFrame:
         if not open_sigs.limit(1).count():
             break
         tested = tested.union(pairs)
-        base = placed.select("sig", "node").join(open_sigs, "sig", "left_semi")
+        base, read = placed.select("sig", "node").join(open_sigs, "sig", "left_semi"), [placed, found, open_sigs]
 
     named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = named.join(materialize(named.groupBy("root").agg(F.min("first").alias("least")), "least"), "root")

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +56,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.set(_SHUFFLE_CONF, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    for made in _watched.get(spark, ()):
+        made.append(out)
     return out
 
 
+#: By session, lists that get each table that is written.
+_watched: weakref.WeakKeyDictionary[SparkSession, list[list[DataFrame]]] = weakref.WeakKeyDictionary()
+
+
+@contextmanager
+def tables_made(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """The tables that are written in the body, for a later ``release``."""
+    made: list[DataFrame] = []
+    _watched.setdefault(spark, []).append(made)
+    try:
+        yield made
+    finally:
+        _watched[spark] = [x for x in _watched[spark] if x is not made]
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of ``materialize`` that nothing reads any more."""
     for df in tables:
