@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # Phrases that try to change a prompt (Java spelling).
 INJECTIONS = (
-    r"(?i)ignore\s+(all\s+|the\s+)?(previous|above)\s+instructions",
-    r"(?i)disregard\s+(all\s+|the\s+)?(previous|above)",
-    r"(?i)system\s+prompt",
+    r"(?i)ignore\s+(previous|above|all)\s+(instructions?|prompts?)",
+    r"(?i)system\s*:\s*",
     r"(?i)you\s+are\s+now\s+",
-    r"(?i)<\s*/?\s*(system|assistant)\s*>",
+    r"(?i)new\s+instructions?\s*:",
+    r"(?i)forget\s+(everything|all)",
 )
 
 
@@ -69,11 +69,37 @@ def citations(answer: Column) -> Column:
     return F.transform(numbers, lambda n: n.cast("int"))
 
 
+def fragments(answer: Column) -> Column:
+    """array<struct<n, doc, section>> of ``[Фрагмент N: document, п. X]`` marks; the section is empty where none is given."""
+    mark = r"\[Фрагмент\s+(\d+)\s*:\s*([^\],]+?)\s*(?:,\s*(?:п\.\s*([\d.]*\d)|без пункта)\s*)?\]"
+    parts = [F.regexp_extract_all(answer, F.lit(mark), F.lit(k)) for k in (1, 2, 3)]
+    zipped = F.arrays_zip(parts[0].alias("n"), parts[1].alias("doc"), parts[2].alias("section"))
+    return F.transform(zipped, lambda x: F.struct(x["n"].cast("int").alias("n"), F.trim(x["doc"]).alias("doc"), F.coalesce(x["section"], F.lit("")).alias("section")))
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, words only, single spaces: the key of texts that say the same."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^0-9a-zа-яё\s]+", ""), r"\s+", " "))
+
+
+def without_noise(text: Column) -> Column:
+    """Whole lines of page furniture go, dashes are made one, runs of spaces become one."""
+    noise = r"(?iuU)(?:Скачано с.*|Премиальная версия.*|Страница\s+\d+(?:\s+(?:из|/)\s*\d+)?|https?://\S*|\d{2}\.\d{2}\.\d{4},?\s+\d{2}:\d{2})"
+    lines = F.filter(F.split(F.replace(text, F.lit("–"), F.lit("—")), r"\r\n|\n|\r"), lambda s: ~F.rlike(F.trim(s), F.lit("^" + noise + "$")))
+    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), " {2,}", " "))
+
+
 def doc_identifiers(text: Column) -> Column:
     """Codes of standards, such as ``ISO 9001`` or ``EN 50-2018``, distinct and sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b((?:ISO|EN|IEC|ГОСТ|СП|СНиП)\s?[0-9][0-9.\-]*[0-9])"), F.lit(1))))
 
 
+def public_id(raw: Column) -> Column:
+    """``source::rest`` -> struct<source, rest>, parted at the last ``::``; without one the source is null."""
+    at = F.length(F.regexp_extract(raw, r"(?s)^(.*)::", 1))
+    return F.when(F.contains(raw, F.lit("::")), F.struct(F.substring(raw, F.lit(1), at).alias("source"), F.substring_index(raw, "::", -1).alias("rest"))).otherwise(F.struct(F.lit(None).cast("string").alias("source"), raw.alias("rest")))
+
+
 def address(raw: Column) -> Column:
     """``table 1 item 18`` -> struct<tbl, item>; missing parts are null."""
     part = lambda p: F.nullif(F.regexp_extract(F.lower(raw), p, 1), F.lit(""))

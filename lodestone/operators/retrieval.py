@@ -18,41 +18,51 @@ QUERY_BLOCK = 4096
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings: term, doc, tf, dl; terms: term, df, idf; docs: doc in corpus order; stats: one row n, avgdl."""
+    """postings: term, doc, tf; lengths: doc, dl; terms: term, df, idf; docs: doc in corpus order; stats: one row n, avgdl."""
 
     postings: DataFrame
+    lengths: DataFrame
     terms: DataFrame
     docs: DataFrame
     stats: DataFrame
 
 
 def build_index(chunks: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    tokens = chunks.select(F.col(id_col).alias("doc"), prefix_stems(F.col(text_col)).alias("tokens"))
-    tokens = tokens.withColumn("dl", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = tokens.select("doc", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    """Texts are read once: all else comes from the postings, which are kept (memory, then disk) until ``release``."""
+    tokens = chunks.select(F.col(id_col).alias("doc"), F.explode(prefix_stems(F.col(text_col))).alias("term"))
+    counted = tokens.groupBy("doc", "term").agg(F.count("*").alias("tf")).persist()
+    docs = chunks.select(F.col(id_col).alias("doc"))
+    stats = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", F.try_divide(F.col("all"), F.col("n")).alias("avgdl"))
+    lengths = counted.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    df = counted.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(stats)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row, like stats
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, tokens.select("doc"), stats)
+    return LexicalIndex(counted, lengths, terms, docs, stats)
+
+
+def release(index: LexicalIndex) -> None:
+    index.postings.unpersist()
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text_col: str, k: int) -> DataFrame:
     """query, doc, score, rank (1-based). Repeated query words count each time; ties go to the smaller doc.
 
-    Documents without a query word score 0. A query with fewer than k hits is
-    filled up with the first of them in corpus order; these stand among the
-    first 2k documents, so no query meets the whole corpus.
+    A query without words has no rows. Documents without a query word score 0.
+    A query with fewer than k hits is filled up with the first of them in corpus
+    order; these stand among the first 2k documents, so no query meets the whole
+    corpus. (Where the mean idf is negative, which takes a corpus in which most
+    words are in most documents, a document may score below 0 and a filler
+    beyond the first 2k would come before it: there the fill may be short.)
     """
     words = queries.select(F.col(query_id).alias("query"), F.explode(prefix_stems(F.col(text_col))).alias("term"))
     words = words.groupBy("query", "term").agg(F.count("*").alias("qtf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = words.join(index.terms, "term").join(index.postings, "term").join(F.broadcast(index.stats))
+    hits = words.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "doc").join(F.broadcast(index.stats))
     scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     few = index.docs.orderBy("doc").limit(2 * k).select("doc", F.lit(0.0).alias("score"))
-    filled = queries.select(F.col(query_id).alias("query")).join(F.broadcast(few))
-    both = scored.unionByName(filled).groupBy("query", "doc").agg(F.max_by("score", F.abs("score")).alias("score"))
+    filled = words.select("query").distinct().join(F.broadcast(few))
+    both = scored.unionByName(filled.select("query", "doc", "score")).groupBy("query", "doc").agg(F.max_by("score", F.abs("score")).alias("score"))
     return top_k(both, "query", [F.desc("score"), F.asc("doc")], k)
 
 
@@ -108,11 +118,13 @@ def fuse(lists: DataFrame, k: int = 60, limit: int = 12) -> DataFrame:
     """Reciprocal-rank fusion of (query, list, rank 1-based, doc): query, doc, score, rank.
 
     A document that stands twice in a list counts twice. Ties go to the
-    document seen first: by list, then rank.
+    document seen first: by list, then rank. If lists carry ``dense``, the
+    largest one of a document is carried on.
     """
-    fused = lists.groupBy("query", "doc").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
+    also = [F.max("dense").alias("dense")] if "dense" in lists.columns else []
+    fused = lists.groupBy("query", "doc").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("seen"), *also)
     out = top_k(fused, "query", [F.desc("score"), F.asc("seen")], limit)
-    return out.select("query", "doc", F.round("score", 5).alias("score"), "rank")
+    return out.select("query", "doc", F.round("score", 5).alias("score"), "rank", *(["dense"] if also else []))
 
 
 def guarantee(fused: DataFrame, lexical: DataFrame, top: int = 3) -> DataFrame:
@@ -134,27 +146,18 @@ def round_robin(lists: DataFrame, limit: int) -> DataFrame:
 def mmr(ranked: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     """Maximal marginal relevance over (query, ord, doc, family, relevance), with the share of a family as penalty.
 
-    A query with k rows or fewer comes back as it is. Groups are the short
-    lists of one query each.
+    A query with k rows or fewer comes back as it is. A query's rows are one
+    short list, over which k picks are folded: each takes the row with the
+    highest score (the first of equals), if that is above -1.
     """
+    rows = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "doc", "family", "relevance"))).alias("rows"))
+    picked = F.array().cast(rows.schema["rows"].dataType)
+
+    def pick(chosen: Column, _: Column) -> Column:
+        share = lambda r: F.coalesce(F.try_divide(F.size(F.filter(chosen, lambda c: c["family"].eqNullSafe(r["family"]))), F.size(chosen)), F.lit(0.0))
+        scored = F.transform(F.array_except(F.col("rows"), chosen), lambda r: F.struct((weight * r["relevance"] - (1 - weight) * share(r)).alias("s"), (-r["ord"]).alias("o"), r.alias("r")))
+        best = F.array_max(scored)
+        return F.when(best["s"] > -1.0, F.concat(chosen, F.array(best["r"]))).otherwise(chosen)
 
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
-        if len(pdf) > k:
-            left, chosen, families = list(range(len(pdf))), [], []
-            while left and len(chosen) < k:
-                best, at = -1.0, None
-                for i in left:
-                    share = families.count(pdf["family"][i]) / len(families) if families else 0.0
-                    score = weight * pdf["relevance"][i] - (1 - weight) * share
-                    if score > best:
-                        best, at = score, i
-                if at is None:
-                    break
-                chosen.append(at)
-                families.append(pdf["family"][at])
-                left.remove(at)
-            pdf = pdf.iloc[chosen].reset_index(drop=True)
-        return pd.DataFrame({"query": pdf["query"], "doc": pdf["doc"], "rank": np.arange(1, len(pdf) + 1, dtype=np.int32)})
-
-    return ranked.groupBy("query").applyInPandas(select, "query long, doc long, rank int")
+    taken = F.when(F.size("rows") <= k, F.col("rows")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(k)), picked, pick))
+    return rows.select("query", F.posexplode(taken).alias("at", "r")).select("query", "r.doc", (F.col("at") + 1).cast("int").alias("rank"))

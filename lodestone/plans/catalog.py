@@ -41,7 +41,7 @@ raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(coun
 terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
 qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT item_id AS query, unnest({STEMS}) AS term FROM benchmark) GROUP BY ALL),
 hit AS (SELECT query, doc, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM qt JOIN terms USING (term) JOIN post USING (term), st GROUP BY ALL),
-allq AS (SELECT item_id AS query, doc_id AS doc FROM benchmark, documents),
+allq AS (SELECT query, doc_id AS doc FROM (SELECT DISTINCT query FROM qt), documents),
 scored AS (SELECT query, doc, round(coalesce(s, 0), 6) AS score FROM allq LEFT JOIN hit USING (query, doc)),
 lex AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored QUALIFY rank <= 24)"""
 DENSE = """
@@ -288,9 +288,9 @@ DIVERSITY = "div AS (SELECT query, count(*) AS n_families, round(max(n) / sum(n)
 OVERLAP = f"""qs AS (SELECT DISTINCT query, term FROM qt), ps AS (SELECT DISTINCT query, unnest({STEMS}) AS term FROM fused JOIN documents ON doc_id = doc),
 ov AS (SELECT b.item_id AS query, round(coalesce(count(ps.term) / nullif(count(qs.term), 0), 1.0), 6) AS overlap FROM benchmark b LEFT JOIN qs ON qs.query = b.item_id LEFT JOIN ps ON ps.query = qs.query AND ps.term = qs.term GROUP BY 1)"""
 SIGNALS = f"""{FUSED},{DIVERSITY},{OVERLAP},
-sig AS (SELECT f.query, max(round(1 / (1 + distance), 6)) AS top_score, count(*) AS n_passages FROM fused f LEFT JOIN den ON den.query = f.query AND den.doc = f.doc GROUP BY 1),
-gt AS (SELECT s.*, overlap, max_share, coalesce(top_score, 0) >= 0.5 AS pass_score, n_passages >= 3 AS pass_count, overlap >= 0.3 AS pass_overlap FROM sig s JOIN ov USING (query) JOIN div USING (query)),
-tri AS (SELECT *, pass_score AND pass_count AND pass_overlap AS sufficient, CASE WHEN pass_score AND pass_count AND pass_overlap AND max_share <= 0.5 THEN 'sufficient' WHEN coalesce(top_score, 0) >= 0.44 AND pass_count THEN 'borderline' ELSE 'clearly_bad' END AS verdict FROM gt)"""
+sig AS (SELECT f.query, max(coalesce(round(1 / (1 + distance), 6), 0)) AS top_score, count(*) AS n_passages FROM fused f LEFT JOIN den ON den.query = f.query AND den.doc = f.doc GROUP BY 1),
+gt AS (SELECT s.*, overlap, max_share, top_score >= 0.5 AS pass_score, n_passages >= 5 AS pass_count, overlap >= 0.15 AS pass_overlap FROM sig s JOIN ov USING (query) JOIN div USING (query)),
+tri AS (SELECT *, pass_score AND pass_count AND pass_overlap AS sufficient, CASE WHEN pass_score AND pass_count AND pass_overlap THEN 'sufficient' WHEN top_score < 0.38 OR NOT pass_count THEN 'clearly_bad' ELSE 'borderline' END AS verdict FROM gt)"""
 
 
 def _passages(spark, d):
@@ -299,11 +299,14 @@ def _passages(spark, d):
 
 
 def _signals(spark, d):
-    passages = _passages(spark, d)
+    """From one fused list: it carries each passage's dense score, so nothing is retrieved twice."""
+    dense = _dense(spark, d).select("query", "doc", F.round(similarity(F.col("distance")), 6).alias("score"), "rank")
+    lists = dense.select("query", F.lit(0).alias("list"), "rank", "doc", F.col("score").alias("dense")).hint("rebalance")
+    lists = lists.unionByName(_lexical(spark, d).select("query", F.lit(1).alias("list"), "rank", "doc", F.lit(None).cast("double").alias("dense")).hint("rebalance"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("family"), "text")
+    passages = retrieval.fuse(lists).drop("score").withColumnRenamed("dense", "score").join(docs, "doc", "left")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
-    dense = _dense(spark, d).select("query", "doc", F.round(similarity(F.col("distance")), 6).alias("s"))
-    top = _fused(spark, d).join(dense, ["query", "doc"], "left").groupBy("query").agg(F.max("s").alias("top_score"), F.count("*").alias("n_passages"))
-    return top.join(gates.keyword_overlap(items, passages), "query").join(gates.diversity(passages).select("query", "max_share"), "query")
+    return gates.signals(passages, items), passages, items
 
 
 @query(f"WITH {FUSED},{DIVERSITY} SELECT * FROM div")
@@ -319,20 +322,26 @@ def keyword_overlap(spark, d):
 
 @query(f"WITH {SIGNALS} SELECT query, top_score, n_passages, pass_score, pass_count, pass_overlap, sufficient FROM tri")
 def hard_gates(spark, d):
-    return gates.hard_gates(_signals(spark, d)).select("query", "top_score", "n_passages", "pass_score", "pass_count", "pass_overlap", "sufficient")
+    return gates.hard_gates(_signals(spark, d)[0]).select("query", "top_score", "n_passages", "pass_score", "pass_count", "pass_overlap", "sufficient")
 
 
 @query(f"WITH {SIGNALS} SELECT query, verdict FROM tri")
 def triage3(spark, d):
-    return gates.triage(gates.hard_gates(_signals(spark, d))).select("query", "verdict")
+    return gates.triage(gates.hard_gates(_signals(spark, d)[0])).select("query", "verdict")
 
 
 @query(
-    f"""WITH {SIGNALS} SELECT query, CASE WHEN n_passages = 0 THEN 'abstain' WHEN verdict = 'sufficient' THEN 'answer' WHEN verdict = 'borderline' THEN 'deep' ELSE 'abstain' END AS route,
-CASE WHEN n_passages = 0 THEN 'no_passages' WHEN verdict = 'sufficient' THEN 'sufficient' WHEN verdict = 'borderline' AND NOT pass_overlap THEN 'low_overlap' WHEN verdict = 'borderline' THEN 'borderline' ELSE 'clearly_bad' END AS reason FROM tri"""
+    f"""WITH {SIGNALS}, v AS (SELECT b.item_id AS query, coalesce(n_passages, 0) AS n, coalesce(overlap, 0) AS o, coalesce(verdict, 'clearly_bad') AS verdict, sufficient,
+  regexp_matches(lower(b.text), 'кто\\s+проходит|кто\\s+обязан|какие\\s+категори[яи]|в\\s+каких\\s+случаях|перечислите|какие\\s+работники|каким\\s+работникам') AS wants FROM benchmark b LEFT JOIN tri ON tri.query = b.item_id)
+SELECT query, CASE WHEN n = 0 OR o <= 0 THEN 'abstain' WHEN wants THEN 'complex' WHEN sufficient THEN 'generate' ELSE 'complex' END AS route,
+CASE WHEN n = 0 THEN 'empty_pool' WHEN o <= 0 THEN 'zero_overlap_both' WHEN wants THEN 'enumeration_intent' WHEN verdict <> 'sufficient' THEN 'triage_' || verdict ELSE 'context_sufficient' END AS reason FROM v"""
 )
 def decision_table(spark, d):
-    return gates.decide(gates.triage(gates.hard_gates(_signals(spark, d)))).select("query", "route", "reason")
+    """No passage of the driver's tables refers to another clause, so the oracle leaves that row out; literal rows cover it."""
+    signals, passages, items = _signals(spark, d)
+    gaps = gates.open_references(passages.withColumnRenamed("rank", "ord"))
+    validated = gates.obligations(gates.triage(gates.hard_gates(signals)), items, gaps)
+    return gates.decide(validated).select("query", "route", "reason")
 
 
 @query("SELECT source, doc_id, used::BIGINT AS used FROM (SELECT source, doc_id, sum(len(text) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 6000")
@@ -414,7 +423,7 @@ def route_matrix_8(spark, d):
 SELECT s::DOUBLE AS score_at, o::DOUBLE AS overlap_at, count(*) FILTER (coalesce(top_score, 0) >= s AND overlap >= o) AS accepted, count(*) FILTER (coalesce(top_score, 0) >= s AND overlap >= o AND n_passages >= 12) AS good FROM tri, g GROUP BY ALL"""
 )
 def threshold_grid(spark, d):
-    s = _signals(spark, d).select(F.coalesce("top_score", F.lit(0.0)).alias("top_score"), "overlap", (F.col("n_passages") >= 12).alias("good"))
+    s = _signals(spark, d)[0].select(F.coalesce("top_score", F.lit(0.0)).alias("top_score"), "overlap", (F.col("n_passages") >= 12).alias("good"))
     return metrics.threshold_grid(s, [0.4, 0.45, 0.5], [0.2, 0.5, 0.8])
 
 
