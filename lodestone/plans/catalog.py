@@ -265,8 +265,8 @@ def panel_latest_negative(spark, d):
 
 @query(f"SELECT event_type AS path, grouping(event_type)::INT AS overall, count(*) AS n, sum({COST})::BIGINT AS cents, round(avg({COST}), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type), ())")
 def cost_by_path_grouping(spark, d):
-    _events(spark, d).createOrReplaceTempView("lodestone_events")
-    return spark.sql("SELECT event_type AS path, CAST(grouping(event_type) AS INT) AS overall, count(*) AS n, sum(cost) AS cents, round(avg(cost), 6) AS mean FROM lodestone_events GROUP BY GROUPING SETS ((event_type), ())")
+    at = _events(spark, d).withColumnRenamed("event_type", "path").rollup("path")
+    return at.agg(F.grouping("path").cast("int").alias("overall"), F.count("*").alias("n"), F.sum("cost").alias("cents"), F.round(F.avg("cost"), 6).alias("mean"))
 
 
 @query(f"SELECT user_id, sum(coalesce({COST}, 0))::BIGINT AS tokens FROM events GROUP BY 1")
@@ -361,11 +361,6 @@ def dense_chunk_id(spark, d):
     return packing.dense_ids(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text <> '' GROUP BY text")
-def exact_dedup_first(spark, d):
-    docs = table(spark, d, "documents").filter("text <> ''").select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
-    return docs.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
-
 
 @query("SELECT source, sum(c)::BIGINT AS n, sha256(string_agg(h || ':' || c, ',' ORDER BY h || ':' || c)) AS digest FROM (SELECT source, sha256(text) AS h, count(*) AS c FROM documents GROUP BY ALL) GROUP BY source")
 def multiset_digest(spark, d):
@@ -393,11 +388,6 @@ def interval_merge(spark, d):
     return packing.merge_intervals(rows, "user_id", "lo", "hi")
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS item, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'gold' ELSE 'disputed' END AS status FROM (SELECT doc_id FROM labels WHERE quality = 1) a FULL JOIN (SELECT doc_id FROM labels WHERE toxic = 0) b ON a.doc_id = b.doc_id")
-def label_pass_merge(spark, d):
-    lab = table(spark, d, "labels").withColumnRenamed("doc_id", "item")
-    return metrics.label_merge(lab.filter("quality = 1").select("item"), lab.filter("toxic = 0").select("item"))
-
 
 @query(
     f"""WITH {KNN}, q AS (SELECT DISTINCT query FROM ranked), h AS (SELECT r.query, min(rank) AS first FROM ranked r JOIN rel USING (query, doc) GROUP BY 1),
@@ -433,7 +423,7 @@ def judge_agreement(spark, d):
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', chr(34)).replace('&#39;', '''').replace('&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages")
-def boilerplate_clean(spark, d):
+def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("body"))
 
 
