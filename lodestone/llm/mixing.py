@@ -19,7 +19,7 @@ whose rate is above zero, which scales the next gradient; a step that does not
 lower the dual objective is halved. Rates are never stored.
 
 What is collected: the classifier's vocabulary, at most ``vocabulary`` words,
-which of them each labelled document of the sample holds (a byte each), and
+which of them each labelled document of the sample holds, and
 some numbers per domain. The classifier is fitted on a bounded sample: about
 ``max_train`` labelled documents, chosen by a hash of the id. All else covers all
 rows, and whole texts.
@@ -34,6 +34,8 @@ that clash with outputs are replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ from lodestone.llm.text import let
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.94, 0.04, 0.02)
-MAX_TRAIN, VOCABULARY = 20_000, 400
+MAX_TRAIN, VOCABULARY, SLOTS = 20_000, 400, 128
 #: Weight of the squared weights in the classifier's loss: grows with the labels up to RIDGE, which RIDGE_LABELS of them reach, so that few labels are not drowned by it.
 RIDGE, RIDGE_LABELS = 1.0, 2000
 #: Weight of the rates' squared distance from 1 beside the squared residual.
@@ -114,11 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_tr
     seen = sum((F.col(f"n{k}") for k in range(1, len(DOMAINS))), F.col("n0"))
     gain = sum((F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * F.log((F.col(f"n{k}") / seen) / F.lit((sizes.get(k, 0) + 1) / (every + len(DOMAINS))))).otherwise(0.0) for k in range(len(DOMAINS))), F.lit(0.0))
     top = sorted(r["w"] for r in per.withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "w").limit(vocabulary).collect())
-    # a byte a word and labelled row: MAX_TRAIN x VOCABULARY bytes at most come to the driver
-    bits = F.array_join(F.transform(F.array(*map(F.lit, top)), lambda w: F.array_contains("held", w).cast("int").cast("string")), "") if top else F.lit("")
-    got = rows.groupBy("k", bits.alias("bits")).count().collect()
+    # of each labelled row the numbers of its words come to the driver, MAX_TRAIN x VOCABULARY at most
+    chosen = F.array(*map(F.lit, top))
+    numbers = F.array_sort(F.transform(F.filter("held", lambda w: w.isin(top)), lambda w: F.array_position(chosen, w).cast("int") - 1)) if top else F.array().cast("array<int>")
+    got = rows.groupBy("k", numbers.alias("at")).count().collect()
     times = [r["count"] for r in got]
-    x = np.frombuffer("".join(r["bits"] for r in got).encode(), np.uint8).reshape(len(got), len(top)).astype(float) - ord("0")
+    x = np.zeros((len(got), len(top)))
+    for i, r in enumerate(got):
+        x[i, r["at"]] = 1.0
     w = _regress(np.repeat(x, times, axis=0), np.repeat([r["k"] for r in got], times), len(DOMAINS), min(RIDGE, sum(times) * RIDGE / RIDGE_LABELS))
     return {t: [float(v) for v in w[i]] for i, t in enumerate(top)}, [float(v) for v in w[-1]]
 
@@ -131,9 +136,14 @@ def posteriors(docs: DataFrame, model: tuple[dict[str, list[float]], list[float]
         return out.withColumn("posterior", literal(targets)).drop("__words", "__marks")
     weights, constants = model
     words = sorted(weights)
-    table = F.create_map(*(x for w in words for x in (F.lit(w), literal(weights[w])))) if words else None
+    # a map is searched from end to end, so words are dealt to small ones by a checksum
+    slots: list[list[str]] = [[] for _ in range(SLOTS)]
+    for w in words:
+        slots[zlib.crc32(w.encode()) % SLOTS].append(w)
+    table = F.array(*(F.create_map(*(x for w in ws or [""] for x in (F.lit(w), literal(weights.get(w, constants))))) for ws in slots)) if words else None
+    of = lambda w: F.element_at(F.get(table, (F.crc32(w.cast("binary")) % SLOTS).cast("int")), w)
     hits = F.concat(F.array_distinct(F.filter("__words", lambda w: w.isin(words))), F.filter("__marks", lambda w: w.isin(words)))
-    score = F.aggregate(hits, literal(constants), lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y)) if words else literal(constants)
+    score = F.aggregate(hits, literal(constants), lambda a, w: F.zip_with(a, of(w), lambda x, y: x + y)) if words else literal(constants)
     powers = lambda s: let(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp(x - m)))
     share = lambda ps: let(F.aggregate(ps, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(ps, lambda x: x / t))
     return out.withColumn("posterior", let(let(score, powers), share)).drop("__words", "__marks")
