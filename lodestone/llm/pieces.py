@@ -31,8 +31,8 @@ from lodestone.llm.store import bound_batches
 
 SPACE = "▁"
 MODEL_LIMIT = 64 << 20
-#: Words of a generation of the memory of encoded words, and pairs of pieces that are remembered: a worker holds about 50 MB of them.
-CACHE, FITS, HEAD = 100_000, 200_000, 6
+#: Words of a generation of the memory of encoded words, and pairs of pieces that are remembered: a worker holds about 150 MB of them.
+CACHE, FITS, HEAD = 200_000, 400_000, 6
 LONG_TEXT = 1 << 16
 LEAST, TWO = -math.inf, (2,)
 
@@ -61,7 +61,7 @@ class Model:
         self.surface[self.unknown] = " ⁇ ".encode()
         # where every piece holds SPACE at its start only, no piece crosses into a space from a letter
         self.cuts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if all(SPACE not in p.lstrip(SPACE) for p in self.ids) else None
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[int, bool] = {}  # by the numbers of two pieces whether merging leaves them side by side
         self._split: dict[str, tuple[str, str] | None] = {}
         # pieces that merging makes: all that a path may hold besides single code points
         self.whole = {p for p in self.ids if self.bpe and self._halves(p)}
@@ -70,10 +70,12 @@ class Model:
             if len(p) > 2:
                 ends.setdefault(p[-3:], {2} if p[-2:] in self.whole else set()).add(len(p))
         self.ends = {e: tuple(sorted(x, reverse=True)) for e, x in ends.items()}  # by a piece's last three code points the lengths, longest first
+        self._numbers = {p: k for k, p in enumerate(sorted(self.whole))}  # of pieces, and of single code points as they come
+        self._of = [(self.ids[p],) for p in self._numbers]  # by number the ids
         # parts encoded before: what was met lately, and what was met before that
         self._known: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        self._heads: dict[str, list[int]] = {}  # back pointers of the beginnings of runs
+        self._heads: dict[str, tuple[list[int], list[int]]] = {}  # back pointers of the beginnings of runs
 
     # -- merge order
 
@@ -112,14 +114,8 @@ class Model:
         Both are taken apart from their last merge backwards; at each step the
         two parts at the boundary must not merge before the step just undone.
         """
-        key = (left, right)
-        found = self._fits.get(key)
-        if found is None:
-            if len(self._fits) > FITS:
-                self._fits.clear()
-            plain = len(left) + len(right) > 2 and left[-1] == right[0] == SPACE  # runs of spaces have equal scores
-            found = self._fits[key] = self._merged(left + right) == [left, right] if plain else self._apart(left, right)
-        return found
+        plain = len(left) + len(right) > 2 and left[-1] == right[0] == SPACE  # runs of spaces have equal scores
+        return self._merged(left + right) == [left, right] if plain else self._apart(left, right)
 
     def _apart(self, left: str, right: str) -> bool:
         rank = lambda x: self.scores.get(x, 0.0) if len(x) > 1 else math.inf
@@ -142,12 +138,13 @@ class Model:
         """Pieces of a text that comes in chunks, each as soon as it is certain. trace: gets the window's size after each chunk."""
         window = ""  # text from the last committed boundary
         back: list[int] = [0]  # for each position of the window the length of the piece that ends there
+        tail: list[int] = [0]  # and that piece's number
         best: list[float] = [0.0]
         last = ""  # the piece before the window
         for chunk in chunks:
             window += chunk
             if self.bpe:
-                self._extend_bpe(window, back, last)
+                self._extend_bpe(window, back, tail, last)
             else:
                 self._extend_unigram(window, back, best)
             n = len(window)
@@ -155,35 +152,49 @@ class Model:
                 done = self._path(window, back, at)
                 yield from done
                 last, window, back = done[-1], window[at:], [0, *back[at + 1 :]]
-                best = [s - best[at] for s in best[at:]] if not self.bpe else best
+                if self.bpe:
+                    tail = tail[at:]
+                else:
+                    best = [s - best[at] for s in best[at:]]
             if trace is not None:
                 trace.append(len(window))
         yield from self._path(window, back, len(window))
 
-    def _extend_bpe(self, window: str, back: list[int], last: str) -> None:
+    def _extend_bpe(self, window: str, back: list[int], tail: list[int], last: str) -> None:
         """Back pointers of the positions that the window has gained: of the pieces that end there the longest that follows the path before it."""
-        ends, known, fits, follows = self.ends, self.whole, self._fits, self._follows
+        ends, numbers, fits, follows = self.ends, self._numbers, self._fits, self._follows
         for n in range(len(back), len(window) + 1):
-            step = 1
+            step = 0
             lengths = ends.get(window[n - 3 : n]) if n > 2 else None
             if lengths is None:
-                lengths = TWO if n > 1 and window[n - 2 : n] in known else ()
+                lengths = TWO if n > 1 and window[n - 2 : n] in numbers else ()
             for length in lengths:
                 start = n - length
                 if start > 0:
-                    piece = window[start:n]
-                    if piece in known:
-                        before = window[start - back[start] : start]
-                        ok = fits.get((before, piece))
-                        if follows(before, piece) if ok is None else ok:
+                    number = numbers.get(window[start:n])
+                    if number is not None:
+                        key = tail[start] << 24 | number
+                        ok = fits.get(key)
+                        if ok is None:
+                            if len(fits) > FITS:
+                                fits.clear()
+                            ok = fits[key] = follows(window[start - back[start] : start], window[start:n])
+                        if ok:
                             step = length
                             break
                 elif start == 0:
-                    piece = window[:n]
-                    if piece in known and (not last or follows(last, piece)):
+                    number = numbers.get(window[:n])
+                    if number is not None and (not last or follows(last, window[:n])):
                         step = length
                         break
+            if not step:
+                step, one = 1, window[n - 1]
+                number = numbers.get(one)
+                if number is None:
+                    number = numbers[one] = len(numbers)  # one for each code point at most
+                    self._of.append(self._ids(one))
             back.append(step)
+            tail.append(number)
 
     def _extend_unigram(self, window: str, back: list[int], best: list[float]) -> None:
         for n in range(len(back), len(window) + 1):
@@ -231,28 +242,24 @@ class Model:
     def _searched(self, part: str, trace: list[int] | None) -> list[int]:
         """Ids of a run that paths enter and leave at its ends. Within one chunk's reach it is a window of its own, committed at its end."""
         if len(part) > 2 * self.longest or not self.bpe:
-            pieces = self.search(self._slices(part), trace)
-        else:
-            head = part[:HEAD]
-            back = self._heads.get(head)
-            if back is None:  # words that begin alike share the search of their beginning
-                self._extend_bpe(head, back := [0], "")
-                if len(self._heads) > CACHE:
-                    self._heads.clear()
-                self._heads[head] = back
-            back = back.copy()
-            self._extend_bpe(part, back, "")
-            pieces = self._path(part, back, len(part))
-            if trace is not None:
-                trace.append(len(part))
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is None:
-                out += self._ids(p)
-            else:
-                out.append(i)
-        return out
+            return [i for p in self.search(self._slices(part), trace) for i in self._ids(p)]
+        head = part[:HEAD]
+        begun = self._heads.get(head)
+        if begun is None:  # words that begin alike share the search of their beginning
+            begun = [0], [0]
+            self._extend_bpe(head, *begun, "")
+            if len(self._heads) > CACHE:
+                self._heads.clear()
+            self._heads[head] = begun
+        back, tail = begun[0].copy(), begun[1].copy()
+        self._extend_bpe(part, back, tail, "")
+        if trace is not None:
+            trace.append(len(part))
+        at, found, of = len(part), [], self._of
+        while at:
+            found.append(of[tail[at]])
+            at -= back[at]
+        return [i for ids in reversed(found) for i in ids]
 
     def encode(self, text: str, trace: list[int] | None = None) -> list[int]:
         """Ids of a text; trace: gets the window's size after each chunk that the search takes.
