@@ -31,8 +31,8 @@ from lodestone.llm.store import bound_batches
 
 SPACE = "▁"
 MODEL_LIMIT = 64 << 20
-#: Words of a generation of the memory of encoded words, and pairs of pieces that are remembered: a worker holds about 150 MB of them.
-CACHE, FITS, HEAD = 200_000, 400_000, 6
+#: Words of a generation of the memory of encoded words, and pairs of pieces that are remembered: a busy worker holds about 200 MB of them.
+CACHE, FITS, HEAD = 300_000, 400_000, 6
 LONG_TEXT = 1 << 16
 LEAST, TWO = -math.inf, (2,)
 
@@ -227,6 +227,10 @@ class Model:
             at -= back[at]
         return out[::-1]
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the later half of its words only."""
+        self._older = {}
+
     # -- ids
 
     def _ids(self, piece: str) -> tuple[int, ...]:
@@ -318,6 +322,7 @@ def _with_model(docs: DataFrame, proto: bytes, schema: T.StructType, names: list
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *work(model, piece)], names=[*batch.schema.names, *names])
+        model.rest()
 
     return docs.mapInArrow(run, schema)
 
