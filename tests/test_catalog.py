@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lodestone.plans import catalog, catalog_more  # noqa: F401  the second adds to the first's registry
+from lodestone.plans import acts, catalog, catalog_more  # noqa: F401  the others add to the registry of catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
