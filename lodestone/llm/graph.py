@@ -19,12 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.union(both.select("v", "u")).union(both.select("u", "u")).union(both.select("v", "v"))
     both = materialize(both.distinct(), "edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("label")), "labels")
+    size = both.count()  # a bound of all that follows
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("label")), "labels", size)
     while True:
         step = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("label"), F.min(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("was"))
-        step = materialize(step, "steps")
+        step = materialize(step, "steps", size)
         far = step.select(F.col("u").alias("label"), F.col("label").alias("next"))
-        reached = materialize(step.join(far, "label").select("u", F.least("label", "next").alias("label"), "was"), "labels")
+        reached = materialize(step.join(far, "label").select("u", F.least("label", "next").alias("label"), "was"), "labels", size)
         release(labels, step)
         if not reached.filter("label <> was").limit(1).count():
             release(both)

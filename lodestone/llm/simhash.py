@@ -173,21 +173,22 @@ def _finer(tiles: DataFrame, masks: list[int], bits: int, blocks: int) -> DataFr
 def linked(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, block: int = BLOCK, refine: int = REFINE) -> DataFrame:
     """nodes: distinct fp -> fp, root of all that are linked with another one."""
     masks = key_masks(list(range(64)), blocks, bits)
+    size = nodes.count()
     keyed = nodes.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("at")).select("at.t", "at.key", "fp")
     shared = keyed.groupBy("t", "key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).filter("pivot <> last").select("t", "key", "pivot")
-    members = materialize(keyed.join(materialize(shared, "buckets"), ["t", "key"]), "members")
+    members = materialize(keyed.join(shared, ["t", "key"]), "members", len(masks) * size)
     close = (F.col("fp") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= bits)
-    links = materialize(members.filter(close).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
+    links = materialize(members.filter(close).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "links", len(masks) * size)
     roots = components(links)
 
     placed = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("t", "key", "fp", F.coalesce("root", "fp").alias("comp"))
-    placed = materialize(placed, "placed")
+    placed = materialize(placed, "placed", len(masks) * size)
     release(members)
 
     def still(tiles: DataFrame) -> DataFrame:
         """Tiles with several components, and how many members they have."""
         seen = tiles.groupBy("t", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"))
-        return materialize(seen.filter("lo <> hi").select("t", "key", "many"), "open")
+        return materialize(seen.filter("lo <> hi").select("t", "key", "many"), "open", len(masks) * size)
 
     unsolved = still(placed)
     inside = placed.join(unsolved, ["t", "key"])
@@ -202,11 +203,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row per row of ``docs``: id, fingerprint (long) and component_id."""
     rows = fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     rows = materialize(rows.select("id", F.col("fingerprint").alias("fp")), "prints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    size = rows.count()
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes", size)
     roots = linked(nodes.select("fp"), bits, **sizes)
     named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
+    named = materialize(named, "named", size)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    whose = materialize(named.join(least, "root").select("fp", "component_id"), "whose")
+    whose = materialize(named.join(least, "root").select("fp", "component_id"), "whose", size)
     release(nodes, named)
     return rows.join(whose, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that go to a Python worker at once; Spark's own bound of 64 MB weighs several times that, in the JVM and in the worker, for each running task.
 BATCH_BYTES = 4 << 20
+#: Rows of a file of a table whose number of rows is known.
+FILE_ROWS = 500_000
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHUFFLE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -40,13 +42,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write once as Parquet and read back: cuts lineage and fixes row contents.
 
+    Where ``rows`` bounds the table, its files are as few as that allows; else
+    each task writes one, however small.
+
     The pass's shuffle files go as soon as it has ended; Spark would keep them
     until the driver collects garbage.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_SHUFFLE_CONF)
     spark.conf.set(_SHUFFLE_CONF, "true")
