@@ -39,8 +39,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from lodestone.llm.store import bound_batches, materialize
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-#: Numbers that a task holds at once for pairs of vectors and entries.
-HELD = 1 << 22
+#: Pairs of vectors and entries that a task bounds at once, and those that it measures at once.
+HELD, MEASURED = 1 << 20, 1 << 16
 
 
 class Bounds:
@@ -60,14 +60,17 @@ class Bounds:
             blocks *= 2
 
 
-def _bound(v: Bounds, e: Bounds, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Lower bounds of pairs; i and j broadcast against each other."""
+def _bound(v: Bounds, e: Bounds, level: int) -> np.ndarray:
+    """Lower bounds for every vector and entry. Block means are compared by one product; the slack covers what that loses."""
     (s, r), (t, q) = v.levels[level], e.levels[level]
-    apart = np.maximum(np.abs(r[i] - q[j]) - 1e-6 * (v.norm[i] + e.norm[j]), 0)
-    out = apart**2
-    for b in range(s.shape[1]):
-        out += (s[i, b] - t[j, b]) ** 2
-    return out * (1 - 1e-9) - 0.5  # distances are whole
+    out = np.abs(r[:, None] - q[None, :])
+    out -= 1e-6 * (v.norm[:, None] + e.norm[None, :])
+    np.maximum(out, 0, out=out)
+    out *= out
+    out += ((s**2).sum(axis=1) - 1e-9 * v.norm**2 - 0.5)[:, None]
+    out += ((t**2).sum(axis=1) - 1e-9 * e.norm**2)[None, :]
+    out -= (2 * s) @ t.T
+    return out
 
 
 def nearest(v: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -76,31 +79,36 @@ def nearest(v: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, in
     if not v.shape[1]:
         return index, distance, exact
     entries = Bounds(book)
-    step = max(1, HELD // (len(book) * v.shape[1]))
-    apart = lambda part, i, j: ((part[i] - book[j]) ** 2).sum(axis=1)
+
+    def apart(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.int64)
+        for at in range(0, len(i), MEASURED):
+            gap = part[i[at : at + MEASURED]] - book[j[at : at + MEASURED]]
+            out[at : at + MEASURED] = np.einsum("ij,ij->i", gap, gap)
+        return out
+
+    step = max(1, HELD // len(book))
     for at in range(0, len(v), step):
         part = v[at : at + step]
         mine, rows = Bounds(part), np.arange(len(part))
-        bound = _bound(mine, entries, 0, rows[:, None], np.arange(len(book))[None, :])
-        known = apart(part, rows, bound.argmin(axis=1))
-        i, j = np.nonzero(bound <= known[:, None])
-        bound = bound[i, j]
-        exact += len(part)
-        for level in range(1, len(mine.levels)):
-            bound = np.maximum(bound, _bound(mine, entries, level, i, j))
-            keep = bound <= known[i]
-            i, j, bound = i[keep], j[keep], bound[keep]
-            order = np.lexsort((bound, i))
-            best = order[np.r_[True, i[order][1:] != i[order][:-1]]]  # each row's most hopeful entry
-            np.minimum.at(known, i[best], apart(part, i[best], j[best]))
-            exact += len(best)
-        keep = bound <= known[i]
-        i, j = i[keep], j[keep]
+        alive, known = np.ones((len(part), len(book)), bool), None
+        for level in range(len(mine.levels)):
+            bound = _bound(mine, entries, level)
+            if known is not None:
+                alive &= bound <= known[:, None]
+            hope = np.where(alive, bound, np.inf).argmin(axis=1)
+            found = apart(part, rows, hope)
+            known = found if known is None else np.minimum(known, found)
+            alive &= bound <= known[:, None]
+            exact += len(part)
+        i, j = np.nonzero(alive)
         d = apart(part, i, j)
         exact += len(d)
-        order = np.lexsort((j, d, i))
-        first = order[np.r_[True, i[order][1:] != i[order][:-1]]]
-        index[at : at + step], distance[at : at + step] = j[first], d[first]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])  # the entry that gave the known distance is alive in every row
+        least = np.minimum.reduceat(d, starts)
+        hit = np.flatnonzero(d == least[i])
+        first = hit[np.r_[True, i[hit][1:] != i[hit][:-1]]]
+        index[at : at + step], distance[at : at + step] = j[first], least
     return index, distance, exact
 
 
