@@ -66,9 +66,10 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text_col: str,
     return top_k(both, "query", [F.desc("score"), F.asc("doc")], k)
 
 
-def top_k(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+def top_k(rows: DataFrame, group: str | list[str], order: list[Column], k: int) -> DataFrame:
     """Adds ``rank``; the filter on it lets each task keep k rows of a group before they are exchanged."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
+    groups = [group] if isinstance(group, str) else group
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

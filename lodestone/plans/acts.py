@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import structure as st
 from lodestone.functions.arrays import let
 from lodestone.operators import align as al
+from lodestone.operators import context as cx
 from lodestone.operators import scan
-from lodestone.plans.catalog import FUSED, _fused, query
+from lodestone.operators.settle import settle
+from lodestone.plans.catalog import FUSED, _fused, _lexical, query
 from lodestone.session import table
 
 # ---- regulations from prose
@@ -22,8 +24,8 @@ from lodestone.session import table
 _MARKS = {
     1: ("'Статья ' || (i // 9 + 1) || '. ' || p", lambda p, i: F.concat(F.lit("Статья "), (F.floor(i / 9) + 1).cast("string"), F.lit(". "), p)),
     2: ("'1. ' || p || ' Согласно пункту 3 настоящих Правил.'", lambda p, i: F.concat(F.lit("1. "), p, F.lit(" Согласно пункту 3 настоящих Правил."))),
-    3: ("'а) ' || p", lambda p, i: F.concat(F.lit("а) "), p)),
-    4: ("'б) ' || p", lambda p, i: F.concat(F.lit("б) "), p)),
+    3: ("'1. а) ' || p", lambda p, i: F.concat(F.lit("1. а) "), p)),
+    4: ("'1. б) ' || p", lambda p, i: F.concat(F.lit("1. б) "), p)),
     5: ("'2. ' || p || ' По статье 213 Трудового кодекса.'", lambda p, i: F.concat(F.lit("2. "), p, F.lit(" По статье 213 Трудового кодекса."))),
     6: ("'а) ' || p", lambda p, i: F.concat(F.lit("а) "), p)),
     8: ("'3. ' || p || ' Согласно статье ' || (1 + i * 7 % 5) || '.'", lambda p, i: F.concat(F.lit("3. "), p, F.lit(" Согласно статье "), (1 + i * 7 % 5).cast("string"), F.lit("."))),
@@ -182,14 +184,14 @@ def parent_windows(spark, d):
     return _windows(spark, d)
 
 
-#: The first three chunks of each question's fused documents, in order.
-PASSAGES = f"""{FUSED}, pass AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY rank, ord) AS rank, f.doc, ord AS chunk, body AS text, score FROM fused f JOIN chunks c ON c.doc = f.doc AND c.ord < 3)"""
+#: The first three chunks of each question's four best documents, in order.
+PASSAGES = f"""{FUSED}, pass AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY rank, ord) AS rank, f.doc, ord AS chunk, body AS text, score FROM fused f JOIN chunks c ON c.doc = f.doc AND c.ord < 3 AND f.rank <= 4)"""
 
 
 def act_passages(spark, d) -> DataFrame:
     """query, rank, doc, chunk, text, score."""
     near = act_chunks(spark, d).filter("ord < 3").select("doc", F.col("ord").alias("chunk"), F.col("body").alias("text"))
-    rows = _fused(spark, d).select("query", F.col("rank").alias("__rank"), "doc", "score").join(near, "doc")
+    rows = _fused(spark, d).filter("rank <= 4").select("query", F.col("rank").alias("__rank"), "doc", "score").join(near, "doc")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("__rank", "chunk"))
     return rows.select("query", rank.alias("rank"), "doc", "chunk", "text", "score")
 
@@ -201,3 +203,106 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY min(rank)) AS rank,
 def parent_context(spark, d):
     """Retrieved chunks give way to the windows of their units."""
     return al.replace_parents(act_passages(spark, d), _windows(spark, d), _PW)
+
+
+# ---- context: references, order, packing
+
+CORPUS = "corpus AS (SELECT doc::VARCHAR AS source, ord AS chunk, body AS text, (ord // 5)::INT AS page, (ord // 2 % 3)::VARCHAR AS bbox, 'раздел ' || (ord // 6) AS section FROM chunks)"
+
+
+def act_corpus(spark, d) -> DataFrame:
+    """Chunks with pages of five, boxes of two and sections of six."""
+    at = F.col("ord")
+    return act_chunks(spark, d).select(F.col("doc").cast("string").alias("source"), at.alias("chunk"), F.col("body").alias("text"), F.floor(at / 5).cast("int").alias("page"), (F.floor(at / 2) % 3).cast("string").alias("bbox"), F.concat(F.lit("раздел "), F.floor(at / 6).cast("string")).alias("section"))
+
+
+def _placed(spark, d) -> DataFrame:
+    """The retrieved chunks as passages: query, ord, source, chunk, text, score, page, bbox, section."""
+    rows = act_passages(spark, d).select("query", F.col("rank").alias("ord"), F.col("doc").cast("string").alias("source"), "chunk", "score")
+    return settle(rows.join(act_corpus(spark, d), ["source", "chunk"]), "placed")
+
+
+def _near(spark, d) -> DataFrame:
+    """The fourth chunk of each lexically near document."""
+    fourth = act_corpus(spark, d).filter("chunk = 3").select("source", "chunk", "text")
+    return _lexical(spark, d).select("query", "rank", F.col("doc").cast("string").alias("source")).join(fourth, "source")
+
+
+EXPANDED = f"""{PARAGRAPHS}, {CHUNKS}, {PASSAGES}, {CORPUS},
+placed AS (SELECT p.query, p.rank AS ord, c.source, c.chunk, c.text, p.score, c.page, c.bbox, c.section FROM pass p JOIN corpus c ON c.source = p.doc::VARCHAR AND c.chunk = p.chunk),
+named AS (SELECT *, list_distinct(list_concat(list_transform(regexp_extract_all(text, 'пункту? ([0-9]+)', 1), lambda n: 'clause' || n), list_transform(regexp_extract_all(text, 'Согласно статье ([0-9]+)', 1), lambda n: 'article' || n))) AS rs FROM placed),
+held AS (SELECT *, list_distinct(list_concat(list_transform(regexp_extract_all(text, '(?m)^([0-9]+)[.] ', 1), lambda n: 'clause' || n), list_transform(regexp_extract_all(text, 'пункту? ([0-9]+)', 1), lambda n: 'clause' || n), list_transform(regexp_extract_all(text, '(?:Статья|статье) ([0-9]+)', 1), lambda n: 'article' || n))) AS us FROM corpus),
+elem AS (SELECT *, nullif(regexp_extract(text, '^([0-9]+)[.] [аб][)]', 1), '') AS num FROM corpus),
+cand AS (SELECT query, 1 AS way, ord, h.chunk AS pos, h.* FROM named n JOIN held h ON h.source = n.source AND list_has_any(n.rs, h.us)
+UNION ALL BY NAME SELECT l.query, 2 AS way, 0 AS ord, l.rank AS pos, c.* EXCLUDE (page, bbox, section) FROM lex l JOIN corpus c ON c.source = l.doc::VARCHAR AND c.chunk = 3 WHERE (l.query, c.source) IN (SELECT query, source FROM placed)
+UNION ALL BY NAME SELECT p.query, 3 AS way, p.ord, e.chunk AS pos, e.* FROM placed p JOIN elem e ON e.source = p.source AND e.num = nullif(regexp_extract(p.text, '^([0-9]+)[.] [аб][)]', 1), '')
+UNION ALL BY NAME SELECT p.query, 4 AS way, p.ord, c.chunk AS pos, c.*, p.score AS beside FROM placed p JOIN corpus c USING (source, page, bbox)),
+seq AS MATERIALIZED (SELECT query, way, ord, pos, source, chunk, text, page, bbox, section, beside, row_number() OVER (PARTITION BY query ORDER BY way, ord, pos) AS n FROM cand),
+fold AS (WITH RECURSIVE f AS (SELECT query, 0::BIGINT AS n, list(DISTINCT text) AS seen, 0 AS n1, 0 AS np, -1::BIGINT AS last, 0 AS n3, 0 AS n4, false AS ok FROM placed GROUP BY query UNION ALL
+SELECT query, n, CASE WHEN ok THEN list_append(seen, text) ELSE seen END, n1 + (ok AND way = 1)::INT, CASE WHEN way = 1 THEN base + ok::INT ELSE np END, CASE WHEN way = 1 THEN ord ELSE last END, n3 + (ok AND way = 3)::INT, n4 + (ok AND way = 4)::INT, ok FROM
+(SELECT *, NOT list_contains(seen, text) AND CASE way WHEN 1 THEN n1 < 15 AND base < 5 WHEN 3 THEN n3 < 10 WHEN 4 THEN n4 < 10 ELSE true END AS ok FROM (SELECT f.query, s.n, f.seen, f.n1, f.np, f.last, f.n3, f.n4, s.way, s.ord, s.text, CASE WHEN s.ord = f.last THEN f.np ELSE 0 END AS base FROM f JOIN seq s ON s.query = f.query AND s.n = f.n + 1))) SELECT query, n FROM f WHERE ok),
+taken AS (SELECT s.* FROM seq s JOIN fold USING (query, n)),
+every AS (SELECT query, 0 AS part, ord, 0 AS n, source, chunk, text, score, page, bbox, section, false AS cross_ref FROM placed
+UNION ALL BY NAME SELECT query, 1 AS part, 0 AS ord, n, source, chunk, text, 0.35::DOUBLE AS score, page, bbox, section, true AS cross_ref FROM taken WHERE way < 4
+UNION ALL BY NAME SELECT t.query, 0 AS part, p.ord, t.n, t.source, t.chunk, t.text, t.beside AS score, t.page, t.bbox, t.section, true AS cross_ref FROM taken t JOIN placed p USING (query, source, page, bbox) WHERE way = 4),
+expanded AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY part, ord, n) AS place, * EXCLUDE (query, part, ord, n) FROM every)"""
+
+
+def _expanded(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The passages, and what expansion makes of them."""
+    placed = _placed(spark, d)
+    return placed, cx.expand_references(placed, act_corpus(spark, d), _near(spark, d))
+
+
+@query(f"WITH {EXPANDED} SELECT query, place AS ord, source, chunk, text, score, cross_ref FROM expanded")
+def reference_expansion(spark, d):
+    return _expanded(spark, d)[1].select("query", "ord", "source", "chunk", "text", "score", "cross_ref")
+
+
+#: Every tail passage with the references it closes; picked one after another.
+CLOSING = f"""{EXPANDED},
+tail AS (SELECT e.* FROM expanded e WHERE NOT EXISTS (FROM placed p WHERE p.query = e.query AND p.source = e.source AND p.text = e.text)),
+marks AS (SELECT DISTINCT query, source, unnest(rs) AS r FROM named WHERE ord <= 5),
+opens AS (SELECT source, text, list_distinct(list_concat(list_transform(regexp_extract_all(text, '(?m)^([0-9]+)[.] ', 1), lambda n: 'clause' || n), list_transform(regexp_extract_all(text, '(?m)^Статья ([0-9]+)[.]', 1), lambda n: 'article' || n))) AS us FROM corpus),
+asked AS (SELECT query, list(source || '|' || r ORDER BY source, r) AS asked FROM marks GROUP BY query),
+shut AS (SELECT m.query, list(DISTINCT m.source || '|' || r) AS done FROM marks m JOIN placed p USING (query, source) JOIN opens o ON o.source = p.source AND o.text = p.text WHERE list_contains(o.us, r) GROUP BY m.query),
+closes AS (SELECT t.query, t.place, list(DISTINCT m.source || '|' || r) AS us FROM tail t JOIN marks m USING (query, source) JOIN opens o ON o.source = t.source AND o.text = t.text WHERE list_contains(o.us, r) GROUP BY ALL),
+work AS (SELECT query, asked, coalesce(done, []) AS done, list({{'place': place, 'us': us}} ORDER BY place) AS cs FROM asked JOIN closes USING (query) LEFT JOIN shut USING (query) GROUP BY ALL),
+pick AS (WITH RECURSIVE k AS (SELECT query, asked, done, cs, CAST(NULL AS BIGINT) AS place, 0 AS step FROM work UNION ALL
+SELECT query, asked, list_concat(done, b.us), list_filter(cs, lambda c: c.place <> b.place), b.place, step + 1 FROM (SELECT *, list_sort(list_transform(cs, lambda c: {{'open': len(list_distinct(list_transform(list_filter(asked, lambda a: NOT list_contains(list_concat(done, c.us), a)), lambda a: string_split(a, '|')[2]))), 'place': c.place, 'us': c.us}}))[1] AS b FROM k WHERE len(cs) > 0)
+WHERE b.open < len(list_distinct(list_transform(list_filter(asked, lambda a: NOT list_contains(done, a)), lambda a: string_split(a, '|')[2])))) SELECT query, place, step FROM k WHERE step > 0),
+ordered AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY part, pos) AS ord, source, chunk, text, score, section FROM (SELECT query, 0 AS part, ord AS pos, source, chunk, text, score, section FROM placed UNION ALL SELECT query, CASE WHEN step IS NULL THEN 2 ELSE 1 END, coalesce(step, place), source, chunk, text, score, section FROM tail LEFT JOIN pick USING (query, place)))"""
+
+
+@query(f"WITH {CLOSING} SELECT query, ord, source, chunk, text FROM ordered")
+def closing_order(spark, d):
+    return cx.closing_order(*_expanded(spark, d)).select("query", "ord", "source", "chunk", "text")
+
+
+_LIMITS = cx.Limits(passages=30, tokens=2500)
+PACKED = f"""{CLOSING},
+costed AS (SELECT *, len(text) // 4 + 48 AS cost FROM ordered),
+packed AS (SELECT *, sum(cost) OVER (PARTITION BY query ORDER BY ord ROWS UNBOUNDED PRECEDING) AS spent FROM costed WHERE ord <= 30 QUALIFY spent <= 2500)"""
+
+
+@query(f"WITH {PACKED} SELECT query, ord, source, chunk, cost FROM packed")
+def packed_context(spark, d):
+    return cx.pack_context(*_expanded(spark, d), _LIMITS)[0].select("query", "ord", "source", "chunk", "cost")
+
+
+@query(f"WITH {PACKED} SELECT query, 'ok' AS status, count(*) FILTER (spent IS NOT NULL) AS kept, count(*) FILTER (spent IS NULL) AS dropped FROM ordered LEFT JOIN (SELECT query, ord, spent FROM packed) USING (query, ord) GROUP BY query")
+def packing_report(spark, d):
+    return cx.pack_context(*_expanded(spark, d), _LIMITS)[1]
+
+
+@query(
+    f"""WITH {PARAGRAPHS}, {CHUNKS}, {PASSAGES}, {CORPUS},
+placed AS (SELECT p.query, p.rank AS ord, c.source, c.chunk, c.text, c.section FROM pass p JOIN corpus c ON c.source = p.doc::VARCHAR AND c.chunk = p.chunk),
+anch AS (SELECT query, source, section, min(ord) AS anchor FROM placed WHERE ord <= 3 GROUP BY ALL),
+found AS (SELECT a.query, anchor, c.source, c.chunk, c.text FROM anch a JOIN (SELECT *, row_number() OVER (PARTITION BY source, section ORDER BY chunk) AS k FROM corpus QUALIFY k <= 5) c USING (source, section) WHERE (a.query, c.text) NOT IN (SELECT query, text FROM placed)),
+one AS (SELECT query, text, first(source ORDER BY anchor, chunk) AS source, first(chunk ORDER BY anchor, chunk) AS chunk, min({{'a': anchor, 'c': chunk}}) AS place FROM found GROUP BY ALL)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY fetched, place) AS ord, source, chunk, fetched FROM (SELECT query, source, chunk, false AS fetched, {{'a': ord, 'c': 0}} AS place FROM placed UNION ALL SELECT query, source, chunk, true, place FROM one)"""
+)
+def section_fetch(spark, d):
+    """The first three anchors' sections, five chunks each."""
+    return cx.fetch_sections(_placed(spark, d), act_corpus(spark, d), most=5).select("query", "ord", "source", "chunk", "fetched")
