@@ -144,14 +144,16 @@ def round_robin(lists: DataFrame, limit: int) -> DataFrame:
     return out.select("query", "doc", "pools", "rank")
 
 
-def mmr(ranked: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+def mmr(ranked: DataFrame, k: int | str, weight: float = 0.7) -> DataFrame:
     """Maximal marginal relevance over (query, ord, doc, family, relevance), with the share of a family as penalty.
 
-    A query with k rows or fewer comes back as it is. A query's rows are one
+    ``k`` may name a column that gives each query's number. A query with k rows or fewer comes back as it is. A query's rows are one
     short list, over which k picks are folded: each takes the row with the
     highest score (the first of equals), if that is above -1.
     """
-    rows = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "doc", "family", "relevance"))).alias("rows"))
+    own = [F.max(k).cast("int").alias(k)] if isinstance(k, str) else []
+    rows = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "doc", "family", "relevance"))).alias("rows"), *own)
+    room = F.col(k) if isinstance(k, str) else F.lit(k)
     picked = F.array().cast(rows.schema["rows"].dataType)
 
     def pick(chosen: Column, _: Column) -> Column:
@@ -160,5 +162,6 @@ def mmr(ranked: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
         best = F.array_max(scored)
         return F.when(best["s"] > -1.0, F.concat(chosen, F.array(best["r"]))).otherwise(chosen)
 
-    taken = F.when(F.size("rows") <= k, F.col("rows")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(k)), picked, pick))
+    turns = F.when(room > 0, F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>"))
+    taken = F.when(F.size("rows") <= room, F.col("rows")).otherwise(F.aggregate(turns, picked, pick))
     return rows.select("query", F.posexplode(taken).alias("at", "r")).select("query", "r.doc", (F.col("at") + 1).cast("int").alias("rank"))
