@@ -56,8 +56,8 @@ def _joined(a: Column, b: Column, how) -> Column:
 def carry_last(rows: DataFrame, group: list[str], position: str, name: str, value: Column, inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """Adds the last value that is not null, up to or before the row."""
     placed = F.when(value.isNotNull(), F.struct(F.col(position).alias("at"), value.alias("value")))
-    out = scan(rows, group, position, {"__last": placed}, F.max, inclusive, block)
-    return out.withColumn(name, F.col("__last.value")).drop("__last")
+    out = scan(rows, group, position, {"__carried": placed}, F.max, inclusive, block)
+    return out.withColumn(name, F.col("__carried.value")).drop("__carried")
 
 
 def running_number(rows: DataFrame, group: list[str], position: str, name: str, starts: Column, block: int = BLOCK) -> DataFrame:

@@ -14,6 +14,8 @@ from lodestone.functions import structure as st
 from lodestone.functions.arrays import let
 from lodestone.operators import align as al
 from lodestone.operators import context as cx
+from lodestone.operators import headings as hd
+from lodestone.operators import matching as mt
 from lodestone.operators import scan
 from lodestone.operators.settle import settle
 from lodestone.plans.catalog import FUSED, _fused, _lexical, query
@@ -306,3 +308,79 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY fetched, place) AS
 def section_fetch(spark, d):
     """The first three anchors' sections, five chunks each."""
     return cx.fetch_sections(_placed(spark, d), act_corpus(spark, d), most=5).select("query", "ord", "source", "chunk", "fetched")
+
+
+# ---- articles and parts that go on
+
+_TITLE = "CASE WHEN len({0}) <= 200 THEN {0} ELSE regexp_extract({0}[1:200], '(?s)^(.*) [^ ]*$', 1) || '…' END"
+CARRIED = f"""{PARAGRAPHS}, {CHUNKS},
+chap AS (SELECT doc, (i - 1) // 4 AS ord, i, last_value(CASE WHEN p LIKE 'Глава %' THEN p END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i) AS chapter FROM (SELECT doc, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM acts)),
+hc AS (SELECT doc, c.ord, body, chapter, list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS ls FROM chunks c JOIN chap h USING (doc, ord) WHERE h.i = 4 * c.ord + 1),
+met AS (SELECT *, regexp_matches(ls[1], '^Статья [0-9]+[.] \\S') AS opens, list_filter(ls, lambda x: regexp_matches(x, '^Статья [0-9]+[.]( \\S|$)'))[-1] AS last FROM hc),
+cur AS (SELECT *, CASE WHEN opens THEN ls[1] ELSE last_value(last IGNORE NULLS) OVER (PARTITION BY doc, chapter ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS current FROM met),
+carried AS (SELECT doc, ord, body, list_concat(CASE WHEN chapter IS NULL THEN [] ELSE [chapter] END, CASE WHEN current IS NULL THEN [] ELSE [{_TITLE.format("current")}] END) AS headings, opens FROM cur)"""
+
+
+def _carried(spark, d) -> DataFrame:
+    chapters = scan.heading_paths(_items(spark, d).withColumn("level", F.when(F.col("level") == 1, 0)), levels=1, block=64)
+    first = chapters.filter((F.col("ord") - 1) % 4 == 0).select("doc", F.floor((F.col("ord") - 1) / 4).alias("ord"), F.col("path").alias("headings"))
+    return hd.resolve_articles(act_chunks(spark, d).select("doc", "ord", F.col("body").alias("text")).join(first, ["doc", "ord"]), block=16)
+
+
+@query(f"WITH {CARRIED} SELECT doc, ord, headings, opens FROM carried")
+def inline_articles(spark, d):
+    return _carried(spark, d).select("doc", "ord", "headings", "opens")
+
+
+@query(
+    f"""WITH {CARRIED}, art AS (SELECT doc, ord, nullif(regexp_extract(array_to_string(headings, ' > '), '.*Статья ([0-9]+)[.]', 1), '') AS article, CASE WHEN opens THEN regexp_replace(body, '^[^\\n]*\\n?', '') ELSE body END AS b FROM carried),
+mk AS (SELECT *, list_concat(regexp_extract_all(b, '(?m)^([0-9]+)[.][ \\t]*\\n?[ \\t]*[А-ЯЁ]', 1), list_filter([regexp_extract(b, '(?:^|\\n)([0-9]+)[.]\\s*$', 1)], lambda x: x <> '')) AS marks, nullif(regexp_extract(b, '^([0-9]+)[.][ \\t]*\\n?[ \\t]*[А-ЯЁ]', 1), '') AS start FROM art),
+ca AS (SELECT *, last_value(marks[-1] IGNORE NULLS) OVER (PARTITION BY doc, article ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(len(marks)) OVER (PARTITION BY doc, article) > 0 AND article IS NOT NULL AS parted FROM mk),
+pt AS (SELECT *, CASE WHEN parted THEN coalesce(start, before) END AS part FROM ca)
+SELECT doc, ord, article, part, CASE WHEN part IS NOT NULL THEN start IS NULL END AS part_inherited, CASE WHEN part IS NOT NULL THEN coalesce(marks[-1], part) END AS part_end FROM pt"""
+)
+def article_parts(spark, d):
+    rows = _carried(spark, d).select("doc", "ord", "text", F.array_join("headings", " > ").alias("heading_path"))
+    return hd.annotate_parts(rows, block=16).select("doc", "ord", "article", "part", "part_inherited", "part_end")
+
+
+# ---- matching by shared words
+
+_W = WORDS.format("text")
+#: Old chunks are four paragraphs; new ones two or three, or the old ones again where the number is a multiple of five.
+SNAPSHOTS = f"""{PARAGRAPHS}, {CHUNKS}, old AS (SELECT doc::VARCHAR AS source, ord AS num, body AS text FROM chunks),
+new AS (SELECT source, num + 1 AS num, '  ' || text AS text FROM old WHERE num % 5 = 0 UNION ALL SELECT doc::VARCHAR, 1000 + k, array_to_string(ps[3 * k + 1 : 3 * k + 3], chr(10)) FROM acts, LATERAL (SELECT unnest(range(0, (len(ps) + 2) // 3)) AS k))"""
+
+
+@query(
+    f"""WITH {SNAPSHOTS}, o AS (SELECT source, num, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t, {_W} AS ws FROM old), n AS (SELECT source, num, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t, {_W} AS ws FROM new),
+ex AS (SELECT o.source, o.num, first(n.num ORDER BY abs(n.num - o.num), n.num) AS same FROM o JOIN n ON n.source = o.source AND n.t = o.t GROUP BY ALL),
+common AS (SELECT source, list(w) AS cw FROM (SELECT source, w, count(*) AS df FROM (SELECT source, unnest(ws) AS w FROM n) GROUP BY ALL) JOIN (SELECT source, count(*) AS c FROM n GROUP BY 1) USING (source) WHERE df * 10 > c GROUP BY source),
+rn AS (SELECT source, num, list_filter(ws, lambda w: NOT list_contains(coalesce(cw, []), w)) AS ws FROM n LEFT JOIN common USING (source)),
+ro AS (SELECT source, num, same, list_filter(ws, lambda w: NOT list_contains(coalesce(cw, []), w)) AS ws FROM o LEFT JOIN common USING (source) LEFT JOIN ex USING (source, num)),
+pr AS (SELECT ro.source, ro.num, rn.num AS target, len(list_intersect(ro.ws, rn.ws)) AS k, len(rn.ws) AS nn FROM ro JOIN rn USING (source)),
+fd AS (SELECT source, num, coalesce(list(target ORDER BY target) FILTER (nn >= 5 AND k * 10 >= nn * 6), []) AS split, first(target ORDER BY k DESC, target) AS best, max(k) AS k FROM pr GROUP BY ALL),
+kd AS (SELECT *, CASE WHEN same IS NOT NULL THEN 'exact' WHEN len(ws) = 0 THEN 'no-words' WHEN len(split) > 0 THEN 'split' WHEN k * 10 >= len(ws) * 8 THEN 'merge' ELSE 'unmapped' END AS kind FROM ro LEFT JOIN fd USING (source, num))
+SELECT source, num, CASE kind WHEN 'exact' THEN [same] WHEN 'split' THEN split WHEN 'merge' THEN [best] ELSE CAST([] AS BIGINT[]) END AS targets, kind FROM kd"""
+)
+def snapshot_remap(spark, d):
+    old = act_chunks(spark, d).select(F.col("doc").cast("string").alias("source"), F.col("ord").alias("num"), F.col("body").alias("text"))
+    again = old.filter("num % 5 = 0").select("source", (F.col("num") + 1).alias("num"), F.concat(F.lit("  "), F.col("text")).alias("text"))
+    ps = F.col("ps")
+    cut = F.transform(F.sequence(F.lit(0), F.size(ps) - 1, F.lit(3)), lambda at: F.array_join(F.slice(ps, at + 1, 3), "\n"))
+    fresh = acts(spark, d).filter(F.size("ps") > 0).select(F.col("doc").cast("string").alias("source"), F.posexplode(cut).alias("k", "text"))
+    return mt.remap_labels(old, again.unionByName(fresh.select("source", (F.col("k") + 1000).cast("long").alias("num"), "text")))
+
+
+@query(
+    f"""WITH {PARAGRAPHS}, {UNITS}, {CHUNKS}, ut AS (SELECT doc, ordinal AS unit, array_to_string(paragraphs, chr(10)) AS text FROM units),
+uw AS (SELECT doc, unit, len(text) AS size, {_W} AS w FROM ut), cw AS (SELECT doc, ord AS id, {WORDS.format("body")} AS w FROM chunks),
+rk AS (SELECT c.doc, c.id, len(c.w) AS nw, u.unit, len(list_intersect(c.w, u.w)) AS n, row_number() OVER (PARTITION BY c.doc, c.id ORDER BY len(list_intersect(c.w, u.w)) DESC, size, unit) AS r, count(*) OVER (PARTITION BY c.doc, c.id) AS units FROM cw c JOIN uw u USING (doc)),
+two AS (SELECT doc, id, nw, max(unit) FILTER (r = 1) AS best, max(n) FILTER (r = 1) AS n, coalesce(max(n) FILTER (r = 2), 0) AS m, max(units) AS units FROM rk GROUP BY ALL),
+res AS (SELECT *, CASE WHEN nw = 0 THEN 'empty_words' WHEN n * 5 < nw * 3 THEN 'below_threshold' WHEN units > 1 AND (n - m) * 10 < nw THEN 'ambiguous' END AS reason FROM two)
+SELECT id, doc, CASE WHEN reason IS NULL THEN best END AS unit, round(CASE WHEN nw = 0 THEN 0 ELSE n / nw END, 9) AS score, round(CASE WHEN nw = 0 THEN 0 ELSE m / nw END, 9) AS second, reason FROM res"""
+)
+def norm_match(spark, d):
+    texts = act_chunks(spark, d).select(F.col("ord").alias("id"), "doc", F.col("body").alias("text"))
+    units = _units_text(spark, d).select("doc", F.col("ordinal").alias("unit"), "text")
+    return mt.match_units(texts, units).withColumns({c: F.round(c, 9) for c in ("score", "second")})
