@@ -58,11 +58,17 @@ def seats(weights: dict[str, float], n: int, available: dict[str, int] | None =
     return given
 
 
-def draw(rows: DataFrame, stratum: str, unit: str, key: str, seed: int = 7) -> DataFrame:
-    """Adds depth and place: in each stratum one row of each unit before a second of any, in an order that the seed and the key give."""
+def draw(rows: DataFrame, stratum: str, unit: str, key: str, seed: int = 7, n: int | None = None) -> DataFrame:
+    """Adds depth and place: in each stratum one row of each unit before a second of any, in an order that the seed and the key give.
+
+    ``n`` keeps the first rows of each stratum. A row at some depth has as many
+    rows of its unit before it, so both steps drop what cannot be among them
+    before it is exchanged, and no stratum or unit is gathered whole.
+    """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    out = rows.withColumn("__h", h).withColumn("depth", F.row_number().over(Window.partitionBy(stratum, unit).orderBy("__h")))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("depth", "__h"))).drop("__h")
+    first = lambda c: F.lit(True) if n is None else F.col(c) <= n
+    out = rows.withColumn("__h", h).withColumn("depth", F.row_number().over(Window.partitionBy(stratum, unit).orderBy("__h"))).filter(first("depth"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("depth", "__h"))).filter(first("place")).drop("__h")
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:

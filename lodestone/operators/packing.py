@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import scan
+
 
 def budget_prefix(rows: DataFrame, group: str, order: list[Column], cost: Column, budget: int, keep_first: bool = False) -> DataFrame:
     """The longest prefix of each group whose costs fit the budget; with ``keep_first`` the first row stays in any case."""
@@ -14,6 +16,14 @@ def budget_prefix(rows: DataFrame, group: str, order: list[Column], cost: Column
     return out.filter(fits | (F.col("rank") == 1) if keep_first else fits)
 
 
+def long_budget_prefix(rows: DataFrame, group: str, position: str, cost: Column, budget: int, keep_first: bool = False) -> DataFrame:
+    """``budget_prefix`` for groups of any length, in order of a numeric position: sums run over blocks, so no group is one task."""
+    priced = rows.withColumn("__cost", cost.cast("long"))
+    out = scan.scan(priced, [group], position, {"used": F.col("__cost"), "rank": F.lit(1).cast("long")}, F.sum)
+    fits = F.col("used") <= budget
+    return out.filter(fits | (F.col("rank") == 1) if keep_first else fits).drop("__cost")
+
+
 def windows(text: Column, size: int = 350, stride: int = 300) -> Column:
     """Overlapping runs of words; the last one ends with the text."""
     words = F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")
@@ -38,15 +48,19 @@ def first_of_equal(rows: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Adds chunk_id, from 0 in each group."""
-    return rows.withColumn("chunk_id", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+    """Adds chunk_id, from 0 in each group, in order of a number; counted over blocks, so no group is one task."""
+    return scan.running_number(rows, [group], order, "chunk_id", F.lit(1)).withColumn("chunk_id", F.col("chunk_id") - 1)
 
 
 def multiset_digest(rows: DataFrame, group: str, content: Column) -> DataFrame:
-    """group, n, digest: equal for equal bags of contents, in whatever order."""
-    per = rows.select(group, F.sha2(content, 256).alias("h")).groupBy(group, "h").agg(F.count("*").alias("c"))
-    line = F.concat("h", F.lit(":"), F.col("c").cast("string"))
-    return per.groupBy(group).agg(F.sum("c").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("digest"))
+    """group, n, digest: equal for equal bags of contents, in whatever order.
+
+    The four quarters of the contents' SHA-256 are summed, which commutes and is
+    combined before it is exchanged; a group never stands in one row.
+    """
+    quarter = lambda k: F.sum(F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"q{k}")
+    sums = rows.select(group, F.sha2(content, 256).alias("h")).groupBy(group).agg(F.count("*").alias("n"), *(quarter(k) for k in range(4)))
+    return sums.select(group, "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), "q0", "q1", "q2", "q3"), 256).alias("digest"))
 
 
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import prefix_stems
+from lodestone.operators.settle import settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 4096
@@ -18,31 +21,25 @@ QUERY_BLOCK = 4096
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings: term, doc, tf; lengths: doc, dl; terms: term, df, idf; docs: doc in corpus order; stats: one row n, avgdl."""
+    """tokens: doc, dl, term, a row an occurrence, made when it is read; terms: term, df, idf; docs: doc in corpus order; stats: one row n, avgdl."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    tokens: DataFrame
     terms: DataFrame
     docs: DataFrame
     stats: DataFrame
 
 
 def build_index(chunks: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    """Texts are read once: all else comes from the postings, which are kept (memory, then disk) until ``release``."""
-    tokens = chunks.select(F.col(id_col).alias("doc"), F.explode(prefix_stems(F.col(text_col))).alias("term"))
-    counted = tokens.groupBy("doc", "term").agg(F.count("*").alias("tf")).persist()
+    """Only counts are gathered, combined before they are exchanged: words by document frequency, and the lengths' sum. Both are written once, so nothing stays cached."""
+    texts = chunks.select(F.col(id_col).alias("doc"), prefix_stems(F.col(text_col)).alias("ts"))
     docs = chunks.select(F.col(id_col).alias("doc"))
-    stats = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", F.try_divide(F.col("all"), F.col("n")).alias("avgdl"))
-    lengths = counted.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    stats = settle(texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("all")).select("n", F.try_divide(F.col("all"), F.col("n")).alias("avgdl")), "stats")
+    df = settle(texts.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
     raw = df.join(F.broadcast(stats)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row, like stats
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(counted, lengths, terms, docs, stats)
-
-
-def release(index: LexicalIndex) -> None:
-    index.postings.unpersist()
+    tokens = texts.select("doc", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    return LexicalIndex(tokens, terms, docs, stats)
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text_col: str, k: int) -> DataFrame:
@@ -58,7 +55,10 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text_col: str,
     words = queries.select(F.col(query_id).alias("query"), F.explode(prefix_stems(F.col(text_col))).alias("term"))
     words = words.groupBy("query", "term").agg(F.count("*").alias("qtf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = words.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "doc").join(F.broadcast(index.stats))
+    # only occurrences of asked words go on; a short list of words is broadcast by Spark's own measure
+    weighed = words.join(index.terms, "term").select("query", "term", "qtf", "idf")
+    met = index.tokens.join(weighed, "term").groupBy("query", "doc", "dl", "term", "qtf", "idf").agg(F.count("*").alias("tf"))
+    hits = met.join(F.broadcast(index.stats))
     scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     few = index.docs.orderBy("doc").limit(2 * k).select("doc", F.lit(0.0).alias("score"))
     filled = words.select("query").distinct().join(F.broadcast(few))
@@ -76,43 +76,80 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     """query, doc, distance, rank. The stated queries, in blocks, against all vectors.
 
     A block of queries is broadcast as a matrix; each task keeps its k best
-    for every query, so that k rows a task and query are exchanged.
+    for every query, so that k rows a task and query are exchanged. Several
+    blocks are worked off one after another, each written before the next is
+    gathered, so the driver never holds more than one.
     """
     rows = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("v"))
-    n = rows.count()
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // QUERY_BLOCK)))))
-    out = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        found = _nearest_block(vectors, numbered.filter(F.col("block") == block), k, metric, id_col, vector_col)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, "query", [F.asc("distance"), F.asc("doc")], k)
-
-
-def _nearest_block(vectors: DataFrame, block: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
+    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    if blocks == 1:
+        return top_k(_nearest_block(vectors, rows, k, metric, id_col, vector_col)[0], "query", [F.asc("distance"), F.asc("doc")], k)
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    parts = []
+    for block in range(blocks):
+        found, shared = _nearest_block(vectors, numbered.filter(F.col("block") == block), k, metric, id_col, vector_col)
+        parts.append(settle(top_k(found, "query", [F.asc("distance"), F.asc("doc")], k), "nearest"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
+class _Best:
+    """The k nearest so far of every query; ties go to the smaller document."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str) -> None:
+        self.q, self.k, self.metric = queries, k, metric
+        self.squares = (queries**2).sum(axis=1)
+        self.at, self.doc, self.distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.bar = np.full(len(queries), np.inf)
+
+    def _exact(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for s in range(0, len(i), 1 << 15):
+            a, b = x[i[s : s + (1 << 15)]], self.q[j[s : s + (1 << 15)]]
+            if self.metric == "l2":
+                out[s : s + (1 << 15)] = np.sqrt(((a - b) ** 2).sum(axis=1))
+            else:
+                norms = np.sqrt((a**2).sum(axis=1)) * np.sqrt((b**2).sum(axis=1))
+                out[s : s + (1 << 15)] = 1 - np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0)
+        return np.round(out, 9)
+
+    def add(self, docs: np.ndarray, x: np.ndarray) -> None:
+        """One matrix product tells which pairs may be near enough; only those are measured exactly."""
+        own = (x**2).sum(axis=1)
+        dots = x @ self.q.T
+        if self.metric == "l2":
+            near = own[:, None] + self.squares - 2 * dots - 1e-9 * (own[:, None] + self.squares) <= (self.bar + 1e-8) ** 2
+        else:
+            norms = np.sqrt(own)[:, None] * np.sqrt(self.squares)
+            near = 1 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0) <= self.bar + 1e-8
+        i, j = np.nonzero(near)
+        at, doc, distance = np.r_[self.at, j], np.r_[self.doc, docs[i]], np.r_[self.distance, self._exact(x, i, j)]
+        order = np.lexsort((doc, distance, at))
+        at, doc, distance = at[order], doc[order], distance[order]
+        first = np.r_[0, np.cumsum(np.bincount(at, minlength=len(self.q)))]
+        keep = np.arange(len(at)) - first[at] < self.k
+        self.at, self.doc, self.distance = at[keep], doc[keep], distance[keep]
+        held = np.bincount(self.at, minlength=len(self.q))
+        ends = np.cumsum(held)
+        full = held == self.k
+        self.bar[full] = self.distance[ends[full] - 1]
+
+
+def _nearest_block(vectors: DataFrame, block: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> tuple[DataFrame, Broadcast]:
     held = block.select("query", "v").collect()
-    ids = [r["query"] for r in held]
+    ids = np.array([r["query"] for r in held], np.int64)
     shared = vectors.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in held], dtype=np.float64) if held else np.zeros((0, 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        best = _Best(shared.value, k, metric)
+        step = max(16, (1 << 20) // max(1, len(ids)))
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            docs = pdf["doc"].to_numpy()
-            for i in range(len(ids)):
-                if metric == "l2":
-                    d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                else:
-                    norms = np.sqrt((x**2).sum(axis=1)) * np.sqrt((q[i] ** 2).sum())
-                    d = 1 - np.divide(x @ q[i], norms, out=np.zeros(len(x)), where=norms > 0)
-                d, m = np.r_[best[i][0], np.round(d, 9)], np.r_[best[i][1], docs]
-                keep = np.lexsort((m, d))[:k]
-                best[i] = d[keep], m[keep]
-        yield pd.DataFrame({"query": np.repeat(np.array(ids, np.int64), [len(b[0]) for b in best]), "doc": np.concatenate([b[1] for b in best] or [np.zeros(0, np.int64)]), "distance": np.concatenate([b[0] for b in best] or [np.zeros(0)])})
-
-    return vectors.select(F.col(id_col).alias("doc"), F.col(vector_col).alias("v")).mapInPandas(run, "query long, doc long, distance double")
+            for s in range(0, len(pdf) if len(ids) else 0, step):
+                part = pdf.iloc[s : s + step]
+                best.add(part["doc"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.float64))
+        yield pd.DataFrame({"query": ids[best.at], "doc": best.doc, "distance": best.distance})
+
+    return vectors.select(F.col(id_col).alias("doc"), F.col(vector_col).alias("v")).mapInPandas(run, "query long, doc long, distance double"), shared
 
 
 def fuse(lists: DataFrame, k: int = 60, limit: int = 12) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import similarity
 from lodestone.operators import gates, metrics, packing, retrieval
+from lodestone.operators.settle import settle
 from lodestone.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,7 +305,8 @@ def _signals(spark, d):
     lists = dense.select("query", F.lit(0).alias("list"), "rank", "doc", F.col("score").alias("dense")).hint("rebalance")
     lists = lists.unionByName(_lexical(spark, d).select("query", F.lit(1).alias("list"), "rank", "doc", F.lit(None).cast("double").alias("dense")).hint("rebalance"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("family"), "text")
-    passages = retrieval.fuse(lists).drop("score").withColumnRenamed("dense", "score").join(docs, "doc", "left").persist()  # twelve rows a question, read by signals and gaps
+    passages = retrieval.fuse(lists).drop("score").withColumnRenamed("dense", "score").join(docs, "doc", "left")
+    passages = settle(passages, "passages")  # twelve rows a question, read by signals and gaps
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
     return gates.signals(passages, items), passages, items
 
@@ -347,13 +349,13 @@ def decision_table(spark, d):
 @query("SELECT source, doc_id, used::BIGINT AS used FROM (SELECT source, doc_id, sum(len(text) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 6000")
 def token_budget_prefix(spark, d):
     docs = table(spark, d, "documents").withColumn("cost", tx.token_estimate(F.col("text"))).select("source", "doc_id", "cost")
-    return packing.budget_prefix(docs, "source", [F.asc("doc_id")], F.col("cost"), 6000).select("source", "doc_id", "used")
+    return packing.long_budget_prefix(docs, "source", "doc_id", F.col("cost"), 6000).select("source", "doc_id", "used")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, sum(len(text)) OVER w AS used, row_number() OVER w AS rn FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE used <= 3000 OR rn = 1")
 def char_budget_first_kept(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("cost"))
-    return packing.budget_prefix(docs, "source", [F.asc("doc_id")], F.col("cost"), 3000, keep_first=True).select("source", "doc_id")
+    return packing.long_budget_prefix(docs, "source", "doc_id", F.col("cost"), 3000, keep_first=True).select("source", "doc_id")
 
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_id FROM documents")
@@ -362,7 +364,7 @@ def dense_chunk_id(spark, d):
 
 
 
-@query("SELECT source, sum(c)::BIGINT AS n, sha256(string_agg(h || ':' || c, ',' ORDER BY h || ':' || c)) AS digest FROM (SELECT source, sha256(text) AS h, count(*) AS c FROM documents GROUP BY ALL) GROUP BY source")
+@query("SELECT source, count(*) AS n, sha256(concat_ws(':', count(*), sum(('0x' || h[1:16])::UBIGINT), sum(('0x' || h[17:32])::UBIGINT), sum(('0x' || h[33:48])::UBIGINT), sum(('0x' || h[49:64])::UBIGINT))) AS digest FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def multiset_digest(spark, d):
     return packing.multiset_digest(table(spark, d, "documents").select("source", "text"), "source", F.col("text"))
 

@@ -269,7 +269,7 @@ def adjacent_coverage(spark, d):
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, sum(len(text) + 1) OVER w - 1 AS used FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE used <= 9000")
 def char_budget_separators(spark, d):
     rows = _docs(spark, d, "source", "doc_id", (F.length("text") + 1).alias("cost"))
-    return packing.budget_prefix(rows, "source", [F.asc("doc_id")], F.col("cost"), 9001).select("source", "doc_id")
+    return packing.long_budget_prefix(rows, "source", "doc_id", F.col("cost"), 9001).select("source", "doc_id")
 
 
 @query("SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM conversations")
@@ -355,7 +355,7 @@ def largest_remainder_sample(spark, d):
 
 @query("WITH h AS (SELECT doc_id, source, lang, md5('7:' || doc_id) AS h FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY h) AS depth FROM h) SELECT doc_id, source, depth::INT AS depth, row_number() OVER (PARTITION BY source ORDER BY depth, h)::INT AS place FROM a QUALIFY place <= 20")
 def stratified_draw(spark, d):
-    return labels.draw(_docs(spark, d, "doc_id", "source", "lang"), "source", "lang", "doc_id").filter("place <= 20").select("doc_id", "source", "depth", "place")
+    return labels.draw(_docs(spark, d, "doc_id", "source", "lang"), "source", "lang", "doc_id", n=20).select("doc_id", "source", "depth", "place")
 
 
 @query("SELECT doc_id, (CASE WHEN quality = 0 AND toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END)::INT AS role, row_number() OVER (ORDER BY CASE WHEN quality = 0 AND toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END, doc_id)::INT AS place FROM labels QUALIFY place <= 100")

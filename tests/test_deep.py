@@ -112,3 +112,25 @@ def test_degraded_packing_is_no_best_effort(spark):
     contexts = spark.createDataFrame([(1, 0, n + 1, f"s{n % 4}", n, "альфа бета", 0.9) for n in range(9)], "query int, place int, ord int, source string, chunk int, text string, score double")
     decided, lost = deep.complex_queue(queue, contexts, spark.createDataFrame([(1, Q)], "query int, text string"), contexts.select("query", "source", "chunk"))
     assert decided.first().reason == "complex_exhausted" and lost.first().unmet == [gates.REFS]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_in_blocks_with_ties(spark, monkeypatch, metric):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    x[200:] = x[rng.integers(0, 40, 100)]  # copies: ties go to the smaller document
+    x[7] = 0
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = rows.filter("vec_id % 3 = 0")
+    want = {}
+    for q in range(0, 300, 3):
+        norms = np.linalg.norm(x, axis=1) * np.linalg.norm(x[q])
+        d = np.linalg.norm(x - x[q], axis=1) if metric == "l2" else 1 - np.divide(x @ x[q], norms, out=np.zeros(300), where=norms > 0)
+        want[q] = sorted((round(float(v), 6), i) for i, v in enumerate(np.round(d, 9)))[:5]
+    for size in (4096, 30):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", size)
+        got = {}
+        for r in retrieval.nearest(rows, asked, 5, metric).orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append((round(r.distance, 6), r.doc))
+        assert {q: sorted(v) for q, v in got.items()} == want
+    assert retrieval.nearest(rows, asked.limit(0), 5, metric).count() == 0
