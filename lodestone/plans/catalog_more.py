@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import references as rf
 from lodestone.functions import text as tx
-from lodestone.operators import gates, labels, packing, retrieval
+from lodestone.operators import gates, labels, packing, retrieval, scan
 from lodestone.plans.catalog import COST, FUSED, KNN, SIGNALS, _events, _fused, _lexical, _passages, _self_knn, _signals, query
 from lodestone.session import table
 
@@ -175,22 +175,21 @@ def exact_dedup_first(spark, d):
 # ---- lookups and joins
 
 
-@query("SELECT p.p_partkey AS want, l.l_orderkey, l.l_linenumber FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey AND (p.p_partkey % 3 = 0 OR l.l_linenumber = 1 + p.p_partkey % 3) WHERE p.p_partkey <= 50")
+@query("SELECT p.p_partkey AS want, l.l_orderkey, l.l_linenumber FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey AND (p.p_partkey % 3 = 0 OR l.l_linenumber = 1 + p.p_partkey % 3)")
 def address_lookup(spark, d):
     """A row number of null asks for the whole table: every third part here."""
-    want = table(spark, d, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("want"), F.when(F.col("p_partkey") % 3 != 0, 1 + F.col("p_partkey") % 3).alias("row"))
+    want = table(spark, d, "part").select(F.col("p_partkey").alias("want"), F.when(F.col("p_partkey") % 3 != 0, 1 + F.col("p_partkey") % 3).alias("row"))
     rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("want"), "l_orderkey", "l_linenumber")
     return want.join(rows, "want").filter(F.col("row").isNull() | (F.col("row") == F.col("l_linenumber"))).select("want", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT a.doc_id AS asked, b.doc_id AS found FROM (SELECT doc_id, source FROM documents WHERE doc_id < 40) a JOIN documents b USING (source) WHERE b.doc_id % 40 = a.doc_id AND (b.doc_id // 40) % 2 = 0")
+@query("SELECT a.source, a.number, b.doc_id AS found FROM (SELECT DISTINCT source, doc_id % 40 AS number FROM documents) a JOIN documents b ON b.source = a.source AND b.doc_id % 40 = a.number WHERE (b.doc_id // 40) % 2 = 0")
 def structural_lookup(spark, d):
-    """Chunks start with ``n.`` or ``n.1``; asking for n never finds n.1."""
+    """Chunks start with ``n.`` or ``n.1``; asking a source for n never finds n.1. Numbers are cut from the texts once and met by value."""
     head = F.concat((F.col("doc_id") % 40).cast("string"), F.when(F.floor(F.col("doc_id") / 40) % 2 == 0, ". text").otherwise(".1 text"))
-    chunks = _docs(spark, d, F.col("doc_id").alias("found"), "source", head.alias("text"))
-    asked = _docs(spark, d, F.col("doc_id").alias("asked"), "source").filter("asked < 40")
-    hit = F.rlike("text", F.concat(F.lit("^"), F.col("asked").cast("string"), F.lit(r"(?:\.(?=\s)|\s)")))
-    return asked.join(chunks, "source").filter(hit).select("asked", "found")
+    chunks = _docs(spark, d, F.col("doc_id").alias("found"), "source", F.regexp_extract(head, r"^(\d+(?:\.\d+)*)(?:\.(?=\s)|\s)", 1).alias("number"))
+    asked = _docs(spark, d, "source", (F.col("doc_id") % 40).cast("string").alias("number")).distinct()
+    return asked.join(chunks, ["source", "number"]).select("source", F.col("number").cast("long").alias("number"), "found")
 
 
 @query("SELECT l.doc_id AS query_id, round(100.0 * count(*) FILTER (WHERE quality = 0) OVER () / count(*) OVER (), 6) AS negative_share, e.event_type AS path FROM labels l JOIN events e ON e.event_id = l.doc_id")
@@ -429,12 +428,14 @@ def chunk_quality(spark, d):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.median("n").alias("median"), F.round(F.avg("n"), 6).alias("mean"), share(~F.coalesce("whole", F.lit(False))).alias("cut"), share(F.col("low")).alias("orphan"))
 
 
-@query("SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS tn, coalesce(list(doc_id ORDER BY doc_id) FILTER (quality = 1 AND toxic = 0), []) AS fp_ids, coalesce(list(doc_id ORDER BY doc_id) FILTER (quality = 0 AND toxic = 1), []) AS fn_ids FROM labels WHERE doc_id < 400")
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'fp' ELSE 'fn' END AS kind, tp, tn FROM labels, (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels) WHERE quality = 1 AND toxic = 0 OR quality = 0 AND toxic = 1")
 def judge_disagreements(spark, d):
-    rows = table(spark, d, "labels").filter("doc_id < 400")
+    """A row for each disagreement, beside the counts of agreement."""
+    rows = table(spark, d, "labels")
     q, t = F.col("quality"), F.col("toxic")
-    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("doc_id"))))
-    return rows.agg(F.count_if((q == 1) & (t == 1)).alias("tp"), F.count_if((q == 0) & (t == 0)).alias("tn"), ids((q == 1) & (t == 0)).alias("fp_ids"), ids((q == 0) & (t == 1)).alias("fn_ids"))
+    agreed = rows.agg(F.count_if((q == 1) & (t == 1)).alias("tp"), F.count_if((q == 0) & (t == 0)).alias("tn"))
+    kind = F.when((q == 1) & (t == 0), "fp").when((q == 0) & (t == 1), "fn")
+    return rows.select("doc_id", kind.alias("kind")).filter("kind is not null").join(F.broadcast(agreed))
 
 
 @query(f"SELECT event_type AS path, count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY {COST}), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY {COST}), 6) AS p95, count(*) FILTER ({COST} IS NULL) > 0 AS unknown_usage FROM events GROUP BY ROLLUP (event_type)")
@@ -472,17 +473,17 @@ DRAWN = "('0x' || substr(md5(b || ':' || i), 1, 7))::BIGINT % (SELECT count(*) F
 
 
 @query(
-    f"""WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, (quality - toxic)::DOUBLE AS diff FROM labels WHERE doc_id < 200), s AS (SELECT b, avg(diff) AS m FROM (SELECT b, {DRAWN} AS pick FROM range(1000) t(b), x) JOIN x ON x.i = pick GROUP BY b)
+    f"""WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, (quality - toxic)::DOUBLE AS diff FROM labels), s AS (SELECT b, avg(diff) AS m FROM (SELECT b, {DRAWN} AS pick FROM range(10000) t(b), x) JOIN x ON x.i = pick GROUP BY b)
 SELECT round(percentile_disc(0.025) WITHIN GROUP (ORDER BY round(m, 9)), 6) AS low, round(percentile_disc(0.975) WITHIN GROUP (ORDER BY round(m, 9)), 6) AS high FROM s"""
 )
 def paired_bootstrap(spark, d):
-    """1,000 resamples of paired differences, drawn by a hash, so that they are the same wherever they run."""
-    rows = table(spark, d, "labels").filter("doc_id < 200").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("diff"))
-    x = rows.withColumn("i", F.row_number().over(Window.orderBy("doc_id")) - 1).select("i", "diff")  # at most 200 rows
-    n = x.count()
-    drawn = spark.range(1000).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    """10,000 resamples of paired differences, drawn by a hash, so that they are the same wherever they run."""
+    rows = table(spark, d, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("diff"), F.lit(0).alias("all"))
+    x = scan.running_number(rows, ["all"], "doc_id", "i", F.lit(1)).select((F.col("i") - 1).cast("int").alias("i"), "diff")
+    n = rows.count()
+    drawn = spark.range(10_000).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 7), 16, 10).cast("long") % n
-    means = drawn.select("b", pick.cast("int").alias("i")).join(F.broadcast(x), "i").groupBy("b").agg(F.round(F.avg("diff"), 9).alias("m"))
+    means = drawn.select("b", pick.cast("int").alias("i")).groupBy("b", "i").count().join(x, "i").groupBy("b").agg(F.round(F.sum(F.col("diff") * F.col("count")) / F.sum("count"), 9).alias("m"))
     return means.agg(F.round(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)"), 6).alias("low"), F.round(F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)"), 6).alias("high"))
 
 
