@@ -134,3 +134,9 @@ def test_nearest_in_blocks_with_ties(spark, monkeypatch, metric):
             got.setdefault(r.query, []).append((round(r.distance, 6), r.doc))
         assert {q: sorted(v) for q, v in got.items()} == want
     assert retrieval.nearest(rows, asked.limit(0), 5, metric).count() == 0
+
+
+def test_best_candidate(spark):
+    rows = [(1, 0, True, 0.5, 9), (1, 1, True, 0.7, 2), (1, 2, True, 0.7, 3), (1, 3, True, 0.7, 3), (1, 4, False, 0.9, 9), (2, 0, False, 0.9, 9)]
+    found = gates.best_candidate(spark.createDataFrame(rows, "query int, place int, accepted boolean, top_score double, n_passages int"))
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
