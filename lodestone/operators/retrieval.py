@@ -30,11 +30,13 @@ class LexicalIndex:
 
 
 def build_index(chunks: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    """Only counts are gathered, combined before they are exchanged: words by document frequency, and the lengths' sum. Both are written once, so nothing stays cached."""
-    texts = chunks.select(F.col(id_col).alias("doc"), prefix_stems(F.col(text_col)).alias("ts"))
+    """Texts are cut to stems once, which are written; counts are combined before they are exchanged: document frequencies, and with each text's first word its length. Nothing stays cached."""
+    texts = settle(chunks.select(F.col(id_col).alias("doc"), prefix_stems(F.col(text_col)).alias("ts")), "stems")
     docs = chunks.select(F.col(id_col).alias("doc"))
-    stats = settle(texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("all")).select("n", F.try_divide(F.col("all"), F.col("n")).alias("avgdl")), "stats")
-    df = settle(texts.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
+    first = F.when(F.col("at") == 0, F.col("dl"))
+    seen = texts.select(F.size("ts").cast("long").alias("dl"), F.posexplode(F.array_distinct("ts")).alias("at", "term"))
+    df = settle(seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(first).alias("dl")), "df")
+    stats = settle(df.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("all")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", F.try_divide(F.col("all"), F.col("n")).alias("avgdl")), "stats")
     raw = df.join(F.broadcast(stats)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row, like stats
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
