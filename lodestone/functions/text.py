@@ -14,6 +14,9 @@ INJECTIONS = (
     r"(?i)forget\s+(everything|all)",
 )
 
+# Fixed value: the mark by which an answer cites a passage.
+FRAGMENT = r"(?iu)\[Фрагмент\s+(\d+):\s*([^,\]]+?)(?:,\s*п\.\s*([^\]]+?)|,\s*без\s+пункта)?\s*\]"
+
 
 def prefix_stems(text: Column, size: int = 5, least: int = 2) -> Column:
     """Lower-cased alphanumeric tokens of at least ``least`` characters, cut to ``size``; repeats stay."""
@@ -71,10 +74,9 @@ def citations(answer: Column) -> Column:
 
 def fragments(answer: Column) -> Column:
     """array<struct<n, doc, section>> of ``[Фрагмент N: document, п. X]`` marks; the section is empty where none is given."""
-    mark = r"\[Фрагмент\s+(\d+)\s*:\s*([^\],]+?)\s*(?:,\s*(?:п\.\s*([\d.]*\d)|без пункта)\s*)?\]"
-    parts = [F.regexp_extract_all(answer, F.lit(mark), F.lit(k)) for k in (1, 2, 3)]
+    parts = [F.regexp_extract_all(answer, F.lit(FRAGMENT), F.lit(k)) for k in (1, 2, 3)]
     zipped = F.arrays_zip(parts[0].alias("n"), parts[1].alias("doc"), parts[2].alias("section"))
-    return F.transform(zipped, lambda x: F.struct(x["n"].cast("int").alias("n"), F.trim(x["doc"]).alias("doc"), F.coalesce(x["section"], F.lit("")).alias("section")))
+    return F.transform(zipped, lambda x: F.struct(x["n"].try_cast("int").alias("n"), F.trim(x["doc"]).alias("doc"), F.trim(F.coalesce(x["section"], F.lit(""))).alias("section")))
 
 
 def normalised(text: Column) -> Column:
