@@ -15,6 +15,12 @@ OTHER_ACT = r"(?iuU)\b(?:(настоящ\w*)\s+)?(?:кодекс\w*|закон(?
 TAIL = r"[^.;:()]{0,80}"
 TAIL_WORDS = 6
 
+# What stands before and after a unit's number where its text begins; an article needs both (Java spelling).
+HEADINGS = {
+    "clause": ((r"(?m)^\s*", r"\.(?=\s)"),),
+    "article": ((r"(?miuU)^\s*(?:стать\w+\s+)?", r"[.\s]"), (r"(?iuU)стать\w+\s+", r"\b")),
+    "subpara": ((r"(?miuU)^\s*(?:\d+\.\s+)?", r"\)"),),
+}
 # Questions that ask for a complete list (Java spelling).
 ENUMERATION = (
     r"\bкто\s+проходит\b",
@@ -63,7 +69,7 @@ def references(text: Column) -> Column:
 
 def contains_unit(kind: Column, num: Column, text: Column) -> Column:
     """Whether a text holds the unit itself, by its heading; a text that only names it does not."""
-    clause = F.rlike(text, F.concat(F.lit(r"(?m)^\s*"), num, F.lit(r"\.(?=\s)")))
-    article = F.rlike(text, F.concat(F.lit(r"(?miuU)^\s*(?:стать\w+\s+)?"), num, F.lit(r"[.\s]"))) & F.rlike(text, F.concat(F.lit(r"(?iuU)стать\w+\s+"), num, F.lit(r"\b")))
-    subpara = F.rlike(text, F.concat(F.lit(r"(?miuU)^\s*(?:\d+\.\s+)?"), num, F.lit(r"\)")))
+    heads = lambda name: [F.rlike(text, F.concat(F.lit(before), num, F.lit(after))) for before, after in HEADINGS[name]]
+    (clause,), (begins, named), (subpara,) = heads("clause"), heads("article"), heads("subpara")
+    article = begins & named
     return F.coalesce(F.when(kind == "clause", clause).when(kind == "article", article).when(kind == "subpara", subpara), F.lit(False))

@@ -17,6 +17,10 @@ INJECTIONS = (
 # Fixed value: the mark by which an answer cites a passage.
 FRAGMENT = r"(?iu)\[Фрагмент\s+(\d+):\s*([^,\]]+?)(?:,\s*п\.\s*([^\]]+?)|,\s*без\s+пункта)?\s*\]"
 
+# Whole lines of page furniture, and codes of standards.
+FURNITURE = r"(?iuU)(?:Скачано с.*|Премиальная версия.*|Страница\s+\d+(?:\s+(?:из|/)\s*\d+)?|https?://\S*|\d{2}\.\d{2}\.\d{4},?\s+\d{2}:\d{2})"
+STANDARDS = r"\b((?:ISO|EN|IEC|ГОСТ|СП|СНиП)\s?[0-9][0-9.\-]*[0-9])"
+
 
 def prefix_stems(text: Column, size: int = 5, least: int = 2) -> Column:
     """Lower-cased alphanumeric tokens of at least ``least`` characters, cut to ``size``; repeats stay."""
@@ -86,14 +90,13 @@ def normalised(text: Column) -> Column:
 
 def without_noise(text: Column) -> Column:
     """Whole lines of page furniture go, dashes are made one, runs of spaces become one."""
-    noise = r"(?iuU)(?:Скачано с.*|Премиальная версия.*|Страница\s+\d+(?:\s+(?:из|/)\s*\d+)?|https?://\S*|\d{2}\.\d{2}\.\d{4},?\s+\d{2}:\d{2})"
-    lines = F.filter(F.split(F.replace(text, F.lit("–"), F.lit("—")), r"\r\n|\n|\r"), lambda s: ~F.rlike(F.trim(s), F.lit("^" + noise + "$")))
+    lines = F.filter(F.split(F.replace(text, F.lit("–"), F.lit("—")), r"\r\n|\n|\r"), lambda s: ~F.rlike(F.trim(s), F.lit("^" + FURNITURE + "$")))
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), " {2,}", " "))
 
 
 def doc_identifiers(text: Column) -> Column:
     """Codes of standards, such as ``ISO 9001`` or ``EN 50-2018``, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b((?:ISO|EN|IEC|ГОСТ|СП|СНиП)\s?[0-9][0-9.\-]*[0-9])"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(STANDARDS), F.lit(1))))
 
 
 def public_id(raw: Column) -> Column:

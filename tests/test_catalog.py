@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lodestone.plans import acts, answers, catalog, catalog_more, contract, deep, evidence, tables, telemetry  # noqa: F401  the others add to the registry of catalog
+from lodestone.plans import acts, answers, catalog, catalog_more, contract, deep, evidence, service, tables, telemetry  # noqa: F401  the others add to the registry of catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
