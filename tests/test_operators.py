@@ -54,6 +54,33 @@ def test_bm25_fills_up_with_zero_scores_but_not_for_a_query_without_words(spark)
     assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3}
 
 
+def test_bm25_scores_in_the_tasks(spark, monkeypatch):
+    """Against plain loops, over several blocks of queries and tasks; occurrences of asked words are not exchanged."""
+    import math
+    from collections import Counter
+
+    texts = {f"d{i:02}": " ".join(["common"] * (i % 4 + 1) + [f"w{i % 7}", f"x{i}", "a"]) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(3)
+    asked = {1: "common w3", 2: "w3 w3 x9 none", 3: "none", 4: "common common"}
+    stems = {d: Counter(w for w in t.split() if len(w) > 1) for d, t in texts.items()}
+    stems = {d: Counter({w[:5]: n for w, n in c.items()}) for d, c in stems.items()}
+    df, avgdl = Counter(w for c in stems.values() for w in c), sum(sum(c.values()) for c in stems.values()) / 40
+    raw = {w: math.log(40 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, r in raw.items()}
+    part = lambda w, c: idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avgdl)) if c[w] else 0
+    want = {}
+    for q, t in asked.items():
+        scores = sorted((-round(sum(part(w[:5], c) for w in t.split()), 6), d) for d, c in stems.items())
+        want |= {(q, n + 1): (d, -s) for n, (s, d) in enumerate(scores[:5])}
+    queries = spark.createDataFrame(list(asked.items()), "q long, text string")
+    for block in (4096, 2):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        out = retrieval.bm25(retrieval.build_index(docs, "id", "text"), queries, "q", "text", 5)
+        got = {(r.query, r["rank"]): (r.doc, round(r.score, 6)) for r in out.collect()}
+        assert got == want
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mmr(spark):
     rows = [(1, i, i, "a" if i < 3 else "b", 0.9 - 0.01 * i) for i in range(5)] + [(2, 0, 9, "a", 0.0)]
     out = retrieval.mmr(spark.createDataFrame(rows, "query long, ord int, doc long, family string, relevance double"), 2).collect()
