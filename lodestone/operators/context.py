@@ -69,6 +69,7 @@ def expand_references(passages: DataFrame, corpus: DataFrame, lexical: DataFrame
     passages, corpus = settle(_whole(passages), "passages"), _whole(corpus)
     widest = passages.groupBy("query").count().agg(F.max("count")).first()[0] or 0
     own = passages.select("query", "ord", "source", "score", "page", "bbox", "text").filter("source <> ''")
+    corpus = settle(corpus.join(own.select("source").distinct(), "source", "left_semi"), "sources")  # three ways read it, and only in these sources
     body = [F.col(f"c.{x}").alias(x) for x in ("source", "chunk", "text", "page", "bbox", "section")]
     at = F.col("c.chunk").alias("at")
 

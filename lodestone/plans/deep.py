@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.vectors import similarity
 from lodestone.operators import deep, retrieval
 from lodestone.operators.settle import settle
-from lodestone.plans.acts import CHUNKS, CORPUS, PARAGRAPHS, act_corpus
+from lodestone.plans.acts import CHUNKS, CORPUS, PARAGRAPHS, act_corpus, acts
 from lodestone.plans.catalog import FUSED, STEMS, _dense, _lexical, query
 from lodestone.session import table
 
@@ -25,11 +25,14 @@ def _questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
-def _pool(spark, d) -> DataFrame:
+def _pool(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The pool, and the chunks of its documents, which are all that the deep plan looks into. Both are written once."""
     dense = _dense(spark, d).select("query", F.lit(0).alias("list"), "rank", "doc", F.round(similarity(F.col("distance")), 6).alias("dense")).hint("rebalance")
     lists = dense.unionByName(_lexical(spark, d).select("query", F.lit(1).alias("list"), "rank", "doc", F.lit(None).cast("double").alias("dense")).hint("rebalance"))
-    wide = retrieval.fuse(lists, limit=48).select("query", F.col("rank").alias("ord"), F.col("doc").cast("string").alias("source"), "score", "dense")
-    return settle(wide.join(act_corpus(spark, d).filter("chunk = 0"), "source"), "pool")
+    wide = settle(retrieval.fuse(lists, limit=48), "wide")
+    corpus = settle(act_corpus(acts(spark, d, wide)), "corpus")
+    wide = wide.select("query", F.col("rank").alias("ord"), F.col("doc").cast("string").alias("source"), "score", "dense")
+    return settle(wide.join(corpus.filter("chunk = 0"), "source"), "pool"), corpus
 
 
 @query(
@@ -38,7 +41,7 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY 1 / (1 + exp(-logit
 )
 def overfetch_rerank(spark, d):
     """Four times as many candidates as are wanted, ranked again by the model."""
-    return deep.rerank(_pool(spark, d), _questions(spark, d), k=12).select("query", "ord", "source", "chunk", "rerank_score", "vector_score")
+    return deep.rerank(_pool(spark, d)[0], _questions(spark, d), k=12).select("query", "ord", "source", "chunk", "rerank_score", "vector_score")
 
 
 DEEP = f"""{POOL},
@@ -50,13 +53,13 @@ filled AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY fetched,
 deep AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY 1 / (1 + exp(-logit)) DESC, ord) AS ord, source, chunk, text, round(1 / (1 + exp(-logit)), 4) AS rerank_score FROM rated QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1 / (1 + exp(-logit)) DESC, ord) <= 30)"""
 
 
-def _deep(spark, d, pool: DataFrame) -> DataFrame:
-    return settle(deep.deep_plan(pool, act_corpus(spark, d), _questions(spark, d), most=50, k=30, section_chunks=5), "deep")
+def _deep(spark, d, pool: DataFrame, corpus: DataFrame) -> DataFrame:
+    return settle(deep.deep_plan(pool, corpus, _questions(spark, d), most=50, k=30, section_chunks=5), "deep")
 
 
 @query(f"WITH {DEEP} SELECT query, ord, source, chunk, rerank_score FROM deep")
 def deep_retrieval(spark, d):
-    return _deep(spark, d, _pool(spark, d)).select("query", "ord", "source", "chunk", "rerank_score")
+    return _deep(spark, d, *_pool(spark, d)).select("query", "ord", "source", "chunk", "rerank_score")
 
 
 MERGED = f"""{DEEP},
@@ -75,17 +78,17 @@ def _merged(spark, d, pool: DataFrame, found: DataFrame) -> DataFrame:
 
 @query(f"WITH {MERGED} SELECT query, ord, source, chunk FROM merged")
 def merged_candidate(spark, d):
-    pool = _pool(spark, d)
-    return _merged(spark, d, pool, _deep(spark, d, pool))
+    pool, corpus = _pool(spark, d)
+    return _merged(spark, d, pool, _deep(spark, d, pool, corpus))
 
 
 @query()
 def complex_decision(spark, d):
     """The queue of merged, deep and fast candidates; literal rows test every outcome."""
-    pool = _pool(spark, d)
-    found = _deep(spark, d, pool)
+    pool, corpus = _pool(spark, d)
+    found = _deep(spark, d, pool, corpus)
     simple = pool.filter("ord <= 12")
-    texts = act_corpus(spark, d).select("source", "chunk", "text")
+    texts = corpus.select("source", "chunk", "text")
     dense = pool.select("query", "source", "chunk", F.col("dense").alias("score"))
     at = lambda rows, place: rows.select("query", "ord", "source", "chunk", F.lit(place).alias("place"))
     rows = at(_merged(spark, d, pool, found), 0).unionByName(at(found, 1)).unionByName(at(simple, 2))

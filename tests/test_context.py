@@ -127,3 +127,31 @@ def test_sections_of_anchors(spark):
     rows = [(1, 1, "a", 65, "t65", 0.9, None, None, "s2"), (1, 2, "a", 66, "t66", 0.8, None, None, " s2 "), (1, 3, "a", 3, "t3", 0.7, None, None, "s1"), (1, 4, "b", 2, "u", 0.6, None, None, ""), (1, 5, "b", 1, "t1", 0.5, None, None, "s1")]
     got = listed(cx.fetch_sections(passages(spark, rows), corpus(spark, held)), "source", "chunk", "fetched")
     assert got == [(r[2], r[3], False) for r in rows] + [("a", k, True) for k in range(60, 70) if k not in (65, 66)] + [("a", k, True) for k in range(50) if k not in (3, 1)]
+
+
+def test_only_documents_of_the_passages_are_marked_up(spark, sf, monkeypatch):
+    from lodestone.operators import align as al
+    from lodestone.operators import deep
+    from lodestone.plans import acts
+    from lodestone.plans import deep as slow
+
+    seen = {}
+
+    def spy(module, name, at, key):
+        real = getattr(module, name)
+
+        def call(*frames, **more):
+            seen[name] = [{str(r[0]) for r in frames[i].select(k).distinct().collect()} for i, k in zip(at, key, strict=True)]
+            return real(*frames, **more)
+
+        monkeypatch.setattr(module, name, call)
+
+    spy(cx, "expand_references", (0, 1), ("source", "source"))
+    spy(al, "replace_parents", (0, 1), ("doc", "doc"))
+    spy(deep, "deep_plan", (0, 1), ("source", "source"))
+    acts.reference_expansion(spark, sf)
+    acts.parent_context(spark, sf)
+    slow.deep_retrieval(spark, sf)
+    for passages, corpus in seen.values():
+        assert passages and corpus <= passages
+    assert len(seen) == 3
