@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,12 +59,33 @@ def dense_ids(rows: DataFrame, group: str, order: str) -> DataFrame:
 def multiset_digest(rows: DataFrame, group: str, content: Column) -> DataFrame:
     """group, n, digest: equal for equal bags of contents, in whatever order.
 
-    The four quarters of the contents' SHA-256 are summed, which commutes and is
-    combined before it is exchanged; a group never stands in one row.
+    The digest is the SHA-256 of all distinct contents' SHA-256 with their counts, in
+    order. Equal contents are counted first; a group's hashes are sorted on disk
+    where need be and run through the digest one after another, so no group stands in one
+    row or in memory. Null contents count in n alone.
     """
-    quarter = lambda k: F.sum(F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"q{k}")
-    sums = rows.select(group, F.sha2(content, 256).alias("h")).groupBy(group).agg(F.count("*").alias("n"), *(quarter(k) for k in range(4)))
-    return sums.select(group, "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), "q0", "q1", "q2", "q3"), 256).alias("digest"))
+    counts = rows.select(F.col(group).alias("g"), F.sha2(content, 256).alias("h")).groupBy("g", "h").agg(F.count("*").alias("c"))
+    kind = dict(counts.dtypes)["g"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, digest, some, out, type_ = None, 0, None, False, [], None
+        for batch in batches:
+            type_ = batch.schema.field("g").type
+            for g, h, c in zip(*(batch.column(x).to_pylist() for x in ("g", "h", "c")), strict=True):
+                if digest is None or g != key:
+                    if digest is not None:
+                        out.append((key, n, digest.hexdigest() if some else None))
+                    key, n, digest, some = g, 0, hashlib.sha256(), False
+                n += c
+                if h is not None:
+                    digest.update(f"{',' if some else ''}{h}:{c}".encode())
+                    some = True
+        if digest is not None:
+            out.append((key, n, digest.hexdigest() if some else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], type_), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], ["g", "n", "digest"])
+
+    folded = counts.repartition("g").sortWithinPartitions("g", "h").mapInArrow(fold, f"g {kind}, n long, digest string")
+    return folded.withColumnRenamed("g", group)
 
 
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -171,3 +171,17 @@ def test_stream_equals_replay(spark, tmp_path):
     stream.awaitTermination(60)
     assert sorted(r.query_id for r in spark.table("journal_out").collect()) == sorted(r.query_id for r in kept.collect()) == ["q0", "q1", "q2", "q3"]
     assert rejected.count() == 1
+
+
+def test_multiset_digest_runs_through_all_hashes_in_order(spark):
+    import hashlib
+    from collections import Counter
+
+    rows = [("a", t) for t in ("x", "y", "x", None)] + [("b", None), (None, "z")] + [("c", str(i % 50)) for i in range(300)]
+    want = {}
+    for g in ("a", "b", "c", None):
+        held = Counter(hashlib.sha256(t.encode()).hexdigest() for k, t in rows if k == g and t is not None)
+        said = ",".join(sorted(f"{h}:{n}" for h, n in held.items()))
+        want[g] = (sum(k == g for k, _ in rows), hashlib.sha256(said.encode()).hexdigest() if held else None)
+    df = spark.createDataFrame(rows, "source string, text string").repartition(5)
+    assert {r.source: (r.n, r.digest) for r in packing.multiset_digest(df, "source", F.col("text")).collect()} == want
