@@ -469,6 +469,8 @@ def parameter_scan(spark, d):
     return per.select("k", F.round("hit", 6).alias("hit_rate"), (F.row_number().over(Window.orderBy(F.desc("hit"), "k")) == 1).alias("best"))
 
 
+# Draws of one task, and up to how many differences are sent to all executors (12 bytes each); beyond that Spark chooses the join.
+DRAWS, BROADCAST_ROWS = 1 << 22, 2_000_000
 DRAWN = "('0x' || substr(md5(b || ':' || i), 1, 7))::BIGINT % (SELECT count(*) FROM x)"
 
 
@@ -481,9 +483,13 @@ def paired_bootstrap(spark, d):
     rows = table(spark, d, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("diff"), F.lit(0).alias("all"))
     x = scan.running_number(rows, ["all"], "doc_id", "i", F.lit(1)).select((F.col("i") - 1).cast("int").alias("i"), "diff")
     n = rows.count()
-    drawn = spark.range(10_000).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    if not n:
+        return spark.range(1).select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    # one number a draw; a resample's draws stand together, so sums are complete but for its ends before they are exchanged
+    drawn = spark.range(0, 10_000 * n, 1, max(16, 10_000 * n // DRAWS)).select(F.expr(f"id div {n}L").alias("b"), (F.col("id") % n).alias("j"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 7), 16, 10).cast("long") % n
-    means = drawn.select("b", pick.cast("int").alias("i")).groupBy("b", "i").count().join(x, "i").groupBy("b").agg(F.round(F.sum(F.col("diff") * F.col("count")) / F.sum("count"), 9).alias("m"))
+    differences = F.broadcast(x) if n <= BROADCAST_ROWS else x
+    means = drawn.select("b", pick.cast("int").alias("i")).join(differences, "i").groupBy("b").agg(F.round(F.avg("diff"), 9).alias("m"))
     return means.agg(F.round(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)"), 6).alias("low"), F.round(F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)"), 6).alias("high"))
 
 

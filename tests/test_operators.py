@@ -185,3 +185,14 @@ def test_multiset_digest_runs_through_all_hashes_in_order(spark):
         want[g] = (sum(k == g for k, _ in rows), hashlib.sha256(said.encode()).hexdigest() if held else None)
     df = spark.createDataFrame(rows, "source string, text string").repartition(5)
     assert {r.source: (r.n, r.digest) for r in packing.multiset_digest(df, "source", F.col("text")).collect()} == want
+
+
+def test_bootstrap_draws_are_not_exchanged(spark, sf):
+    from lodestone.plans import catalog_more
+
+    out = catalog_more.paired_bootstrap(spark, sf)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # resamples and the running number alone are exchanged, never (resample, draw)
+    assert "hashpartitioning(b#" in plan and "Generate" not in plan
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "b#" in line and "i#" in line.split("hashpartitioning")[-1].split(")")[0]]
