@@ -9,6 +9,8 @@ from lodestone.functions.arrays import indices
 
 # Words longer than this lose so many letters and may get so many others; what stands before and after the found terms.
 LONG, CUT, ENDING = 4, 2, 3
+# Fixed value: the end or the beginning of a word of ASCII letters, digits and underscores; Java's own one takes other letters in.
+ASCII_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 OPENS, CLOSES = "\n\n[Глоссарий: ", "]"
 
 
@@ -31,14 +33,18 @@ def _stem(word: Column) -> Column:
     return F.when(F.length(word) > LONG, F.substring(word, F.lit(1), F.length(word) - CUT)).otherwise(word)
 
 
-def term_pattern(term: Column) -> Column:
-    """A term as a pattern: whole words in order, long ones with another ending."""
-    word = lambda w: F.concat(F.lit(r"\b\Q"), _stem(w), F.when(F.length(w) > LONG, F.lit(rf"\E\w{{0,{ENDING}}}\b")).otherwise(F.lit(r"\E\b")))
-    return F.concat(F.lit("(?iuU)"), F.array_join(F.transform(F.filter(F.split(F.lower(term), r"\s+"), lambda w: w != ""), word), r"\s+"))
+def term_pattern(term: Column, ascii: bool = False) -> Column:
+    """A term as a pattern: whole words in order, long ones with another ending. With ``ascii`` only ASCII letters, digits and underscores are parts of words, as in RE2."""
+    edge, letter, space, flags = (ASCII_EDGE, "[0-9A-Za-z_]", r"[\t\n\f\r ]+", "") if ascii else (r"\b", r"\w", r"\s+", "(?iuU)")
+    # a look to one side is enough, and much faster, where the term itself has a letter on the other
+    opens = lambda w: F.when(F.rlike(w, F.lit("^[0-9a-z_]")), "(?<![0-9A-Za-z_])").otherwise(edge) if ascii else F.lit(edge)
+    closes = lambda w: F.when(F.rlike(w, F.lit("[0-9a-z_]$")), "(?![0-9A-Za-z_])").otherwise(edge) if ascii else F.lit(edge)
+    word = lambda w: F.concat(opens(w), F.lit(r"\Q"), _stem(w), F.when(F.length(w) > LONG, F.concat(F.lit(rf"\E{letter}{{0,{ENDING}}}"), closes(_stem(w)))).otherwise(F.concat(F.lit(r"\E"), closes(w))))
+    return F.concat(F.lit(flags), F.array_join(F.transform(F.filter(F.split(F.lower(term), r"\s+"), lambda w: w != ""), word), space))
 
 
-def find_terms(texts: DataFrame, glossary: DataFrame) -> DataFrame:
-    """texts: id, text; glossary: ord, term, official -> id and the entries found in it.
+def find_terms(texts: DataFrame, glossary: DataFrame, ascii: bool = False) -> DataFrame:
+    """texts: id, text; glossary: ord, term, official -> id and the entries found in it; ``ascii`` as in ``term_pattern``.
 
     A term's first word is looked up by what is left of it: each word of a text
     goes in whole and without its last letters, at most ENDING and CUT of them.
@@ -47,12 +53,13 @@ def find_terms(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """
     words = F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != "")
     entries = glossary.withColumn("__ws", words).filter(F.size("__ws") > 0)
-    entries = entries.select("ord", "term", "official", _stem(F.get("__ws", F.lit(0))).alias("key"), term_pattern(F.col("term")).alias("pattern"))
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1)))
+    entries = entries.select("ord", "term", "official", _stem(F.get("__ws", F.lit(0))).alias("key"), term_pattern(F.col("term"), ascii).alias("pattern"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([0-9A-Za-z_]+)" if ascii else r"(?U)(\w+)"), F.lit(1)))
     # a term's first word may open with a sign; such terms are looked up by the letters in it
     entries = entries.withColumn("key", F.coalesce(F.nullif(F.regexp_extract("key", r"(?U)(\w+)\W*$", 1), F.lit("")), "key"))
     shorter = lambda w: F.transform(indices(F.least(F.lit(ENDING + 1), F.length(w))), lambda k: F.substring(w, F.lit(1), F.length(w) - k))
     keys = F.array_distinct(F.flatten(F.transform(found, shorter)))
+    texts = texts.select("id", F.lower("text").alias("text")) if ascii else texts
     met = texts.select("id", "text", F.explode(keys).alias("key")).join(entries, "key").filter(F.rlike("text", F.col("pattern")))
     return met.select("id", "ord", "term", "official").distinct()
 

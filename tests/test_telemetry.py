@@ -110,3 +110,11 @@ def test_glossary_on_random_texts(spark):
     glossary = spark.createDataFrame([(n, t, "x") for n, t in enumerate(terms)], "ord int, term string, official string")
     got = {(r.id, r.ord) for r in gl.find_terms(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), glossary).collect()}
     assert got == {(i, n) for i, t in enumerate(texts) for n, term in enumerate(terms) if plain_pattern(term).search(t)} and len(got) > 50
+
+
+def test_glossary_with_ascii_words(spark):
+    """As RE2 has it: other letters are no parts of words, so they stand beside a term, and the ending stops at them."""
+    rows = [(0, "éci de"), (1, "ci deé"), (2, "treois une"), (3, "treoié une"), (4, "aci de"), (5, "CI\n De, treo une")]
+    glossary = spark.createDataFrame([(0, "ci de", "A"), (1, "treoi une", "B")], "ord int, term string, official string")
+    texts = spark.createDataFrame(rows, "id int, text string")
+    assert {(r.id, r.ord) for r in gl.find_terms(texts, glossary, ascii=True).collect()} == {(0, 0), (1, 0), (2, 1), (5, 0), (5, 1)}
