@@ -117,3 +117,27 @@ def test_units_by_margin(spark):
     texts = [(1, "d", "альфа бета гамма дельта"), (2, "d", "альфа бета гамма дельта эпсилон"), (3, "d", "до"), (4, "d", "альфа совсем другое"), (5, "e", "только одна единица"), (6, "f", "нигде такого"), (7, "d", "альфа бета гамма дельта эпсилон зета1 эта11 тета1 йота1 сигма")]
     got = {r.id: (r.unit, round(r.score, 3), round(r.second, 3), r.reason) for r in mt.match_units(spark.createDataFrame(texts, "id int, doc string, text string"), spark.createDataFrame(units, "doc string, unit string, text string")).collect()}
     assert got == {1: (None, 1.0, 1.0, "ambiguous"), 2: ("u1", 1.0, 0.8, None), 3: (None, 0.0, 0.0, "empty_words"), 4: (None, 0.333, 0.333, "below_threshold"), 5: ("v1", 1.0, 0.0, None), 6: (None, 0.0, 0.0, "below_threshold"), 7: (None, 0.5, 0.5, "below_threshold")}
+
+
+def test_remapping_meets_words_in_the_task(spark, monkeypatch):
+    """Each chunk's words are exchanged once; long sources, dealt by word, give the same rows."""
+    rng = np.random.default_rng(8)
+    words = [f"word{k}" for k in range(40)]
+    text = lambda: " ".join(rng.choice(words, rng.integers(0, 12)))
+    old = [(s, k, text()) for s in ("a", "b", "c") for k in range(30)]
+    new = [(s, k + int(rng.integers(-1, 2)) * 3, "  " + t if rng.random() < 0.5 else " ".join(t.split()[: int(rng.integers(1, 9))])) for s, k, t in old if rng.random() < 0.8]
+    new = list({(s, k): (s, k, t) for s, k, t in new if s != "c"}.values())
+    old += old[:3] + [(None, 1, "word1 word2"), ("d", 7, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "source string, num int, text string")
+    rows = lambda: sorted((repr(tuple(r)) for r in mt.remap_labels(frame(old), frame(new)).collect()))
+    whole = rows()
+    assert {k for k in ("exact", "split", "merge", "no-words", "unmapped") if any(k in r for r in whole)} == {"exact", "split", "merge", "no-words", "unmapped"}
+    known = [r for r in old if r[0]]
+    plan = mt.remap_labels(frame(known), frame(new))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    monkeypatch.setattr(mt, "MEETING", 5, raising=False)
+    assert rows() == whole
+    monkeypatch.setattr(mt, "WHOLE", 300, raising=False)  # some sources are longer
+    assert rows() == whole
+    monkeypatch.setattr(mt, "WHOLE", -1, raising=False)
+    assert rows() == whole
