@@ -259,6 +259,25 @@ def test_alignment_rows(spark):
     assert (stats[None].chunks, stats[None].without_parent, stats["d"].preamble_parents, stats["e"].n_no_units) == (6, 3, 1, 1)
 
 
+def test_documents_are_aligned_together(spark, monkeypatch):
+    """No group a document: batches of documents give the rows that each gives alone."""
+    rng = np.random.default_rng(9)
+    words = [f"слово{k}" for k in range(25)]
+    text = lambda n: " ".join(rng.choice(words, rng.integers(0, n)))
+    chunks = [(d, k, f"{k % 3}. {text(9)}" if k % 2 else text(9), str(k % 4) if k % 3 else None, str(k % 3) if k % 2 else None, text(4)) for d in range(40) for k in range(d % 7)]
+    units = [(d, k, ("preamble", "article", "item")[k % 3], str(k % 4), f"1. {text(12)}\n{k % 3}. {text(5)}") for d in range(40) for k in range(1, 1 + d % 5)]
+    a = spark.createDataFrame(chunks, "doc int, ord int, body string, article string, part string, heading_path string").repartition(3)
+    b = spark.createDataFrame(units, "doc int, ordinal int, kind string, number string, text string")
+    for rollback in (True, False):
+        monkeypatch.undo()
+        out = al.align(a, b, 0.3, rollback)
+        assert "CoGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        together = sorted(map(repr, out.collect()))
+        monkeypatch.setattr(al, "CELLS", 0, raising=False)
+        code = al.align(a, b, 0.3, rollback)
+        assert len(together) == len(chunks) and sorted(map(repr, code.collect())) == together
+
+
 # --- scans
 
 
