@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import cosine, sigmoid, squash
 from lodestone.operators import gates, metrics, packing, retrieval
+from lodestone.plans import catalog
 from lodestone.sources import files
 from lodestone.streaming import journal
 
@@ -81,6 +82,26 @@ def test_bm25_scores_in_the_tasks(spark, monkeypatch):
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lexical_index_deals_texts_that_one_task_reads(spark):
+    """A file of one row group is read by one task; its texts are cut by several, and their stems are written."""
+    docs = spark.range(40).selectExpr("id", "concat('alpha beta word', id) AS text").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = retrieval.build_index(docs, "id", "text")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(index.docs.inputFiles()) > 1
+    assert sorted((r.doc, r.dl, sorted(zip(r.terms, r.tfs))) for r in index.docs.collect()) == [(i, 3, [("alpha", 1), ("beta", 1), (f"word{i}"[:5], 1)]) for i in range(40)]
+
+
+def test_passages_take_the_texts_of_few_documents(spark, sf):
+    """Names of the fused documents are broadcast to the texts; no text of another document is exchanged."""
+    passages, fused = catalog._passages(spark, sf), catalog._fused(spark, sf).select("query", "doc")
+    assert "LeftSemi, BuildRight" in passages._jdf.queryExecution().executedPlan().toString()
+    known = fused.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), F.col("doc") == F.col("doc_id"), "left_semi")
+    assert sorted(passages.select("query", "doc").collect()) == sorted(known.collect())
+
+
 def test_mmr(spark):
     rows = [(1, i, i, "a" if i < 3 else "b", 0.9 - 0.01 * i) for i in range(5)] + [(2, 0, 9, "a", 0.0)]
     out = retrieval.mmr(spark.createDataFrame(rows, "query long, ord int, doc long, family string, relevance double"), 2).collect()
