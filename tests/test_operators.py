@@ -100,6 +100,7 @@ def test_passages_take_the_texts_of_few_documents(spark, sf):
     assert "LeftSemi, BuildRight" in passages._jdf.queryExecution().executedPlan().toString()
     known = fused.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), F.col("doc") == F.col("doc_id"), "left_semi")
     assert sorted(passages.select("query", "doc").collect()) == sorted(known.collect())
+    assert sorted(catalog._signals(spark, sf)[1].select("query", "doc").collect()) == sorted(fused.collect())
 
 
 def test_mmr(spark):
