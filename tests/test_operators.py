@@ -94,6 +94,27 @@ def test_lexical_index_deals_texts_that_one_task_reads(spark):
     assert sorted((r.doc, r.dl, sorted(zip(r.terms, r.tfs))) for r in index.docs.collect()) == [(i, 3, [("alpha", 1), ("beta", 1), (f"word{i}"[:5], 1)]) for i in range(40)]
 
 
+def test_lexical_index_holds_stems_as_numbers(spark):
+    """Numbers stand for what the pattern finds, in the order of strings; they are all that later passes read."""
+    import re
+
+    import pyarrow as pa
+
+    words = ["Ёлка ёж, a Б aБ zебра-42", "", "\U0001F600ab\U0001F600 я1", "x" * 9 + "\n" + "x" * 5, "ѐа ђё яяяяя9 aa\u0130bb", "конец", "новый конец"]
+    docs = spark.createDataFrame([*enumerate(words), (len(words), None)], "id long, text string")
+    lowered = [r.t for r in docs.selectExpr("id", "lower(coalesce(text, '')) AS t").orderBy("id").collect()]
+    want = [re.findall("([а-яёa-z0-9]{2,5})[а-яёa-z0-9]*", t) for t in lowered]
+    of, code = retrieval.stem_codes(lowered)
+    assert list(zip(of.tolist(), retrieval.spelled(code).to_pylist())) == [(i, w) for i, ws in enumerate(want) for w in ws]
+    assert [retrieval.spelled(code)[int(i)].as_py() for i in code.argsort(kind="stable")] == sorted(w for ws in want for w in ws)
+    index = retrieval.build_index(docs, "id", "text")
+    assert dict(index.coded.dtypes)["codes"] == "array<int>"
+    assert {r.doc: (r.dl, dict(zip(r.terms, r.tfs))) for r in index.docs.collect()} == {i: (len(ws), {w: ws.count(w) for w in ws}) for i, ws in enumerate(want)}
+    assert {r.term: r.df for r in index.terms.collect()} == {w: sum(w in x for x in want) for ws in want for w in ws}
+    cut = list(retrieval._slices(pa.array(["a" * (retrieval.CUT + 1), "", "b" * retrieval.CUT, "c", ""])))
+    assert [(s.start, s.stop) for s in cut] == [(0, 1), (1, 3), (3, 5)]
+
+
 def test_passages_take_the_texts_of_few_documents(spark, sf):
     """Names of the fused documents are broadcast to the texts; no text of another document is exchanged."""
     passages, fused = catalog._passages(spark, sf), catalog._fused(spark, sf).select("query", "doc")
