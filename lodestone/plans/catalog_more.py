@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import references as rf
 from lodestone.functions import text as tx
-from lodestone.operators import gates, labels, packing, retrieval, scan
+from lodestone.operators import bootstrap, gates, labels, packing, retrieval, scan
 from lodestone.plans.catalog import COST, FUSED, KNN, SIGNALS, _events, _fused, _lexical, _passages, _self_knn, _signals, query
 from lodestone.session import table
 
@@ -469,8 +469,8 @@ def parameter_scan(spark, d):
     return per.select("k", F.round("hit", 6).alias("hit_rate"), (F.row_number().over(Window.orderBy(F.desc("hit"), "k")) == 1).alias("best"))
 
 
-# Draws of one task, and up to how many differences are sent to all executors (12 bytes each); beyond that Spark chooses the join.
-DRAWS, BROADCAST_ROWS = 1 << 22, 2_000_000
+# Up to how many differences are sent to all executors (8 bytes each), and beyond that, where Spark joins them, draws of one task.
+BROADCAST_ROWS, DRAWS = 8_000_000, 1 << 22
 DRAWN = "('0x' || substr(md5(b || ':' || i), 1, 7))::BIGINT % (SELECT count(*) FROM x)"
 
 
@@ -485,11 +485,13 @@ def paired_bootstrap(spark, d):
     n = rows.count()
     if not n:
         return spark.range(1).select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    # one number a draw; a resample's draws stand together, so sums are complete but for its ends before they are exchanged
-    drawn = spark.range(0, 10_000 * n, 1, max(16, 10_000 * n // DRAWS)).select(F.expr(f"id div {n}L").alias("b"), (F.col("id") % n).alias("j"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 7), 16, 10).cast("long") % n
-    differences = F.broadcast(x) if n <= BROADCAST_ROWS else x
-    means = drawn.select("b", pick.cast("int").alias("i")).join(differences, "i").groupBy("b").agg(F.round(F.avg("diff"), 9).alias("m"))
+    if n <= BROADCAST_ROWS:
+        means = bootstrap.resample_means(x, n, 10_000, F.col("diff")).select("b", F.round("m", 9).alias("m"))
+    else:
+        # one number a draw; a resample's draws stand together, so sums are complete but for its ends before they are exchanged
+        drawn = spark.range(0, 10_000 * n, 1, max(16, 10_000 * n // DRAWS)).select(F.expr(f"id div {n}L").alias("b"), (F.col("id") % n).alias("j"))
+        pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 7), 16, 10).cast("long") % n
+        means = drawn.select("b", pick.cast("int").alias("i")).join(x, "i").groupBy("b").agg(F.round(F.avg("diff"), 9).alias("m"))
     return means.agg(F.round(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)"), 6).alias("low"), F.round(F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)"), 6).alias("high"))
 
 

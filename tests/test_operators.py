@@ -239,3 +239,23 @@ def test_bootstrap_draws_are_not_exchanged(spark, sf):
     # resamples and the running number alone are exchanged, never (resample, draw)
     assert "hashpartitioning(b#" in plan and "Generate" not in plan
     assert not [line for line in plan.split("\n") if "Exchange" in line and "b#" in line and "i#" in line.split("hashpartitioning")[-1].split(")")[0]]
+
+
+def test_bootstrap_hashes_are_md5_and_work_on_many_at_once(spark):
+    """Numbers of any length, values that are not known, and whole resamples of a task; no hash is left to a row's expression."""
+    import hashlib
+
+    import numpy as np
+
+    from lodestone.operators import bootstrap
+    from lodestone.plans import catalog_more
+
+    rng = np.random.default_rng(1)
+    for n, lo, hi in ((1, 0, 12), (9, 8, 12), (1234, 98, 103), (10_007, 998, 1001)):
+        for values in (rng.integers(-1, 2, n).astype(float), rng.integers(-900, 900, n) / 2):
+            values[rng.random(n) < (0.1 if n > 9 else 0)] = np.nan
+            total, count = bootstrap.resample_sums(values, lo, hi, at_once=512)
+            for b in range(lo, hi):
+                drawn = values[[int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:7], 16) % n for i in range(n)]]
+                assert (total[b - lo], count[b - lo]) == (np.nansum(drawn), (~np.isnan(drawn)).sum())
+    assert "md5(" not in catalog_more.paired_bootstrap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
