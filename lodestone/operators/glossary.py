@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +48,52 @@ def term_pattern(term: Column, ascii: bool = False) -> Column:
 def find_terms(texts: DataFrame, glossary: DataFrame, ascii: bool = False) -> DataFrame:
     """texts: id, text; glossary: ord, term, official -> id and the entries found in it; ``ascii`` as in ``term_pattern``.
 
+    With ``ascii``, terms of one or two plain words are looked up by the words that stand in a text, or side by side in it,
+    which needs no pattern. All others are looked up by their first words and then matched with their patterns.
+    """
+    words = F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != "")
+    entries = glossary.withColumn("__ws", words).filter(F.size("__ws") > 0)
+    plain = (F.size("__ws") <= 2) & F.forall("__ws", lambda w: F.rlike(w, F.lit("^[0-9a-z_]+$")))
+    entries = entries.withColumn("__looked", F.when(F.lit(ascii) & plain, F.size("__ws")).otherwise(0))
+    # the kinds that a glossary has, at most three
+    kinds = sorted(r[0] for r in entries.select("__looked").distinct().collect())
+    of = lambda kind: entries.filter(F.col("__looked") == kind)
+    parts = [_in_pairs(texts, of(k), k) if k else _by_pattern(texts, of(0), ascii) for k in kinds or [0]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _in_pairs(texts: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+    """``find_terms`` of plain terms of ``n`` words, 1 or 2; what no word has between them, but for white space, stands side by side."""
+    # texts are dealt first, as a file of one row group is read by one task
+    text = F.lower("text")
+    dealt = texts.select("id", "text").repartition("id")
+    if n == 1:
+        rows = dealt.select("id", F.explode(F.split(text, r"\W+")).alias("t0"))
+    else:
+        # what white space parts, and of each the word at the end next to it
+        ws = dealt.select("id", F.split(text, r"[\t\n\f\r ]+").alias("ws"))
+        pairs = F.arrays_zip(F.col("ws").alias("t0"), F.slice("ws", F.lit(2), F.size("ws")).alias("t1"))
+        rows = ws.select("id", F.explode(pairs).alias("p")).select("id", F.regexp_extract("p.t0", r"(\w+)\z", 1).alias("t0"), F.regexp_extract("p.t1", r"^(\w+)", 1).alias("t1"))
+    # the first letters of a found word are those of the term's, as a stem has at least so many
+    opens = LONG + 1 - CUT
+    terms = entries.select("ord", "term", "official", *(F.get("__ws", F.lit(k)).alias(f"w{k}") for k in range(n)))
+    terms = terms.select("*", *(F.substring(f"w{k}", 1, opens).alias(f"o{k}") for k in range(n)))
+    test = F.lit(True)
+    for k in range(n):
+        t, w = F.col(f"t{k}"), F.col(f"w{k}")
+        bent = F.startswith(t, _stem(w)) & (F.length(t) <= F.length(w) - CUT + ENDING)
+        test = test & (F.substring(t, 1, opens) == F.col(f"o{k}")) & F.when(F.length(w) > LONG, bent).otherwise(t == w)
+    return rows.join(terms, test).select("id", "ord", "term", "official").distinct()
+
+
+def _by_pattern(texts: DataFrame, entries: DataFrame, ascii: bool) -> DataFrame:
+    """``find_terms`` by patterns.
+
     A term's first word is looked up by what is left of it: each word of a text
     goes in whole and without its last letters, at most ENDING and CUT of them.
     Only pairs that meet there are matched with the term's pattern, so the work
     does not grow with texts times terms.
     """
-    words = F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != "")
-    entries = glossary.withColumn("__ws", words).filter(F.size("__ws") > 0)
     entries = entries.select("ord", "term", "official", _stem(F.get("__ws", F.lit(0))).alias("key"), term_pattern(F.col("term"), ascii).alias("pattern"))
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([0-9A-Za-z_]+)" if ascii else r"(?U)(\w+)"), F.lit(1)))
     # a term's first word may open with a sign; such terms are looked up by the letters in it

@@ -118,3 +118,21 @@ def test_glossary_with_ascii_words(spark):
     glossary = spark.createDataFrame([(0, "ci de", "A"), (1, "treoi une", "B")], "ord int, term string, official string")
     texts = spark.createDataFrame(rows, "id int, text string")
     assert {(r.id, r.ord) for r in gl.find_terms(texts, glossary, ascii=True).collect()} == {(0, 0), (1, 0), (2, 1), (5, 0), (5, 1)}
+
+
+def test_glossary_words_meet_without_patterns(spark):
+    """With ASCII words, terms of one and two words are joined with the words of the texts; other terms keep their patterns."""
+    import random
+
+    rng = random.Random(5)
+    pieces = ["act", "acts", "actio", "action", "actions", "a", "as", "b_1", "é", ",", "x-y", "|", "\t", "\n", "\u00a0"]
+    texts = ["".join(w if w in "\t\n" else w + rng.choice([" ", "  ", " ", ""]) for w in rng.choices(pieces, k=14)).upper() for _ in range(150)] + [None, "", "action"]
+    terms = ["action", "a", "action as", "acts b_1", "actions actions", "a as act", "x-y a", "action é", "as a", "b_1"]
+    glossary = spark.createDataFrame([(n, t, "x") for n, t in enumerate(terms)], "ord int, term string, official string")
+    word = lambda w: re.escape(w[:-2]) + r"\w{0,3}" if len(w) > 4 else re.escape(w)
+    plain = [re.compile(r"[\t\n\f\r ]+".join(rf"\b{word(w)}\b" if re.fullmatch(r"\w+", w, re.A) else rf"{'' if not w[0].isascii() else chr(92) + 'b'}{re.escape(w)}{'' if not w[-1].isascii() else chr(92) + 'b'}" for w in t.split()), re.A) for t in terms]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(r.id, r.ord) for r in gl.find_terms(frame, glossary.filter("term <> 'action é'"), ascii=True).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n, p in enumerate(plain) if t and n != 7 and p.search(t.lower())} and {n for _, n in got} >= {0, 1, 2, 3, 4, 8, 9}
+    simple = gl.find_terms(frame, glossary.filter("ord < 5"), ascii=True)
+    assert "pattern#" not in simple._jdf.queryExecution().optimizedPlan().toString()
