@@ -1,8 +1,8 @@
 """Numbered tables as rows: continuations joined, rows folded to texts, chunks of such tables replaced in place.
 
 Tables are doc, ord (their order), ref, page, width and grid (an array of rows of cells).
-Finding what continues and what replaces what are joins and prefix scans over
-all documents. Only the rows of one merged table are folded in order, inside its
+Finding what continues and what replaces what are joins and windows over
+all documents, prefix scans where one has very many tables. Only the rows of one merged table are folded in order, inside its
 row, since titles wait for the next numbered row and torn words join the last one.
 """
 
@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import appended, let, strings
 from lodestone.functions.text import token_estimate
-from lodestone.operators.scan import carry_last, running_number
+from lodestone.operators.scan import BLOCK, carry_last, running_number
+from lodestone.operators.settle import settle
 
 # What numbers a row, how many tokens a text may have, below how many a run of plain rows joins a neighbour, and the words of a row's head.
 ROW_ID, BUDGET, LOOSE_LEAST, SLACK = r"(?U)^\d+(\.\d+)*\.?$", 400, 20, 8
@@ -25,12 +26,31 @@ Tokens = Callable[[Column], Column]
 UNIT = "array<struct<row_id: string, text: string>>"
 
 
-def merged_tables(tables: DataFrame) -> DataFrame:
-    """Adds ``grp``: a table goes on in the next one of its document if that has the same width and stands on the next page."""
-    before = F.struct("page", "width")
-    seen = carry_last(tables, ["doc"], "ord", "__last", before, inclusive=False)
-    goes_on = (F.col("__last.width") == F.col("width")) & (F.col("page") - F.col("__last.page") == 1)
-    return running_number(seen, ["doc"], "ord", "grp", ~F.coalesce(goes_on, F.lit(False))).drop("__last")
+def merged_tables(tables: DataFrame, whole: int = BLOCK) -> DataFrame:
+    """Adds ``grp``: a table goes on in the next one of its document if that has the same width and stands on the next page.
+
+    Tables are exchanged once, by document; those of a document with more than ``whole`` tables go through prefix scans.
+    """
+    large = settle(tables.groupBy("doc").agg(F.count("*").alias("__n")).filter(F.col("__n") > whole).select(F.col("doc").alias("__doc")), "large")
+    if large.isEmpty():
+        return _merged_at_once(tables)
+    parted = lambda how: tables.join(large, F.col("doc").eqNullSafe(F.col("__doc")), how)
+    return _merged_at_once(parted("left_anti")).unionByName(_merged_by_scans(parted("left_semi")))
+
+
+def _goes_on(last: str) -> Column:
+    return F.coalesce((F.col(f"{last}.width") == F.col("width")) & (F.col("page") - F.col(f"{last}.page") == 1), F.lit(False))
+
+
+def _merged_at_once(tables: DataFrame) -> DataFrame:
+    in_order = Window.partitionBy("doc").orderBy("ord")
+    seen = tables.withColumn("__last", F.lag(F.struct("page", "width")).over(in_order)).withColumn("__opens", (~_goes_on("__last")).cast("long"))
+    return seen.withColumn("grp", F.sum("__opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).drop("__last", "__opens")
+
+
+def _merged_by_scans(tables: DataFrame) -> DataFrame:
+    seen = carry_last(tables, ["doc"], "ord", "__last", F.struct("page", "width"), inclusive=False)
+    return running_number(seen, ["doc"], "ord", "grp", ~_goes_on("__last")).drop("__last")
 
 
 def _words_packed(line: Column, room: Column, tokens: Tokens) -> Column:
@@ -146,7 +166,7 @@ def replace_table_chunks(chunks: DataFrame, tables: DataFrame, **how) -> DataFra
     first such chunk gives way to the table's units (part 0, 1, ... at its ord), each under
     the section's name, and the others go. All other chunks stay, as part 0.
     """
-    units = table_units(tables, **how)
+    units = settle(table_units(tables, **how), "units")
     group_of = units.select(F.col("doc").alias("__doc"), "grp", F.explode("refs").alias("__ref"))
     asked = chunks.select("doc", "ord", F.explode("refs").alias("__ref"))
     met = asked.join(group_of, F.col("doc").eqNullSafe(F.col("__doc")) & (asked["__ref"] == group_of["__ref"]), "left").select("doc", "ord", "grp")
