@@ -189,7 +189,85 @@ def match_units(texts: DataFrame, units: DataFrame) -> DataFrame:
     holds three fifths of them and leads the next one by a tenth. Of equals the
     shorter unit leads, then the smaller name. reason: empty_words,
     below_threshold, ambiguous. A unit without a shared word has score 0.
+    A document of more than ``WHOLE`` characters, or without a number, has its words dealt by word.
     """
+    both = texts.select("doc", F.length("text").alias("chars")).unionByName(units.select("doc", F.length("text").alias("chars")))
+    large = settle(both.groupBy("doc").agg(F.sum("chars").alias("chars")).filter(F.col("doc").isNull() | (F.col("chars") > WHOLE)).select(F.col("doc").alias("__doc")), "large")
+    if large.isEmpty():
+        return _match_whole(texts, units)
+    parted = lambda x, how: x.join(large, F.col("doc").eqNullSafe(F.col("__doc")), how)
+    return _match_whole(parted(texts, "left_anti"), parted(units, "left_anti")).unionByName(_match_dealt(parted(texts, "left_semi"), parted(units, "left_semi")))
+
+
+def _match_whole(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """``match_units`` of documents whose texts one task can hold: texts are exchanged once, as they are, and their words never."""
+    kinds, names, meeting = dict(texts.dtypes), dict(units.dtypes), MEETING
+    none = lambda kind: F.lit(None).cast(kind)
+    left = texts.select("doc", F.lit(0).alias("side"), "id", none(names["unit"]).alias("unit"), "text")
+    right = units.select("doc", F.lit(1).alias("side"), none(kinds["id"]).alias("id"), "unit", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, "doc"):
+            yield _two_best(whole, meeting)
+
+    # units come last and in the order in which equals lead
+    rows = left.unionByName(right).repartition("doc").withColumn("size", F.length("text")).sortWithinPartitions("doc", "side", "size", "unit")
+    rows = rows.select("doc", "side", "id", "unit", "size", word_set(F.col("text")).alias("ws"))
+    out = rows.mapInArrow(run, f"id {kinds['id']}, doc {kinds['doc']}, best {names['unit']}, n long, m long, nw long, units long")
+    return _matched(out)
+
+
+def _two_best(whole: pa.Table, meeting: int) -> pa.RecordBatch:
+    """For each text of a table of whole documents its best unit, how many words that and the next one share with it, its words and the document's units."""
+    group = np.zeros(len(whole), np.int64)
+    group[starts(whole["doc"])[1:]] = 1
+    group, side = np.cumsum(group), whole["side"].to_numpy()
+    flat, lengths = lists(whole["ws"])
+    (word,), n_w = codes(flat)
+    row = np.repeat(np.arange(len(whole)), lengths)
+    word = group[row] * max(1, n_w) + word
+    asked, held = np.flatnonzero(side == 0), side[row] == 1
+    posted, mine = np.flatnonzero(held), np.flatnonzero(~held)
+    posted = posted[np.argsort(word[posted], kind="stable")]
+    keys = word[posted]
+    lo, hi = np.searchsorted(keys, word[mine]), np.searchsorted(keys, word[mine], "right")
+    place = np.full(len(whole), -1)
+    place[asked] = np.arange(len(asked))
+    many, who = hi - lo, place[row[mine]]
+    upto = np.r_[0, np.cumsum(np.bincount(who, many, len(asked)))].astype(np.int64)
+    edge = np.searchsorted(who, np.arange(len(asked) + 1))
+    best, n, m, a = np.full(len(asked), -1), np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), 0
+    while a < len(asked):  # postings meet, some texts at a time
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + meeting, "right")) - 1)
+        s = slice(edge[a], edge[b])
+        ends = np.cumsum(many[s])
+        entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo[s] - ends + many[s], many[s])
+        pair, shared = np.unique(np.repeat(who[s], many[s]) * len(whole) + row[posted[entry]], return_counts=True)
+        i, j = np.divmod(pair, len(whole))
+        ranked = np.lexsort((j, -shared, i))  # rows of units ascend as equals lead
+        i, j, shared = i[ranked], j[ranked], shared[ranked]
+        lead = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+        best[i[lead]], n[i[lead]] = j[lead], shared[lead]
+        after = lead + 1
+        after = after[(after < len(i)) & (i[np.minimum(after, len(i) - 1)] == i[np.maximum(after - 1, 0)])] if len(i) else after
+        m[i[after]] = shared[after]
+        a = b
+    units = np.bincount(group[side == 1], minlength=group[-1] + 1)
+    take = lambda c, at, known=None: whole[c].combine_chunks().take(pa.array(at, pa.int64(), mask=known))
+    named = take("unit", np.maximum(best, 0), best < 0)
+    return pa.RecordBatch.from_arrays([take("id", asked), take("doc", asked), named, pa.array(n), pa.array(m), pa.array(lengths[asked]), pa.array(units[group[asked]])], ["id", "doc", "best", "n", "m", "nw", "units"])
+
+
+def _matched(two: DataFrame) -> DataFrame:
+    n, m, of = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0)), F.col("nw")
+    close = (F.coalesce("units", F.lit(0)) > 1) & ((n - m) * MARGIN[1] < of * MARGIN[0])
+    reason = F.when(of == 0, "empty_words").when(n * MATCHED[1] < of * MATCHED[0], "below_threshold").when(close, "ambiguous")
+    share = lambda x: F.when(of == 0, 0.0).otherwise(x / F.greatest(of, F.lit(1)))
+    return two.select("id", "doc", F.when(reason.isNull(), F.col("best")).alias("unit"), share(n).alias("score"), share(m).alias("second"), reason.alias("reason"))
+
+
+def _match_dealt(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """``match_units`` with words dealt by document and word."""
     asked = texts.select("id", "doc", word_set(F.col("text")).alias("ws"))
     held = settle(units.select("doc", "unit", F.length("text").alias("size"), word_set(F.col("text")).alias("ws")), "units")
     pairs = asked.select("id", "doc", F.explode("ws").alias("w")).join(held.select("doc", "unit", "size", F.explode("ws").alias("w")), ["doc", "w"])
@@ -197,9 +275,4 @@ def match_units(texts: DataFrame, units: DataFrame) -> DataFrame:
     two = top_k(counts, ["id", "doc"], [F.desc("n"), F.asc("size"), F.asc("unit")], 2)
     first = two.groupBy("id", "doc").agg(F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("n"), F.max(F.when(F.col("rank") == 1, F.col("unit"))).alias("best"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("n"))), F.lit(0)).alias("m"))
     many = held.groupBy("doc").agg(F.count("*").alias("units"))
-    out = asked.join(first, ["id", "doc"], "left").join(many, "doc", "left")
-    n, m, of = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0)), F.size("ws")
-    close = (F.coalesce("units", F.lit(0)) > 1) & ((n - m) * MARGIN[1] < of * MARGIN[0])
-    reason = F.when(of == 0, "empty_words").when(n * MATCHED[1] < of * MATCHED[0], "below_threshold").when(close, "ambiguous")
-    share = lambda x: F.when(of == 0, 0.0).otherwise(x / F.greatest(of, F.lit(1)))
-    return out.select("id", "doc", F.when(reason.isNull(), F.col("best")).alias("unit"), share(n).alias("score"), share(m).alias("second"), reason.alias("reason"))
+    return _matched(asked.join(first, ["id", "doc"], "left").join(many, "doc", "left").withColumn("nw", F.size("ws")))

@@ -141,3 +141,25 @@ def test_remapping_meets_words_in_the_task(spark, monkeypatch):
     assert rows() == whole
     monkeypatch.setattr(mt, "WHOLE", -1, raising=False)
     assert rows() == whole
+
+
+def test_units_meet_texts_in_the_task(spark, monkeypatch):
+    """Texts are exchanged once and their words never; long documents, dealt by word, give the same rows."""
+    rng = np.random.default_rng(4)
+    words = [f"word{k}" for k in range(24)]
+    said = lambda n: " ".join(rng.choice(words, int(n)))
+    docs = [f"d{k}" for k in range(12)]
+    units = [(d, f"u{k}", said(rng.integers(0, 9))) for d in docs[:10] for k in range(7)]
+    texts = [(k, d, said(rng.integers(0, 6))) for d in docs for k in range(20)] + [(99, None, "word1 word2"), (98, "d1", None)]
+    frames = spark.createDataFrame(texts, "id int, doc string, text string"), spark.createDataFrame(units, "doc string, unit string, text string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    known = frames[0].filter("doc is not null")
+    plan = mt.match_units(known, frames[1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    got = rows(mt.match_units(*frames))
+    monkeypatch.setattr(mt, "WHOLE", 150)
+    mixed = rows(mt.match_units(*frames))
+    monkeypatch.setattr(mt, "WHOLE", -1)
+    monkeypatch.setattr(mt, "MEETING", 5)
+    assert got == mixed == rows(mt.match_units(*frames)) and len(got) == 242
+    assert {r[5] for r in got} == {None, "empty_words", "below_threshold", "ambiguous"}
